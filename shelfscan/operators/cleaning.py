@@ -6,10 +6,13 @@ in place, so the same raw table always gives the same clean table.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfscan import schema
+from shelfscan.functions.exact import to_code
 from shelfscan.operators.lookup import BROADCAST_BYTES, attach
 from shelfscan.operators.median import summarise, value_counts
 
@@ -70,7 +73,7 @@ def fix_negative_discounts(df: DataFrame) -> DataFrame:
 
 def to_major_units(df: DataFrame) -> DataFrame:
     """Prices from whole paise to rupees with two decimals."""
-    return df.withColumns({c: (F.col(c).cast("decimal(12,0)") / F.lit(100)).cast(schema.MONEY) for c in PRICES})
+    return df.withColumns({c: (F.col(c) * F.lit(Decimal("0.01"))).cast(schema.MONEY) for c in PRICES})
 
 
 def flag_to_boolean(df: DataFrame) -> DataFrame:
@@ -79,10 +82,17 @@ def flag_to_boolean(df: DataFrame) -> DataFrame:
 
 
 def add_price_per_gram(df: DataFrame, otherwise: int | None = None) -> DataFrame:
-    weight = F.col("weight_in_gms")
-    value = F.round(F.col("discounted_selling_price") / weight.cast("decimal(10,0)"), 4)
-    priced = F.when(weight > 0, value).otherwise(F.lit(otherwise))
-    return df.withColumn("price_per_gram", priced.cast(schema.PER_GRAM))
+    """Selling price over weight, rounded half up to four decimals; ``otherwise`` where the
+    weight is not positive.
+
+    The quotient is taken in whole ten-thousandths, so that no earlier rounding can tip a tie.
+    """
+    weight = F.col("weight_in_gms").cast("bigint")
+    doubled = to_code(F.col("discounted_selling_price"), 100) * 200 + weight
+    value = F.when(weight > 0, F.call_function("div", doubled, 2 * weight)) * F.lit(Decimal("0.0001"))
+    if otherwise is not None:
+        value = F.when(weight > 0, value).otherwise(F.lit(otherwise))
+    return df.withColumn("price_per_gram", value.cast(schema.PER_GRAM))
 
 
 def add_estimated_revenue(df: DataFrame) -> DataFrame:

@@ -28,31 +28,31 @@ def summary_statistics(df: DataFrame, metrics: list[tuple[str, str, int]] = SUMM
     All columns are counted per distinct value together; every figure comes from those counts.
     """
     values = [
-        F.struct(F.lit(label).alias("metric"), F.lit(unit).alias("unit"), to_code(F.col(c), unit).alias("code"))
-        for label, c, unit in metrics
+        F.struct(F.lit(i).alias("metric"), to_code(F.col(c), unit).alias("code"))
+        for i, (_, c, unit) in enumerate(metrics, 1)
     ]
-    keys = ["metric", "unit"]
-    counts = value_counts(df.select(F.inline(F.array(*values))), keys, F.col("code"))
-    summary = summarise(counts, keys)
-    deviation = (
-        # one summary row per metric
-        counts.join(F.broadcast(summary.withColumn("mean_code", F.col("sum_code").cast("double") / F.col("n")).drop("n")), keys)
-        .groupBy(*keys, "min_code", "max_code", "sum_code", "lower", "upper")
-        .agg(
-            F.sum("n").alias("count"),
-            F.sum(F.col("n") * F.pow(F.col("code") - F.col("mean_code"), 2)).alias("squares"),
-        )
+    counts = value_counts(df.select(F.inline(F.array(*values))), ["metric"], F.col("code"))
+    summary = summarise(counts, ["metric"]).withColumn("mean_code", F.col("sum_code").cast("double") / F.col("n"))
+    # the broadcast side has one row per metric
+    squares = (
+        counts.join(F.broadcast(summary.select("metric", "mean_code")), "metric")
+        .groupBy("metric")
+        .agg(F.sum(F.col("n") * F.pow(F.col("code") - F.col("mean_code"), 2)).alias("squares"))
     )
-    unit = F.col("unit")
-    spread = F.sqrt(F.col("squares") / F.nullif(F.col("count") - 1, F.lit(0))) / unit
-    return deviation.select(
-        "metric",
-        "count",
-        (F.col("min_code") / unit).alias("min_val"),
-        (F.col("max_code") / unit).alias("max_val"),
-        ratio(F.col("sum_code"), F.col("count") * unit, 2).alias("mean_val"),
-        ratio(F.col("lower") + F.col("upper"), 2 * unit, 2).alias("median_val"),
-        F.round(spread, 2).alias("std_dev"),
+    unit = F.element_at(F.array(*[F.lit(u) for _, _, u in metrics]), F.col("metric"))
+    spread = F.sqrt(F.col("squares") / F.nullif(F.col("n") - 1, F.lit(0))) / unit
+    return (
+        summary.join(F.broadcast(squares), "metric")
+        .orderBy("metric")
+        .select(
+            F.element_at(F.array(*[F.lit(label) for label, _, _ in metrics]), F.col("metric")).alias("metric"),
+            F.col("n").alias("count"),
+            (F.col("min_code") / unit).alias("min_val"),
+            (F.col("max_code") / unit).alias("max_val"),
+            ratio(F.col("sum_code"), F.col("n") * unit, 2).alias("mean_val"),
+            ratio(F.col("lower") + F.col("upper"), 2 * unit, 2).alias("median_val"),
+            F.round(spread, 2).alias("std_dev"),
+        )
     )
 
 

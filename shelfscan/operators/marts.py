@@ -191,6 +191,7 @@ def write_marts(df: DataFrame, folder: str, fmt: str = "parquet") -> dict[str, s
         "top_products_by_category": top_products_by_category(df),
         "all_rows": df,
     }
-    paths = {name: sinks.write_table(table, f"{folder}/{name}", fmt) for name, table in tables.items()}
-    paths["scatter"] = sinks.write_partitioned(scatter(df), f"{folder}/scatter", "category", fmt)
-    return paths
+    return {
+        **sinks.write_tables(tables, folder, fmt),
+        "scatter": sinks.write_partitioned(scatter(df), f"{folder}/scatter", "category", fmt),
+    }

@@ -58,7 +58,8 @@ def summarise(counts: DataFrame, keys: list[str]) -> DataFrame:
     inside = Window.partitionBy(*keys, "slice").orderBy("code").rowsBetween(Window.unboundedPreceding, 0)
     located = (
         sliced.alias("c")
-        .join(slices.alias("s"), reduce(lambda a, b: a & b, matches))
+        # two slices per group at most, but groups are not counted: hash both sides, broadcast neither
+        .join(slices.alias("s").hint("shuffle_hash"), reduce(lambda a, b: a & b, matches))
         .select("s.*", "c.code", "c.n")
         .withColumn("upto", F.col("before") + F.sum("n").over(inside))
     )

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfscan.operators import cleaning, explore, insights, marts, measures, quality
-from shelfscan.plans import tables
+from shelfscan.operators import cleaning, marts, measures, quality
+from shelfscan.plans import reports, tables
+from shelfscan.plans.reports import Operator
 from shelfscan.sources import listings, sinks
 from shelfscan.sources.workspace import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
-Operator = Callable[[DataFrame], DataFrame]
 
 
 def _doubles(df: DataFrame) -> DataFrame:
@@ -27,6 +27,10 @@ def _over(table: Query, operator: Operator) -> Query:
     return lambda spark, sf_dir: _doubles(operator(table(spark, sf_dir)))
 
 
+def _each(table: Query, operators: dict[str, Operator]) -> dict[str, Query]:
+    return {name: _over(table, operator) for name, operator in operators.items()}
+
+
 def _columns(*names: str) -> Operator:
     return lambda df: df.select("sku_id", *names)
 
@@ -135,77 +139,24 @@ CATALOG: dict[str, Query] = {
     "s06_partitioned_mart": _partitioned_mart,
     "s07_column_catalogue": _over(tables.raw, quality.column_catalogue),
     "s08_preview": _over(tables.raw, quality.preview),
-    # audit and cleaning
-    "c01_row_count": _over(tables.raw, quality.row_count),
-    "c02_skus_by_category": _over(tables.raw, quality.skus_by_category),
-    "c03_schema_overview": _over(tables.raw, lambda df: quality.column_catalogue(df).drop("null_count", "sample_value")),
-    "c04_preview": _over(tables.raw, quality.preview),
-    "c05_null_audit": _over(tables.raw, quality.null_audit),
-    "c06_unpriced": _over(tables.raw, quality.unpriced),
-    "c07_negative_discounts": _over(tables.raw, quality.negative_discounts),
-    "c08_flag_values": _over(tables.raw, quality.flag_values),
-    "c09_priced_above_list": _over(tables.raw, quality.priced_above_list),
-    "c10_duplicate_keys": _over(tables.raw, quality.duplicate_keys),
+    # audit, cleaning steps and analysis
+    **_each(tables.raw, reports.AUDIT),
+    **_each(tables.clean, reports.VALIDATION),
     "c11_filled_discounts": _over(tables.raw, _then(cleaning.fill_discounts, _columns("discount_percent"))),
     "c12_filled_weights": _over(tables.raw, _then(cleaning.fill_weights, _columns("weight_in_gms"))),
     "c12_category_weights": _over(tables.raw, cleaning.category_weights),
-    "c13_rows_to_delete": _over(tables.raw, quality.unpriced_count),
     "c13_priced": _over(tables.raw, _then(cleaning.drop_unpriced, _columns(*RAW_PRICES))),
     "c14_fixed_discounts": _over(
         tables.raw, _then(cleaning.fix_negative_discounts, _columns("discount_percent", *RAW_PRICES))
     ),
-    "c15_scale_in_paise": _over(tables.raw, _then(cleaning.drop_unpriced, quality.scale_in_paise)),
     "c16_rupees": _over(tables.raw, _then(cleaning.to_major_units, _columns(*RAW_PRICES))),
-    "c17_scale_in_rupees": _over(tables.clean, quality.scale_in_rupees),
     "c18_boolean_flag": _over(tables.raw, _then(cleaning.flag_to_boolean, _columns("out_of_stock"))),
     "c19_price_per_gram": _over(tables.clean, _columns("price_per_gram")),
     "c20_estimated_revenue": _over(tables.clean, _columns("estimated_revenue")),
     "c20_clean_table": _over(tables.clean, lambda df: df),
-    "c21_remaining_nulls": _over(tables.clean, quality.remaining_nulls),
-    "c22_unpriced_remaining": _over(tables.clean, lambda df: quality.unpriced_count(df, "zero_mrp_remaining")),
-    "c23_negative_remaining": _over(tables.clean, quality.negative_discount_count),
-    "c24_clean_row_count": _over(tables.clean, lambda df: quality.row_count(df, "cleaned_total_records")),
-    "c25_clean_preview": _over(tables.clean, lambda df: quality.preview(df, 10)),
-    "c26_cleaning_report": _over(tables.raw, quality.cleaning_report),
-    # exploration
-    "e01_summary_statistics": _over(tables.clean, explore.summary_statistics),
-    "e02_sku_distribution": _over(tables.clean, explore.sku_distribution),
-    "e03_discount_brackets": _over(tables.clean, explore.discount_brackets),
-    "e04_stock_share": _over(tables.clean, explore.stock_share),
-    "e05_stock_by_category": _over(tables.clean, explore.stock_by_category),
-    "e06_weight_tiers": _over(tables.clean, explore.weight_tiers),
-    "e07_price_per_gram_by_category": _over(tables.clean, explore.price_per_gram_by_category),
-    "e08_revenue_potential": _over(tables.clean, explore.revenue_potential),
-    "e09_revenue_by_category": _over(tables.clean, explore.revenue_by_category),
-    # business queries
-    "b01_top_discounts": _over(tables.clean, insights.top_discounts),
-    "b02_discount_by_category": _over(tables.clean, insights.discount_by_category),
-    "b03_premium_low_discount": _over(tables.clean, insights.premium_low_discount),
-    "b04_revenue_by_category": _over(tables.clean, insights.revenue_by_category_in_stock),
-    "b05_stockout_ranking": _over(tables.clean, insights.stockout_ranking),
-    "b06_best_value": _over(tables.clean, insights.best_value),
-    "b07_stockouts_by_discount_tier": _over(tables.clean, insights.stockouts_by_discount_tier),
-    "b08_top_inventory_value": _over(tables.clean, insights.top_inventory_value),
-    "b09_largest_markdowns": _over(tables.clean, insights.largest_markdowns),
-    "b10_quantity_by_category": _over(tables.clean, insights.quantity_by_category),
-    "b11_weight_tier_pricing": _over(tables.clean, insights.weight_tier_pricing),
-    "b12_critical_categories": _over(tables.clean, insights.critical_categories),
-    "b13_discount_histogram": _over(tables.clean, insights.discount_histogram),
-    "b14_pareto": _over(tables.clean, insights.pareto),
-    "b14_pareto_all": _over(tables.clean, lambda df: insights.pareto(df, limit=None)),
-    "b15_cheap_and_stocked": _over(tables.clean, insights.cheap_and_stocked),
-    "b16_price_range": _over(tables.clean, insights.price_range),
-    "b17_lost_revenue": _over(tables.clean, insights.lost_revenue),
-    "b18_stock_comparison": _over(tables.clean, insights.stock_comparison),
-    "b19_deep_discounts": _over(tables.clean, insights.deep_discounts),
-    "b20_revenue_retention": _over(tables.clean, insights.revenue_retention),
-    "b21_executive_summary": _over(tables.clean, insights.executive_summary),
-    # findings
-    "f1_discount_stockout_ratio": _over(tables.clean, insights.discount_stockout_ratio),
-    "f2_leading_category_share": _over(tables.clean, insights.leading_category_share),
-    "f3_deep_discount_count": _over(tables.clean, insights.deep_discount_count),
-    "f4_total_lost_revenue": _over(tables.clean, insights.total_lost_revenue),
-    "f5_overall_stockout_rate": _over(tables.clean, insights.overall_stockout_rate),
+    **_each(tables.clean, reports.EXPLORATION),
+    **_each(tables.clean, reports.BUSINESS),
+    **_each(tables.clean, reports.FINDINGS),
     # dashboard cleaning
     "j1_priced": _over(
         tables.raw, _then(lambda df: cleaning.drop_unpriced(df, drop_null=True), _columns(*RAW_PRICES))
