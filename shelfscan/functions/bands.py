@@ -65,7 +65,7 @@ def band_index(col: Column, bands: list[Band]) -> Column:
 
 
 def band_label(index: Column, bands: list[Band]) -> Column:
-    return F.element_at(F.array(*[F.lit(label) for label, _, _ in bands]), index)
+    return F.get(F.array(*[F.lit(label) for label, _, _ in bands]), index - 1)
 
 
 def decade(col: Column) -> Column:

@@ -39,13 +39,13 @@ def summary_statistics(df: DataFrame, metrics: list[tuple[str, str, int]] = SUMM
         .groupBy("metric")
         .agg(F.sum(F.col("n") * F.pow(F.col("code") - F.col("mean_code"), 2)).alias("squares"))
     )
-    unit = F.element_at(F.array(*[F.lit(u) for _, _, u in metrics]), F.col("metric"))
+    unit = F.get(F.array(*[F.lit(u) for _, _, u in metrics]), F.col("metric") - 1)
     spread = F.sqrt(F.col("squares") / F.nullif(F.col("n") - 1, F.lit(0))) / unit
     return (
         summary.join(F.broadcast(squares), "metric")
         .orderBy("metric")
         .select(
-            F.element_at(F.array(*[F.lit(label) for label, _, _ in metrics]), F.col("metric")).alias("metric"),
+            F.get(F.array(*[F.lit(label) for label, _, _ in metrics]), F.col("metric") - 1).alias("metric"),
             F.col("n").alias("count"),
             (F.col("min_code") / unit).alias("min_val"),
             (F.col("max_code") / unit).alias("max_val"),

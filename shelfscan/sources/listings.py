@@ -61,6 +61,8 @@ def _read(
 
 
 def read_strict(spark: SparkSession, path: str, encoding: str = "UTF-8", header: bool = True) -> DataFrame:
+    """Load for ``save_table``, which reads every field; Spark checks a field only when it is
+    read, so a bare row count would not notice a bad number."""
     return _read(spark, path, schema.RAW, encoding, "FAILFAST", header)
 
 
