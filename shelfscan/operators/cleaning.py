@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from shelfscan import schema
 from shelfscan.functions.exact import to_code
 from shelfscan.operators.lookup import BROADCAST_BYTES, attach
-from shelfscan.operators.median import summarise, value_counts
+from shelfscan.operators.median import summarise
 
 PRICES = ["mrp", "discounted_selling_price"]
 
@@ -31,7 +31,7 @@ def category_weights(df: DataFrame, mode: str = "interpolated") -> DataFrame:
     ``upper`` takes the upper of the two.
     """
     known = df.where("category IS NOT NULL")
-    middle = summarise(value_counts(known, ["category"], F.col("weight_in_gms").cast("bigint")), ["category"])
+    middle = summarise(known, ["category"], F.col("weight_in_gms").cast("bigint"))
     value = F.col("upper") if mode == "upper" else F.rint((F.col("lower") + F.col("upper")) / 2)
     return middle.select("category", value.cast("int").alias("median_weight"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfscan.functions import bands
 from shelfscan.functions.exact import mean, money, pct, ratio, to_code
-from shelfscan.operators.median import summarise, value_counts
+from shelfscan.operators.median import summarise
 from shelfscan.operators.totals import with_totals
 
 # Report label, column and smallest-unit factor of each summarised measure.
@@ -23,26 +23,16 @@ def stock_status():
 
 
 def summary_statistics(df: DataFrame, metrics: list[tuple[str, str, int]] = SUMMARY_METRICS) -> DataFrame:
-    """Count, range, mean, median and sample deviation of several columns, from one scan.
-
-    All columns are counted per distinct value together; every figure comes from those counts.
-    """
+    """Count, range, mean, median and sample deviation of several columns together."""
     values = [
         F.struct(F.lit(i).alias("metric"), to_code(F.col(c), unit).alias("code"))
         for i, (_, c, unit) in enumerate(metrics, 1)
     ]
-    counts = value_counts(df.select(F.inline(F.array(*values))), ["metric"], F.col("code"))
-    summary = summarise(counts, ["metric"]).withColumn("mean_code", F.col("sum_code").cast("double") / F.col("n"))
-    # the broadcast side has one row per metric
-    squares = (
-        counts.join(F.broadcast(summary.select("metric", "mean_code")), "metric")
-        .groupBy("metric")
-        .agg(F.sum(F.col("n") * F.pow(F.col("code") - F.col("mean_code"), 2)).alias("squares"))
-    )
+    measured = df.select(F.inline(F.array(*values)))
     unit = F.get(F.array(*[F.lit(u) for _, _, u in metrics]), F.col("metric") - 1)
     spread = F.sqrt(F.col("squares") / F.nullif(F.col("n") - 1, F.lit(0))) / unit
     return (
-        summary.join(F.broadcast(squares), "metric")
+        summarise(measured, ["metric"], F.col("code"))
         .orderBy("metric")
         .select(
             F.get(F.array(*[F.lit(label) for label, _, _ in metrics]), F.col("metric") - 1).alias("metric"),

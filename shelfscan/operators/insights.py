@@ -15,11 +15,15 @@ from pyspark.sql import functions as F
 from shelfscan.functions import bands
 from shelfscan.functions.exact import mean, money, pct, ratio, to_code
 from shelfscan.operators.explore import stock_status
-from shelfscan.operators.median import summarise, value_counts
+from shelfscan.operators.median import summarise
 from shelfscan.operators.ranking import ranked_with_running_total
 from shelfscan.operators.totals import with_totals
 
 
+# a leader list up to this long is ranked in one task
+MAX_LEADERS = 10_000
+
+
 def in_stock(df: DataFrame) -> DataFrame:
     return df.where("NOT out_of_stock")
 
@@ -335,11 +339,10 @@ def weight_tier_pricing(df: DataFrame) -> DataFrame:
 
 
 def price_range(df: DataFrame) -> DataFrame:
-    """Lowest, highest, mean and exact median selling price of each category, from one scan."""
-    counts = value_counts(df, ["category"], to_code(F.col("discounted_selling_price"), 100))
+    """Lowest, highest, mean and exact median selling price of each category."""
     paise = F.lit(100)
     return (
-        summarise(counts, ["category"])
+        summarise(df, ["category"], to_code(F.col("discounted_selling_price"), 100))
         .select(
             "category",
             (F.col("min_code") / paise).alias("min_price"),
@@ -412,14 +415,14 @@ def executive_summary(df: DataFrame) -> DataFrame:
 def pareto(df: DataFrame, top_share: str = "0.2", limit: int | None = 20) -> DataFrame:
     """The best-earning ``top_share`` of listings with the revenue share reached at each.
 
-    Listings with equal revenue share one cumulative figure. With a ``limit`` only that many
-    rows are ranked and nothing is shuffled but them; without one, all rows of the top share
+    Listings with equal revenue share one cumulative figure. With a small ``limit`` only that
+    many rows are ranked and nothing is shuffled but them; otherwise all rows of the top share
     are ranked by a distributed sort.
     """
     earning = df.where("estimated_revenue > 0").select("sku_id", "name", "category", "estimated_revenue")
     total, count = earning.agg(F.sum("estimated_revenue"), F.count("*")).first()
     wanted = math.ceil(count * Decimal(top_share))
-    if limit is not None and limit <= wanted:
+    if limit is not None and limit <= min(wanted, MAX_LEADERS):
         ranked = _leaders(earning, limit)
     else:
         ranked = ranked_with_running_total(earning, "estimated_revenue", "sku_id", wanted, count)

@@ -8,10 +8,17 @@ from pyspark.sql import functions as F
 from shelfscan.sources.workspace import materialize
 
 BROADCAST_BYTES = 32 * 1024 * 1024
-ROW_OVERHEAD = 64
+ROW_BYTES = 128
 SALTS = 32
 
 
+def is_small(table: DataFrame, text_columns: list[str], limit: int = BROADCAST_BYTES) -> bool:
+    """Whether a stored table, at ``ROW_BYTES`` per row besides its texts, is within ``limit``."""
+    text = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in text_columns), F.lit(0))
+    size = table.agg(F.coalesce(F.sum(text + F.lit(ROW_BYTES)), F.lit(0)).alias("bytes")).first()["bytes"]
+    return size <= limit
+
+
 def attach(
     rows: DataFrame,
     table: DataFrame,
@@ -28,10 +35,7 @@ def attach(
     retried task sends each row where it went before.
     """
     table = materialize(table, "lookup")
-    size = table.agg(
-        (F.count("*") * ROW_OVERHEAD + F.coalesce(F.sum(F.octet_length(key)), F.lit(0))).alias("bytes")
-    ).first()["bytes"]
-    if size <= broadcast_bytes:
+    if is_small(table, [key], broadcast_bytes):
         return rows.join(F.broadcast(table), key, "left")
 
     values = [c for c in table.columns if c != key]

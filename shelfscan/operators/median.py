@@ -1,10 +1,10 @@
-"""Exact medians without holding a group's values in one task.
+"""Exact medians without holding or shuffling a group's values.
 
-A built-in exact percentile keeps every distinct value of a group in one buffer. Here the rows
-are first counted per distinct value (combined before the shuffle, so a hot group or a hot
-value costs no more than any other), then the median is located in two steps: which slice of
-65,536 neighbouring values holds the wanted rank, and which value inside that slice. No step
-sorts more than one slice, or the list of slices, of a group.
+A built-in exact percentile keeps every distinct value of a group in one buffer. Here a first
+pass counts rows per slice of 4,096 neighbouring values, which are few, so that almost nothing
+is left to shuffle after each task has combined its own. From those counts follow the slices
+that hold the two middle ranks; a second pass counts the values inside just these. A hot group
+or value weighs no more than any other in either pass.
 """
 
 from __future__ import annotations
@@ -14,60 +14,91 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICE_BITS = 16
+from shelfscan.operators.lookup import BROADCAST_BYTES, is_small
+from shelfscan.sources.workspace import materialize
 
-
-def value_counts(df: DataFrame, keys: list[str], code: Column) -> DataFrame:
-    """``keys, code, n``: how often each whole-number value occurs; NULL values are left out."""
-    return (
-        df.select(*keys, code.alias("code")).where("code IS NOT NULL").groupBy(*keys, "code").agg(F.count("*").alias("n"))
-    )
+SLICE_BITS = 12
 
 
-def summarise(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group: ``n, min_code, max_code, sum_code`` and the two middle values.
-
-    ``lower`` and ``upper`` are the values at ranks (n-1)/2 and n/2 counted from 0; they are
-    the same row when n is odd. Their mean is the interpolated median; ``upper`` alone is the
-    element at position floor(n/2).
-    """
-    sliced = counts.withColumn("slice", F.shiftright("code", SLICE_BITS))
+def _middle_slices(coded: DataFrame, keys: list[str]) -> DataFrame:
+    """The one or two slices of each group that hold its middle ranks, with group figures."""
     group = Window.partitionBy(*keys)
-    slices = (
-        sliced.groupBy(*keys, "slice")
+    start = F.shiftleft("slice", SLICE_BITS)
+    local = F.col("code") - start
+    return (
+        coded.groupBy(*keys, "slice")
         .agg(
-            F.sum("n").alias("slice_n"),
+            F.count("*").alias("slice_n"),
             F.min("code").alias("slice_min"),
             F.max("code").alias("slice_max"),
-            F.sum(F.col("code").cast("decimal(19,0)") * F.col("n")).alias("slice_sum"),
+            F.sum(local).alias("first_moment"),
+            F.sum((local * local).cast("double")).alias("second_moment"),
         )
-        .select(
-            *keys,
-            "slice",
-            (F.sum("slice_n").over(group.orderBy("slice")) - F.col("slice_n")).alias("before"),
-            "slice_n",
-            F.sum("slice_n").over(group).alias("total"),
-            F.min("slice_min").over(group).alias("min_code"),
-            F.max("slice_max").over(group).alias("max_code"),
-            F.sum("slice_sum").over(group).alias("sum_code"),
+        .withColumn("slice_sum", F.col("first_moment") + start.cast("decimal(19,0)") * F.col("slice_n"))
+        .withColumns(
+            {
+                "before": F.sum("slice_n").over(group.orderBy("slice")) - F.col("slice_n"),
+                "n": F.sum("slice_n").over(group),
+                "min_code": F.min("slice_min").over(group),
+                "max_code": F.max("slice_max").over(group),
+                "sum_code": F.sum("slice_sum").over(group),
+            }
+        )
+        .withColumn("to_mean", start - F.col("sum_code").cast("double") / F.col("n"))
+        .withColumn(
+            "squares",
+            F.sum(
+                F.col("second_moment")
+                + 2 * F.col("to_mean") * F.col("first_moment")
+                + F.col("slice_n") * F.col("to_mean") * F.col("to_mean")
+            ).over(group),
         )
-        .withColumns({"low_rank": F.expr("(total - 1) div 2"), "high_rank": F.expr("total div 2")})
+        .withColumns({"low_rank": F.expr("(n - 1) div 2"), "high_rank": F.expr("n div 2")})
         .where("before <= high_rank AND before + slice_n > low_rank")
+        .select(
+            *keys, "slice", "before", "low_rank", "high_rank", "n", "min_code", "max_code", "sum_code", "squares"
+        )
     )
-    matches = [F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, "slice"]]
+
+
+def summarise(df: DataFrame, keys: list[str], code: Column, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Per group: ``n, min_code, max_code, sum_code, squares`` and the two middle values.
+
+    ``code`` is a whole number per row; rows where it is NULL are left out. ``lower`` and
+    ``upper`` are the values at ranks (n-1)/2 and n/2 counted from 0; they are the same row
+    when n is odd. Their mean is the interpolated median; ``upper`` alone is the element at
+    position floor(n/2). ``squares`` is the sum of squared distances to the mean.
+
+    The middle slices are written and measured. Within ``broadcast_bytes`` they are broadcast,
+    and only rows inside them are counted by value; with too many groups for that, all rows
+    are counted by value and both sides are hashed.
+    """
+    coded = (
+        df.select(*keys, code.alias("code")).where("code IS NOT NULL").withColumn("slice", F.shiftright("code", SLICE_BITS))
+    )
+    slices = materialize(_middle_slices(coded, keys), "slices")
+    small = is_small(slices, keys, broadcast_bytes)
+    if small:
+        wanted = F.broadcast(slices.select(*keys, "slice").alias("s"))
+        coded = coded.alias("c").join(wanted, _same([*keys, "slice"]), "left_semi")
+    counts = coded.groupBy(*keys, "slice", "code").agg(F.count("*").alias("code_n"))
+
     inside = Window.partitionBy(*keys, "slice").orderBy("code").rowsBetween(Window.unboundedPreceding, 0)
+    figures = F.broadcast(slices.alias("s")) if small else slices.alias("s").hint("shuffle_hash")
     located = (
-        sliced.alias("c")
-        # two slices per group at most, but groups are not counted: hash both sides, broadcast neither
-        .join(slices.alias("s").hint("shuffle_hash"), reduce(lambda a, b: a & b, matches))
-        .select("s.*", "c.code", "c.n")
-        .withColumn("upto", F.col("before") + F.sum("n").over(inside))
+        counts.alias("c")
+        .join(figures, _same([*keys, "slice"]))
+        .select("s.*", "c.code", "c.code_n")
+        .withColumn("upto", F.col("before") + F.sum("code_n").over(inside))
     )
+    carried = ["n", "min_code", "max_code", "sum_code", "squares"]
     return located.groupBy(*keys).agg(
-        F.first("total").alias("n"),
-        F.first("min_code").alias("min_code"),
-        F.first("max_code").alias("max_code"),
-        F.first("sum_code").alias("sum_code"),
+        *[F.first(c).alias(c) for c in carried],
         F.min(F.when(F.col("upto") > F.col("low_rank"), F.col("code"))).alias("lower"),
         F.min(F.when(F.col("upto") > F.col("high_rank"), F.col("code"))).alias("upper"),
     )
+
+
+def _same(columns: list[str]) -> Column:
+    """Rows ``c`` and ``s`` agree in ``columns``; NULL agrees with NULL."""
+    return reduce(lambda a, b: a & b, [F.col(f"c.{name}").eqNullSafe(F.col(f"s.{name}")) for name in columns])

@@ -21,7 +21,7 @@ _lock = threading.RLock()
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], layout) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.conf.get("spark.app.id"), sf_dir, name)
     with _lock:
         if key not in _paths:
             path = fresh_path(spark, name)

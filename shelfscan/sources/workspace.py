@@ -18,10 +18,9 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-    app = context.applicationId
+    app = spark.conf.get("spark.app.id")
     if app not in _local_folders:
         _local_folders[app] = tempfile.mkdtemp(prefix="shelfscan-")
     return _local_folders[app]

@@ -1,10 +1,14 @@
 from __future__ import annotations
 
+import math
 import random
+import statistics
 
+import pytest
 from pyspark.sql import functions as F
 
-from shelfscan.operators.median import summarise, value_counts
+from shelfscan.operators.lookup import BROADCAST_BYTES
+from shelfscan.operators.median import summarise
 
 
 def _brute_force(rows):
@@ -18,7 +22,8 @@ def _brute_force(rows):
     }
 
 
-def test_against_sorting(spark):
+@pytest.mark.parametrize("limit", [0, BROADCAST_BYTES])
+def test_against_sorting(spark, limit):
     rng = random.Random(3)
     rows = []
     for key, size, spread in [("a", 501, 50), ("b", 400, 10**9), (None, 7, 10**6), ("one", 1, 5), ("two", 2, 10**6)]:
@@ -26,16 +31,27 @@ def test_against_sorting(spark):
     rows += [("a", None), ("empty", None)]
     # a hot value that holds most of a group, and a pair around a slice edge
     rows += [("hot", 77)] * 2000 + [("hot", v) for v in range(1000)]
-    rows += [("edge", 65535), ("edge", 65536)]
+    rows += [("edge", 4095), ("edge", 4096)]
     df = spark.createDataFrame(rows, "k string, v bigint")
-    result = summarise(value_counts(df, ["k"], F.col("v")), ["k"]).collect()
+    result = summarise(df, ["k"], F.col("v"), limit).collect()
     got = {r["k"]: (r["n"], r["min_code"], r["max_code"], int(r["sum_code"]), r["lower"], r["upper"]) for r in result}
     assert got == _brute_force(rows)
 
 
-def test_counts_are_combined_before_the_shuffle(spark):
-    df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.lit(5).alias("v"))
-    counts = value_counts(df, ["k"], F.col("v").cast("bigint"))
-    plan = counts._jdf.queryExecution().executedPlan().toString()
-    assert "partial_count" in plan
-    assert "ObjectHashAggregate" not in summarise(counts, ["k"])._jdf.queryExecution().executedPlan().toString()
+def test_deviation_does_not_lose_digits(spark):
+    # far from zero and close together: a plain sum of squares would cancel to nothing
+    values = [10**12 + v for v in (1, 2, 3, 4, 100, 5000)]
+    df = spark.createDataFrame([(v,) for v in values], "v bigint").withColumn("k", F.lit(1))
+    row = summarise(df, ["k"], F.col("v")).first()
+    assert math.sqrt(row["squares"] / (row["n"] - 1)) == pytest.approx(statistics.stdev(values), rel=1e-6)
+
+
+def test_values_are_neither_gathered_nor_shuffled_whole(spark):
+    df = spark.range(100_000).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
+    result = summarise(df, ["k"], F.col("v"))
+    result.collect()
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan
+    # rows are filtered to the middle slices and combined before the first exchange
+    final = plan[: plan.index("Initial Plan")]
+    assert "LeftSemi" in final[final.index("partial_count") :]

@@ -69,3 +69,23 @@ def test_tables_go_to_the_shared_folder(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     assert workspace.fresh_path(spark, "x").startswith(folder)
     assert workspace.fresh_path(spark, "x") != workspace.fresh_path(spark, "x")
+
+
+class _Conf:
+    def __init__(self, **values):
+        self.values = {key.replace("_", "."): value for key, value in values.items()}
+
+    def get(self, key, default=None):
+        return self.values.get(key, default)
+
+
+class _Session:
+    def __init__(self, **values):
+        self.conf = _Conf(**values)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        workspace.shared_folder(_Session(spark_master="yarn", spark_app_id="a"))
+    local = _Session(spark_master="local[2]", spark_app_id="unset")
+    assert workspace.shared_folder(local) == workspace.shared_folder(local)
