@@ -110,6 +110,17 @@ def duplicate_keys(df: DataFrame) -> DataFrame:
     return df.groupBy("sku_id").agg(F.count("*").alias("cnt")).where("cnt > 1")
 
 
+def require_valid_keys(df: DataFrame, declared: T.StructType = schema.RAW) -> None:
+    """Raise unless the declared NOT NULL columns are filled and every key occurs once."""
+    required = {f.name: f.name for f in declared if not f.nullable}
+    nulls = null_audit(df, required).drop("total_rows").first().asDict()
+    missing = [c for c, n in nulls.items() if n]
+    if missing:
+        raise ValueError(f"NULL in columns that must be filled: {', '.join(missing)}")
+    if not duplicate_keys(df).isEmpty():
+        raise ValueError("some sku_id occur more than once")
+
+
 def unpriced_count(df: DataFrame, name: str = "rows_to_delete") -> DataFrame:
     return df.agg(F.count_if(F.col("mrp") == 0).alias(name))
 

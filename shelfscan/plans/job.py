@@ -10,7 +10,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from shelfscan import schema
-from shelfscan.operators import cleaning, marts
+from shelfscan.operators import cleaning, marts, quality
 from shelfscan.plans import reports
 from shelfscan.sources import listings, sinks
 
@@ -19,10 +19,11 @@ def run(spark: SparkSession, csv: str, out: str, encoding: str = "UTF-8", fmt: s
     """Load, audit, clean, analyse and build the dashboard tables; returns name -> path.
 
     The raw and clean tables are stored before anything reads them, so each is made once and a
-    rerun replaces what an earlier one left.
+    rerun replaces what an earlier one left. A raw table that breaks its key is refused.
     """
     raw_path = listings.save_table(listings.read_strict(spark, csv, encoding), f"{out}/raw")
     raw = spark.read.schema(schema.RAW).parquet(raw_path)
+    quality.require_valid_keys(raw)
     clean_path = listings.save_table(cleaning.clean(raw), f"{out}/clean")
     clean = spark.read.schema(schema.CLEAN).parquet(clean_path)
     dashboard_path = listings.save_table(cleaning.clean_for_dashboard(raw), f"{out}/dashboard_listings")

@@ -191,18 +191,13 @@ COLUMNS = [
 ]
 
 
-def _catalogue(measured: bool) -> str:
-    rows = []
-    for i, (name, kind, nullable) in enumerate(COLUMNS, 1):
-        extra = (
-            f", COUNT(*) FILTER (WHERE {name} IS NULL) AS null_count, CAST(MIN({name}) AS VARCHAR) AS sample_value"
-            if measured
-            else ""
-        )
-        rows.append(
-            f"SELECT CAST({i} AS INTEGER) AS ordinal_position, '{name}' AS column_name, '{kind}' AS data_type,"
-            f" '{nullable}' AS is_nullable{extra}" + (" FROM raw" if measured else "")
-        )
+def _catalogue() -> str:
+    rows = [
+        f"SELECT CAST({i} AS INTEGER) AS ordinal_position, '{name}' AS column_name, '{kind}' AS data_type,"
+        f" '{nullable}' AS is_nullable, COUNT(*) FILTER (WHERE {name} IS NULL) AS null_count,"
+        f" CAST(MIN({name}) AS VARCHAR) AS sample_value FROM raw"
+        for i, (name, kind, nullable) in enumerate(COLUMNS, 1)
+    ]
     return _raw("\nUNION ALL ".join(rows))
 
 
@@ -337,11 +332,11 @@ ORACLE: dict[str, str] = {
     "s06_partitioned_mart": _dash(
         f"SELECT {MRP}, discount_percent, category, name FROM dash WHERE NOT out_of_stock AND mrp > 0"
     ),
-    "s07_column_catalogue": _catalogue(measured=True),
+    "s07_column_catalogue": _catalogue(),
     "s08_preview": _raw("SELECT * FROM raw ORDER BY sku_id LIMIT 20"),
     "c01_row_count": _raw("SELECT COUNT(*) AS total_records FROM raw"),
     "c02_skus_by_category": _raw("SELECT category, COUNT(*) AS sku_count FROM raw GROUP BY category"),
-    "c03_schema_overview": _catalogue(measured=False),
+    "c03_schema_overview": _catalogue(),
     "c04_preview": _raw("SELECT * FROM raw ORDER BY sku_id LIMIT 20"),
     "c05_null_audit": _raw(
         "SELECT COUNT(*) AS total_rows, "

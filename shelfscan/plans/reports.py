@@ -14,7 +14,7 @@ Operator = Callable[[DataFrame], DataFrame]
 AUDIT: dict[str, Operator] = {
     "c01_row_count": quality.row_count,
     "c02_skus_by_category": quality.skus_by_category,
-    "c03_schema_overview": lambda df: quality.column_catalogue(df).drop("null_count", "sample_value"),
+    "c03_schema_overview": quality.column_catalogue,
     "c04_preview": quality.preview,
     "c05_null_audit": quality.null_audit,
     "c06_unpriced": quality.unpriced,

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+
 from shelfscan.operators import cleaning, marts
 from shelfscan.plans import job
 from shelfscan.sources import listings
@@ -43,6 +45,13 @@ def test_marts_are_written_and_replaced(spark, raw, tmp_path):
     assert spark.read.json(paths["categories"]).count() == 2
 
 
+@pytest.mark.parametrize("bad", [[{"sku_id": "a"}, {"sku_id": "a"}], [{"category": None}]])
+def test_broken_keys_are_refused(spark, raw, tmp_path, bad):
+    source = listings.write_csv(raw(*bad), str(tmp_path / "csv"))
+    with pytest.raises(ValueError, match="sku_id|category"):
+        job.run(spark, source, str(tmp_path / "out"))
+
+
 def test_whole_job(spark, raw, tmp_path):
     source = listings.write_csv(
         raw({"weight_in_gms": None}, {"category": "B", "out_of_stock": "True", "available_quantity": 0}, {"mrp": 0}),

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from shelfscan.plans import tables
+from shelfscan.plans import reports, tables
 from shelfscan.plans.catalog import CATALOG
 from tests.conftest import DATA
 
@@ -74,3 +74,11 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 def test_tables_are_built_once(spark):
     assert tables.clean(spark, DATA).inputFiles() == tables.clean(spark, DATA).inputFiles()
+
+
+def test_a_hot_category_is_combined_before_the_shuffle(spark):
+    """Grouping by category, whatever its share of the rows, shuffles partial results only."""
+    for name, operator in {**reports.EXPLORATION, **reports.BUSINESS}.items():
+        for stage in _plan(operator(tables.clean(spark, DATA))).split("Exchange hashpartitioning(category")[1:]:
+            before_scan = stage.split("FileScan")[0].split("Exchange")[0]
+            assert "HashAggregate" in before_scan or "WindowGroupLimit" in before_scan, name
