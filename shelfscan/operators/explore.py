@@ -31,12 +31,15 @@ def summary_statistics(df: DataFrame, metrics: list[tuple[str, str, int]] = SUMM
     measured = df.select(F.inline(F.array(*values)))
     unit = F.get(F.array(*[F.lit(u) for _, _, u in metrics]), F.col("metric") - 1)
     spread = F.sqrt(F.col("squares") / F.nullif(F.col("n") - 1, F.lit(0))) / unit
+    positions = df.sparkSession.range(1, len(metrics) + 1, numPartitions=1)
+    every_metric = positions.select(F.col("id").cast("int").alias("metric"))
+    # the broadcast side has one row per metric
     return (
-        summarise(measured, ["metric"], F.col("code"))
+        every_metric.join(F.broadcast(summarise(measured, ["metric"], F.col("code"))), "metric", "left")
         .orderBy("metric")
         .select(
             F.get(F.array(*[F.lit(label) for label, _, _ in metrics]), F.col("metric") - 1).alias("metric"),
-            F.col("n").alias("count"),
+            F.coalesce("n", F.lit(0)).alias("count"),
             (F.col("min_code") / unit).alias("min_val"),
             (F.col("max_code") / unit).alias("max_val"),
             ratio(F.col("sum_code"), F.col("n") * unit, 2).alias("mean_val"),

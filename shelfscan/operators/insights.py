@@ -412,7 +412,7 @@ def executive_summary(df: DataFrame) -> DataFrame:
     )
 
 
-def pareto(df: DataFrame, top_share: str = "0.2", limit: int | None = 20) -> DataFrame:
+def pareto(df: DataFrame, top_share: float = 0.2, limit: int | None = 20) -> DataFrame:
     """The best-earning ``top_share`` of listings with the revenue share reached at each.
 
     Listings with equal revenue share one cumulative figure. With a small ``limit`` only that
@@ -421,7 +421,7 @@ def pareto(df: DataFrame, top_share: str = "0.2", limit: int | None = 20) -> Dat
     """
     earning = df.where("estimated_revenue > 0").select("sku_id", "name", "category", "estimated_revenue")
     total, count = earning.agg(F.sum("estimated_revenue"), F.count("*")).first()
-    wanted = math.ceil(count * Decimal(top_share))
+    wanted = math.ceil(count * Decimal(str(top_share)))
     if limit is not None and limit <= min(wanted, MAX_LEADERS):
         ranked = _leaders(earning, limit)
     else:

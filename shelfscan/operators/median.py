@@ -21,14 +21,17 @@ SLICE_BITS = 12
 
 
 def _middle_slices(coded: DataFrame, keys: list[str]) -> DataFrame:
-    """The one or two slices of each group that hold its middle ranks, with group figures."""
+    """The one or two slices of each group that hold its middle ranks, with group figures.
+
+    A group without any value has the one slice of its NULLs.
+    """
     group = Window.partitionBy(*keys)
     start = F.shiftleft("slice", SLICE_BITS)
     local = F.col("code") - start
     return (
         coded.groupBy(*keys, "slice")
         .agg(
-            F.count("*").alias("slice_n"),
+            F.count("code").alias("slice_n"),
             F.min("code").alias("slice_min"),
             F.max("code").alias("slice_max"),
             F.sum(local).alias("first_moment"),
@@ -37,7 +40,7 @@ def _middle_slices(coded: DataFrame, keys: list[str]) -> DataFrame:
         .withColumn("slice_sum", F.col("first_moment") + start.cast("decimal(19,0)") * F.col("slice_n"))
         .withColumns(
             {
-                "before": F.sum("slice_n").over(group.orderBy("slice")) - F.col("slice_n"),
+                "before": F.sum("slice_n").over(group.orderBy(F.asc_nulls_first("slice"))) - F.col("slice_n"),
                 "n": F.sum("slice_n").over(group),
                 "min_code": F.min("slice_min").over(group),
                 "max_code": F.max("slice_max").over(group),
@@ -54,7 +57,7 @@ def _middle_slices(coded: DataFrame, keys: list[str]) -> DataFrame:
             ).over(group),
         )
         .withColumns({"low_rank": F.expr("(n - 1) div 2"), "high_rank": F.expr("n div 2")})
-        .where("before <= high_rank AND before + slice_n > low_rank")
+        .where("n = 0 OR (before <= high_rank AND before + slice_n > low_rank)")
         .select(
             *keys, "slice", "before", "low_rank", "high_rank", "n", "min_code", "max_code", "sum_code", "squares"
         )
@@ -64,20 +67,19 @@ def _middle_slices(coded: DataFrame, keys: list[str]) -> DataFrame:
 def summarise(df: DataFrame, keys: list[str], code: Column, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Per group: ``n, min_code, max_code, sum_code, squares`` and the two middle values.
 
-    ``code`` is a whole number per row; rows where it is NULL are left out. ``lower`` and
-    ``upper`` are the values at ranks (n-1)/2 and n/2 counted from 0; they are the same row
-    when n is odd. Their mean is the interpolated median; ``upper`` alone is the element at
+    ``code`` is a whole number per row; NULLs do not count, and a group of only NULLs has n = 0
+    and NULL figures. ``lower`` and ``upper`` are the values at ranks (n-1)/2 and n/2 counted
+    from 0; they are the same row when n is odd. Their mean is the interpolated median; ``upper`` alone is the element at
     position floor(n/2). ``squares`` is the sum of squared distances to the mean.
 
     The middle slices are written and measured. Within ``broadcast_bytes`` they are broadcast,
     and only rows inside them are counted by value; with too many groups for that, all rows
     are counted by value and both sides are hashed.
     """
-    coded = (
-        df.select(*keys, code.alias("code")).where("code IS NOT NULL").withColumn("slice", F.shiftright("code", SLICE_BITS))
-    )
+    coded = df.select(*keys, code.alias("code")).withColumn("slice", F.shiftright("code", SLICE_BITS))
     slices = materialize(_middle_slices(coded, keys), "slices")
     small = is_small(slices, keys, broadcast_bytes)
+    coded = coded.where("code IS NOT NULL")
     if small:
         wanted = F.broadcast(slices.select(*keys, "slice").alias("s"))
         coded = coded.alias("c").join(wanted, _same([*keys, "slice"]), "left_semi")
@@ -92,11 +94,13 @@ def summarise(df: DataFrame, keys: list[str], code: Column, broadcast_bytes: int
         .withColumn("upto", F.col("before") + F.sum("code_n").over(inside))
     )
     carried = ["n", "min_code", "max_code", "sum_code", "squares"]
-    return located.groupBy(*keys).agg(
+    found = located.groupBy(*keys).agg(
         *[F.first(c).alias(c) for c in carried],
         F.min(F.when(F.col("upto") > F.col("low_rank"), F.col("code"))).alias("lower"),
         F.min(F.when(F.col("upto") > F.col("high_rank"), F.col("code"))).alias("upper"),
     )
+    without_values = slices.where("n = 0").select(*keys, *carried)
+    return found.unionByName(without_values, allowMissingColumns=True)
 
 
 def _same(columns: list[str]) -> Column:

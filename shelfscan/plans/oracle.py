@@ -271,7 +271,14 @@ PRODUCT = f"name, category, {_money('rev')} AS revenue, discount_percent AS disc
 CARDS = f"""COUNT(*) AS total_skus, {_money('SUM(rev)')} AS revenue,
     {_money('COALESCE(SUM(val) FILTER (WHERE NOT out_of_stock), 0)')} AS inventory_value, {OOS} AS oos_count,
     {RATE} AS oos_rate, {_avg('discount_percent', 1)} AS avg_discount"""
-DASH_TIERS = [("0%", 0, 0), ("1-10%", 1, 10), ("11-20%", 11, 20), ("21-30%", 21, 30), ("31-40%", 31, 40), (">40%", 41, 100)]
+DASH_TIERS = [
+    ("0%", 0, 0),
+    ("1-10%", 1, 10),
+    ("11-20%", 11, 20),
+    ("21-30%", 21, 30),
+    ("31-40%", 31, 40),
+    (">40%", 41, 100),
+]
 DASH_OOS = f"SELECT category, {RATE} AS oos_rate FROM dash GROUP BY category"
 SALE = "CASE WHEN NOT out_of_stock THEN CAST(sp AS BIGINT) * qty END"
 FRACTION = f"CAST({OOS} AS DOUBLE) / CAST(COUNT(*) AS DOUBLE)"
@@ -456,7 +463,7 @@ ORACLE: dict[str, str] = {
     ),
     "b01_top_discounts": _clean(
         f"SELECT name, category, discount_percent, {MRP}, {SP}, {_money(MARKDOWN)} AS discount_amount FROM clean"
-        f" WHERE discount_percent > 0 ORDER BY clean.discount_percent DESC, {MARKDOWN.replace('mrp', 'clean.mrp')} DESC, sku_id LIMIT 10"
+        " WHERE discount_percent > 0 ORDER BY discount_percent DESC, clean.mrp - sp DESC, sku_id LIMIT 10"
     ),
     "b02_discount_by_category": _clean(
         f"SELECT category, {_avg('discount_percent', 1)} AS avg_discount_pct, COUNT(*) AS total_skus,"
@@ -516,8 +523,7 @@ ORACLE: dict[str, str] = {
         f" AS discount_bracket_end, COUNT(*) AS product_count, {_avg('qty', 0)} AS avg_stock_in_bracket,"
         f" {RATE} AS oos_rate_pct FROM clean GROUP BY discount_percent // 10"
     ),
-    "b14_pareto": _clean(f"SELECT * EXCLUDE (place) FROM ({PARETO.replace('FROM ranked', ', place FROM ranked')}) ORDER BY place LIMIT 20")
-    .replace("SELECT * EXCLUDE", f", {RANKED} SELECT * EXCLUDE", 1),
+    "b14_pareto": f"WITH {RAW}, {CLEAN}, {RANKED}\n{PARETO} ORDER BY place LIMIT 20",
     "b14_pareto_all": f"WITH {RAW}, {CLEAN}, {RANKED}\n{PARETO}",
     "b15_cheap_and_stocked": _clean(
         f"SELECT name, category, {SP}, qty AS available_quantity, {_money('rev')} AS estimated_revenue FROM clean"

@@ -66,7 +66,9 @@ def read_strict(spark: SparkSession, path: str, encoding: str = "UTF-8", header:
     return _read(spark, path, schema.RAW, encoding, "FAILFAST", header)
 
 
-def read_with_quarantine(spark: SparkSession, path: str, encoding: str = "UTF-8", header: bool = True) -> tuple[DataFrame, DataFrame]:
+def read_with_quarantine(
+    spark: SparkSession, path: str, encoding: str = "UTF-8", header: bool = True
+) -> tuple[DataFrame, DataFrame]:
     """The listings that fit the table, and the text of the lines that do not.
 
     The parsed lines are stored once and both results read that: the text is parsed once, and

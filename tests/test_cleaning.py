@@ -4,7 +4,7 @@ from decimal import Decimal
 
 import pytest
 
-from shelfscan.operators import cleaning, insights, lookup, quality
+from shelfscan.operators import cleaning, explore, insights, lookup, quality
 from tests.conftest import column
 
 
@@ -133,3 +133,13 @@ def test_lookup_keeps_every_row(raw, spark, limit):
     table = spark.createDataFrame([("a", 1)], "category string, v int")
     joined = lookup.attach(df, table, "category", df.weight_in_gms.isNotNull(), broadcast_bytes=limit)
     assert column(joined, "v") == [1, None, None]
+
+
+def test_groups_without_values_stay(raw):
+    df = cleaning.clean(raw({"category": "a"}, {"category": "b", "discounted_selling_price": None}))
+    ranges = {r["category"]: r["median_price"] for r in insights.price_range(df).collect()}
+    assert ranges == {"a": 9.0, "b": None}
+    nothing = explore.summary_statistics(df.where("mrp < 0")).collect()
+    assert [(r["count"], r["median_val"], r["std_dev"]) for r in nothing] == [(0, None, None)] * 3
+    single = explore.summary_statistics(df.where("category = 'a'")).collect()
+    assert [(r["count"], r["mean_val"], r["std_dev"]) for r in single] == [(1, 10.0, None), (1, 9.0, None), (1, 10.0, None)]
