@@ -30,7 +30,7 @@ def category_weights(df: DataFrame, mode: str = "interpolated") -> DataFrame:
     ``interpolated`` averages the two middle weights and rounds a half to the even gram;
     ``upper`` takes the upper of the two.
     """
-    known = df.where("category IS NOT NULL AND weight_in_gms IS NOT NULL")
+    known = df.where("weight_in_gms IS NOT NULL")
     middle = summarise(known, ["category"], F.col("weight_in_gms").cast("bigint"))
     value = F.col("upper") if mode == "upper" else F.rint((F.col("lower") + F.col("upper")) / 2)
     return middle.select("category", value.cast("int").alias("median_weight"))

@@ -1,7 +1,8 @@
 """The queries of the catalog as DuckDB SQL over the driver tables.
 
 Money is kept in whole paise and price per gram in ten-thousandths, so that every rounded
-figure comes from one integer division (see ``_r``).
+figure comes from one integer division (see ``_r``). Lists that end in a limit put NULLs first
+in descending order, as the reports define it.
 """
 
 from __future__ import annotations
@@ -298,7 +299,7 @@ SIZES = "\nUNION ALL ".join(
     for mart, size in {
         "kpis": "1",
         **{
-            m: "(SELECT COUNT(DISTINCT category) FROM dash)"
+            m: "(SELECT COUNT(*) FROM (SELECT DISTINCT category FROM dash))"
             for m in (
                 "kpis_by_category",
                 "categories",
@@ -308,7 +309,7 @@ SIZES = "\nUNION ALL ".join(
                 "stock_by_category",
             )
         },
-        "oos_top_categories": "(SELECT LEAST(5, COUNT(DISTINCT category)) FROM dash)",
+        "oos_top_categories": "(SELECT LEAST(5, COUNT(*)) FROM (SELECT DISTINCT category FROM dash))",
         "discount_distribution": "8",
         "discount_vs_oos": "6",
         "top_products": "(SELECT LEAST(10, COUNT(*)) FROM dash)",
@@ -463,7 +464,7 @@ ORACLE: dict[str, str] = {
     ),
     "b01_top_discounts": _clean(
         f"SELECT name, category, discount_percent, {MRP}, {SP}, {_money(MARKDOWN)} AS discount_amount FROM clean"
-        " WHERE discount_percent > 0 ORDER BY discount_percent DESC, clean.mrp - sp DESC, sku_id LIMIT 10"
+        " WHERE discount_percent > 0 ORDER BY discount_percent DESC, clean.mrp - sp DESC NULLS FIRST, sku_id LIMIT 10"
     ),
     "b02_discount_by_category": _clean(
         f"SELECT category, {_avg('discount_percent', 1)} AS avg_discount_pct, COUNT(*) AS total_skus,"
@@ -498,11 +499,11 @@ ORACLE: dict[str, str] = {
         f"SELECT category, {_money('SUM(val)')} AS total_inventory_value_mrp,"
         f" {_money('SUM(rev)')} AS total_inventory_value_selling, CAST(SUM(qty) AS BIGINT) AS total_units,"
         f" {_money('SUM(val) - SUM(rev)')} AS discount_cost"
-        " FROM clean WHERE NOT out_of_stock GROUP BY category ORDER BY SUM(rev) DESC, category LIMIT 5"
+        " FROM clean WHERE NOT out_of_stock GROUP BY category ORDER BY SUM(rev) DESC NULLS FIRST, category LIMIT 5"
     ),
     "b09_largest_markdowns": _clean(
         f"SELECT {MARKDOWN_ROW}, {_money(MARKDOWN)} AS absolute_markdown, qty AS available_quantity FROM clean"
-        " WHERE clean.mrp > 0 ORDER BY clean.mrp - sp DESC, sku_id LIMIT 15"
+        " WHERE clean.mrp > 0 ORDER BY clean.mrp - sp DESC NULLS FIRST, sku_id LIMIT 15"
     ),
     "b10_quantity_by_category": _clean(
         f"SELECT category, {_avg('qty', 0)} AS avg_quantity, MIN(qty) AS min_quantity, MAX(qty) AS max_quantity,"
@@ -527,7 +528,7 @@ ORACLE: dict[str, str] = {
     "b14_pareto_all": f"WITH {RAW}, {CLEAN}, {RANKED}\n{PARETO}",
     "b15_cheap_and_stocked": _clean(
         f"SELECT name, category, {SP}, qty AS available_quantity, {_money('rev')} AS estimated_revenue FROM clean"
-        " WHERE sp < 5000 AND NOT out_of_stock ORDER BY qty DESC, sku_id LIMIT 15"
+        " WHERE sp < 5000 AND NOT out_of_stock ORDER BY qty DESC NULLS FIRST, sku_id LIMIT 15"
     ),
     "b16_price_range": _clean(
         f"SELECT category, {_money('MIN(sp)')} AS min_price, {_money('MAX(sp)')} AS max_price,"
