@@ -1,4 +1,7 @@
-"""Distributions and summary statistics of the clean listings."""
+"""Distributions and summary statistics of the clean listings.
+
+All but ``summary_statistics`` also accept a cube of the listings.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfscan.functions import bands
-from shelfscan.functions.exact import mean, money, pct, ratio, to_code
+from shelfscan.functions.exact import money, pct, ratio, to_code
+from shelfscan.operators.cube import average, listings, measures, out_of_stock_listings
 from shelfscan.operators.median import summarise
 from shelfscan.operators.totals import with_totals
 
@@ -50,7 +54,7 @@ def summary_statistics(df: DataFrame, metrics: list[tuple[str, str, int]] = SUMM
 
 
 def sku_distribution(df: DataFrame) -> DataFrame:
-    groups = df.groupBy("category").agg(F.count("*").alias("total_skus"))
+    groups = measures(df).groupBy("category").agg(listings().alias("total_skus"))
     return (
         with_totals(groups, "total_skus")
         .select("category", "total_skus", pct(F.col("total_skus"), F.col("total_total_skus")).alias("pct_of_total"))
@@ -60,7 +64,7 @@ def sku_distribution(df: DataFrame) -> DataFrame:
 
 def discount_brackets(df: DataFrame) -> DataFrame:
     index = bands.band_index(F.col("discount_percent"), bands.DISCOUNT_BRACKETS)
-    groups = df.groupBy(index.alias("bracket")).agg(F.count("*").alias("product_count"))
+    groups = measures(df).groupBy(index.alias("bracket")).agg(listings().alias("product_count"))
     return (
         with_totals(groups, "product_count")
         .orderBy(F.asc_nulls_last("bracket"))
@@ -73,7 +77,7 @@ def discount_brackets(df: DataFrame) -> DataFrame:
 
 
 def stock_share(df: DataFrame) -> DataFrame:
-    groups = df.groupBy("out_of_stock").agg(F.count("*").alias("sku_count"))
+    groups = measures(df).groupBy("out_of_stock").agg(listings().alias("sku_count"))
     return with_totals(groups, "sku_count").select(
         stock_status().alias("stock_status"),
         "sku_count",
@@ -83,52 +87,52 @@ def stock_share(df: DataFrame) -> DataFrame:
 
 def stock_by_category(df: DataFrame) -> DataFrame:
     return (
-        df.groupBy("category")
-        .agg(F.count("*").alias("total_skus"), F.count_if("out_of_stock").alias("oos_skus"))
+        measures(df)
+        .groupBy("category")
+        .agg(listings().alias("total_skus"), out_of_stock_listings().alias("oos_skus"))
         .withColumn("oos_rate_pct", pct(F.col("oos_skus"), F.col("total_skus")))
         .orderBy(F.desc("oos_rate_pct"), "category")
     )
 
 
 def weight_tiers(df: DataFrame) -> DataFrame:
-    index = bands.band_index(F.col("weight_in_gms"), bands.WEIGHT_TIERS)
     return (
-        df.groupBy(index.alias("tier"))
+        measures(df)
+        .groupBy("weight_tier")
         .agg(
-            F.count("*").alias("product_count"),
-            mean(F.col("mrp"), 2).alias("avg_mrp"),
-            mean(F.col("discounted_selling_price"), 2).alias("avg_selling_price"),
+            listings().alias("product_count"),
+            average("mrp", 2).alias("avg_mrp"),
+            average("discounted_selling_price", 2).alias("avg_selling_price"),
         )
-        .orderBy(F.asc_nulls_last("tier"))
-        .withColumn("weight_tier", bands.band_label(F.col("tier"), bands.WEIGHT_TIERS))
-        .select("weight_tier", "product_count", "avg_mrp", "avg_selling_price")
+        .orderBy(F.asc_nulls_last("weight_tier"))
+        .withColumn("weight_tier", bands.band_label(F.col("weight_tier"), bands.WEIGHT_TIERS))
     )
 
 
 def price_per_gram_by_category(df: DataFrame) -> DataFrame:
     return (
-        df.where("price_per_gram IS NOT NULL")
+        measures(df)
+        .where("n_price_per_gram > 0")
         .groupBy("category")
         .agg(
-            mean(F.col("price_per_gram"), 4).alias("avg_price_per_gram"),
-            money(F.min("price_per_gram")).alias("min_price_per_gram"),
-            money(F.max("price_per_gram")).alias("max_price_per_gram"),
+            average("price_per_gram", 4).alias("avg_price_per_gram"),
+            money(F.min("min_price_per_gram")).alias("min_price_per_gram"),
+            money(F.max("max_price_per_gram")).alias("max_price_per_gram"),
         )
         .orderBy(F.desc("avg_price_per_gram"), "category")
     )
 
 
 def revenue_potential(df: DataFrame) -> DataFrame:
-    revenue = F.col("estimated_revenue")
-    return df.agg(
-        money(F.sum(revenue)).alias("total_potential_revenue"),
-        mean(revenue, 2).alias("avg_revenue_per_sku"),
-        F.count_if(revenue > 0).alias("revenue_generating_skus"),
+    return measures(df).agg(
+        money(F.sum("sum_estimated_revenue")).alias("total_potential_revenue"),
+        average("estimated_revenue", 2).alias("avg_revenue_per_sku"),
+        F.coalesce(F.sum("earning"), F.lit(0)).alias("revenue_generating_skus"),
     )
 
 
 def revenue_by_category(df: DataFrame) -> DataFrame:
-    groups = df.groupBy("category").agg(F.sum("estimated_revenue").alias("revenue"))
+    groups = measures(df).groupBy("category").agg(F.sum("sum_estimated_revenue").alias("revenue"))
     return (
         with_totals(groups, "revenue")
         .select(

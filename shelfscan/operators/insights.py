@@ -1,6 +1,7 @@
 """Business questions over the clean listings.
 
-Thresholds and list lengths are parameters. Where the order of a list is not settled by the
+Reports of sums and averages also accept a cube of the listings; product lists, medians and
+distinct counts need the listings. Thresholds and list lengths are parameters. Where the order of a list is not settled by the
 sort keys alone, ``sku_id`` decides.
 """
 
@@ -13,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfscan.functions import bands
-from shelfscan.functions.exact import mean, money, pct, ratio, to_code
+from shelfscan.functions.exact import money, pct, ratio, to_code
+from shelfscan.operators.cube import average, listings, measures, out_of_stock_listings
 from shelfscan.operators.explore import stock_status
 from shelfscan.operators.median import summarise
 from shelfscan.operators.ranking import ranked_with_running_total
@@ -50,14 +52,14 @@ def top_discounts(df: DataFrame, n: int = 10) -> DataFrame:
 
 
 def discount_by_category(df: DataFrame) -> DataFrame:
-    discount = F.col("discount_percent")
     return (
-        df.groupBy("category")
+        measures(df)
+        .groupBy("category")
         .agg(
-            mean(discount, 1).alias("avg_discount_pct"),
-            F.count("*").alias("total_skus"),
-            F.min(discount).cast("double").alias("min_discount"),
-            F.max(discount).cast("double").alias("max_discount"),
+            average("discount_percent", 1).alias("avg_discount_pct"),
+            listings().alias("total_skus"),
+            F.min("discount_percent").cast("double").alias("min_discount"),
+            F.max("discount_percent").cast("double").alias("max_discount"),
         )
         .orderBy(F.desc_nulls_first("avg_discount_pct"), "category")
     )
@@ -83,8 +85,9 @@ def premium_low_discount(df: DataFrame, min_mrp: int = 500, max_discount: int =
 def stockouts_by_discount_tier(df: DataFrame) -> DataFrame:
     index = bands.band_index(F.col("discount_percent"), bands.STOCKOUT_TIERS)
     return (
-        df.groupBy(index.alias("tier"))
-        .agg(F.count("*").alias("total_products"), F.count_if("out_of_stock").alias("oos_count"))
+        measures(df)
+        .groupBy(index.alias("tier"))
+        .agg(listings().alias("total_products"), out_of_stock_listings().alias("oos_count"))
         .orderBy(F.asc_nulls_last("tier"))
         .select(
             bands.band_label(F.col("tier"), bands.STOCKOUT_TIERS).alias("discount_tier"),
@@ -117,11 +120,12 @@ def discount_histogram(df: DataFrame) -> DataFrame:
     # integer division by ten truncates, as the bins are defined
     bracket = F.call_function("div", F.col("discount_percent"), F.lit(10)).cast("int")
     return (
-        df.groupBy((bracket * 10).alias("discount_bracket_start"))
+        measures(df)
+        .groupBy((bracket * 10).alias("discount_bracket_start"))
         .agg(
-            F.count("*").alias("product_count"),
-            mean(F.col("available_quantity"), 0).alias("avg_stock_in_bracket"),
-            F.count_if("out_of_stock").alias("oos"),
+            listings().alias("product_count"),
+            average("available_quantity", 0).alias("avg_stock_in_bracket"),
+            out_of_stock_listings().alias("oos"),
         )
         .select(
             "discount_bracket_start",
@@ -158,8 +162,9 @@ def deep_discounts(df: DataFrame, above: int = 60) -> DataFrame:
 
 def _stockouts_by_category(df: DataFrame) -> DataFrame:
     return (
-        df.groupBy("category")
-        .agg(F.count("*").alias("total_skus"), F.count_if("out_of_stock").alias("oos_count"))
+        measures(df)
+        .groupBy("category")
+        .agg(listings().alias("total_skus"), out_of_stock_listings().alias("oos_count"))
         .withColumn("oos_rate_pct", oos_rate("total_skus", "oos_count"))
     )
 
@@ -181,15 +186,14 @@ def critical_categories(df: DataFrame, above: int = 50) -> DataFrame:
 
 
 def quantity_by_category(df: DataFrame) -> DataFrame:
-    quantity = F.col("available_quantity")
     return (
-        in_stock(df)
+        in_stock(measures(df))
         .groupBy("category")
         .agg(
-            mean(quantity, 0).alias("avg_quantity"),
-            F.min(quantity).alias("min_quantity"),
-            F.max(quantity).alias("max_quantity"),
-            F.sum(quantity).alias("total_units"),
+            average("available_quantity", 0).alias("avg_quantity"),
+            F.min("min_available_quantity").alias("min_quantity"),
+            F.max("max_available_quantity").alias("max_quantity"),
+            F.sum("sum_available_quantity").alias("total_units"),
         )
         .orderBy(F.desc_nulls_first("avg_quantity"), "category")
     )
@@ -207,12 +211,13 @@ def cheap_and_stocked(df: DataFrame, max_price: int = 50, n: int = 15) -> DataFr
 
 def stock_comparison(df: DataFrame) -> DataFrame:
     return (
-        df.groupBy("out_of_stock")
+        measures(df)
+        .groupBy("out_of_stock")
         .agg(
-            F.count("*").alias("sku_count"),
-            mean(F.col("discount_percent"), 1).alias("avg_discount_pct"),
-            mean(F.col("mrp"), 2).alias("avg_mrp"),
-            mean(F.col("discounted_selling_price"), 2).alias("avg_selling_price"),
+            listings().alias("sku_count"),
+            average("discount_percent", 1).alias("avg_discount_pct"),
+            average("mrp", 2).alias("avg_mrp"),
+            average("discounted_selling_price", 2).alias("avg_selling_price"),
         )
         .select(stock_status().alias("stock_status"), "sku_count", "avg_discount_pct", "avg_mrp", "avg_selling_price")
     )
@@ -227,13 +232,14 @@ def lost_revenue(df: DataFrame) -> DataFrame:
     """
     stocked = ~F.col("out_of_stock")
     groups = (
-        df.where("category IS NOT NULL")
+        measures(df)
+        .where("category IS NOT NULL")
         .groupBy("category")
         .agg(
-            F.count_if("out_of_stock").alias("oos_sku_count"),
-            F.count_if(stocked).alias("stocked"),
-            mean(F.when(stocked, F.col("discounted_selling_price")), 2).alias("avg_category_price"),
-            mean(F.when(stocked, F.col("available_quantity")), 0).alias("avg_category_qty"),
+            out_of_stock_listings().alias("oos_sku_count"),
+            listings(stocked).alias("stocked"),
+            average("discounted_selling_price", 2, stocked).alias("avg_category_price"),
+            average("available_quantity", 0, stocked).alias("avg_category_qty"),
         )
         .where("oos_sku_count > 0 AND stocked > 0")
     )
@@ -254,12 +260,12 @@ def lost_revenue(df: DataFrame) -> DataFrame:
 
 def revenue_by_category_in_stock(df: DataFrame) -> DataFrame:
     groups = (
-        in_stock(df)
+        in_stock(measures(df))
         .groupBy("category")
         .agg(
-            F.sum("estimated_revenue").alias("revenue"),
-            F.count("*").alias("total_skus"),
-            F.count("estimated_revenue").alias("with_revenue"),
+            F.sum("sum_estimated_revenue").alias("revenue"),
+            listings().alias("total_skus"),
+            F.sum("n_estimated_revenue").alias("with_revenue"),
         )
     )
     return (
@@ -298,14 +304,13 @@ def best_value(df: DataFrame, n: int = 3) -> DataFrame:
 
 
 def top_inventory_value(df: DataFrame, n: int = 5) -> DataFrame:
-    units = F.col("available_quantity")
     return (
-        in_stock(df)
+        in_stock(measures(df))
         .groupBy("category")
         .agg(
-            F.sum(F.col("mrp") * units).alias("at_mrp"),
-            F.sum(F.col("discounted_selling_price") * units).alias("at_selling"),
-            F.sum(units).alias("total_units"),
+            F.sum("sum_value_at_mrp").alias("at_mrp"),
+            F.sum("sum_value_at_price").alias("at_selling"),
+            F.sum("sum_available_quantity").alias("total_units"),
         )
         .orderBy(F.desc_nulls_first("at_selling"), "category")
         .limit(n)
@@ -320,21 +325,18 @@ def top_inventory_value(df: DataFrame, n: int = 5) -> DataFrame:
 
 
 def weight_tier_pricing(df: DataFrame) -> DataFrame:
-    tiers = bands.numbered(bands.WEIGHT_TIERS)
     return (
-        df.groupBy(bands.band_index(F.col("weight_in_gms"), tiers).alias("tier"))
+        measures(df)
+        .groupBy("weight_tier")
         .agg(
-            F.count("*").alias("sku_count"),
-            mean(F.col("mrp"), 2).alias("avg_mrp"),
-            mean(F.col("discounted_selling_price"), 2).alias("avg_selling_price"),
-            mean(F.col("discount_percent"), 1).alias("avg_discount_pct"),
-            mean(F.col("price_per_gram"), 4).alias("avg_price_per_gram"),
-        )
-        .orderBy(F.asc_nulls_last("tier"))
-        .withColumn("weight_tier", bands.band_label(F.col("tier"), tiers))
-        .select(
-            "weight_tier", "sku_count", "avg_mrp", "avg_selling_price", "avg_discount_pct", "avg_price_per_gram"
+            listings().alias("sku_count"),
+            average("mrp", 2).alias("avg_mrp"),
+            average("discounted_selling_price", 2).alias("avg_selling_price"),
+            average("discount_percent", 1).alias("avg_discount_pct"),
+            average("price_per_gram", 4).alias("avg_price_per_gram"),
         )
+        .orderBy(F.asc_nulls_last("weight_tier"))
+        .withColumn("weight_tier", bands.band_label(F.col("weight_tier"), bands.numbered(bands.WEIGHT_TIERS)))
     )
 
 
@@ -358,14 +360,14 @@ def price_range(df: DataFrame) -> DataFrame:
 def revenue_retention(df: DataFrame) -> DataFrame:
     """Share of list-price value that remains after discounts, per category."""
     return (
-        in_stock(df)
-        .where("mrp > 0")
+        in_stock(measures(df))
+        .where("priced")
         .groupBy("category")
         .agg(
-            F.sum("estimated_revenue").alias("revenue"),
-            F.sum(F.col("mrp") * F.col("available_quantity")).alias("at_mrp"),
-            mean(F.col("discount_percent"), 1).alias("avg_discount_pct"),
-            F.count("*").alias("total_skus"),
+            F.sum("sum_estimated_revenue").alias("revenue"),
+            F.sum("sum_value_at_mrp").alias("at_mrp"),
+            average("discount_percent", 1).alias("avg_discount_pct"),
+            listings().alias("total_skus"),
         )
         .select(
             "category",
@@ -466,11 +468,11 @@ def discount_stockout_ratio(df: DataFrame) -> DataFrame:
     """How many times likelier a stock-out is above 40% discount than without any."""
     discount = F.col("discount_percent")
     deep, none = discount > 40, discount == 0
-    counts = df.agg(
-        F.count_if(deep).alias("deep"),
-        F.count_if(deep & F.col("out_of_stock")).alias("deep_oos"),
-        F.count_if(none).alias("none"),
-        F.count_if(none & F.col("out_of_stock")).alias("none_oos"),
+    counts = measures(df).agg(
+        listings(deep).alias("deep"),
+        listings(deep & F.col("out_of_stock")).alias("deep_oos"),
+        listings(none).alias("none"),
+        listings(none & F.col("out_of_stock")).alias("none_oos"),
     )
     return counts.select(
         pct(F.col("deep_oos"), F.col("deep")).alias("deep_oos_rate_pct"),
@@ -485,13 +487,13 @@ def discount_stockout_ratio(df: DataFrame) -> DataFrame:
 
 def leading_category_share(df: DataFrame, n: int = 2) -> DataFrame:
     """Revenue share of the ``n`` best-earning categories together."""
-    groups = in_stock(df).groupBy("category").agg(F.sum("estimated_revenue").alias("revenue"))
+    groups = in_stock(measures(df)).groupBy("category").agg(F.sum("sum_estimated_revenue").alias("revenue"))
     top = with_totals(groups, "revenue").orderBy(F.desc_nulls_last("revenue"), "category").limit(n)
     return top.agg(pct(F.sum("revenue"), F.max("total_revenue")).alias("revenue_share_pct"))
 
 
 def deep_discount_count(df: DataFrame, above: int = 60) -> DataFrame:
-    return df.agg(F.count_if(F.col("discount_percent") > above).alias("deep_discount_skus"))
+    return measures(df).agg(listings(F.col("discount_percent") > above).alias("deep_discount_skus"))
 
 
 def total_lost_revenue(df: DataFrame) -> DataFrame:
@@ -500,4 +502,4 @@ def total_lost_revenue(df: DataFrame) -> DataFrame:
 
 
 def overall_stockout_rate(df: DataFrame) -> DataFrame:
-    return df.agg(pct(F.count_if("out_of_stock"), F.count("*")).alias("oos_rate_pct"))
+    return measures(df).agg(pct(out_of_stock_listings(), listings()).alias("oos_rate_pct"))

@@ -1,8 +1,7 @@
 """Dashboard tables over the listings cleaned for the dashboard.
 
-All summary tables come from one cube with a row per category, discount and stock flag, so the
-listings are scanned once however many tables are written. The cube has at most a few hundred
-rows per category; product lists and the scatter points read the listings themselves.
+All summary tables can be read from one cube of the listings, so that these are scanned once
+however many tables are written; product lists and the scatter points read the listings.
 """
 
 from __future__ import annotations
@@ -12,26 +11,22 @@ from pyspark.sql import functions as F
 
 from shelfscan.functions import bands
 from shelfscan.functions.exact import money, pct, ratio
+from shelfscan.operators.cube import listings, measures, out_of_stock_listings, stock_cube
 from shelfscan.sources import sinks
 from shelfscan.sources.workspace import materialize
 
 
-def stock_cube(df: DataFrame) -> DataFrame:
-    return df.groupBy("category", "discount_percent", "out_of_stock").agg(
-        F.count("*").alias("skus"),
-        F.sum("estimated_revenue").alias("revenue"),
-        F.sum(F.col("mrp") * F.col("available_quantity")).alias("value"),
-        F.sum("discount_percent").alias("discount"),
-    )
-
-
 def _by_category(cube: DataFrame) -> DataFrame:
-    return cube.groupBy("category").agg(
-        F.sum("skus").alias("skus"),
-        F.sum("revenue").alias("revenue"),
-        F.sum(F.when(~F.col("out_of_stock"), F.col("value")).otherwise(0)).alias("value"),
-        F.sum(F.when(F.col("out_of_stock"), F.col("skus")).otherwise(0)).alias("oos"),
-        F.sum("discount").alias("discount"),
+    return (
+        measures(cube)
+        .groupBy("category")
+        .agg(
+            listings().alias("skus"),
+            F.sum("sum_estimated_revenue").alias("revenue"),
+            F.sum(F.when(~F.col("out_of_stock"), F.col("sum_value_at_mrp")).otherwise(0)).alias("value"),
+            out_of_stock_listings().alias("oos"),
+            F.sum("sum_discount_percent").alias("discount"),
+        )
     )
 
 
@@ -60,13 +55,14 @@ def kpis_by_category(cube: DataFrame) -> DataFrame:
 
 
 def categories(cube: DataFrame) -> DataFrame:
-    return cube.select("category").distinct().orderBy("category")
+    return measures(cube).select("category").distinct().orderBy("category")
 
 
 def revenue_by_category(cube: DataFrame) -> DataFrame:
     return (
-        cube.groupBy("category")
-        .agg(money(F.sum("revenue")).alias("revenue"))
+        measures(cube)
+        .groupBy("category")
+        .agg(money(F.sum("sum_estimated_revenue")).alias("revenue"))
         .orderBy(F.desc_nulls_last("revenue"), "category")
     )
 
@@ -87,12 +83,7 @@ def discount_distribution(cube: DataFrame, top_edge: int = 70) -> DataFrame:
     """Listings per ten-wide discount bucket up to ``top_edge``; empty buckets show 0."""
     edges = list(range(0, top_edge + 1, 10))
     discount = F.col("discount_percent")
-    counts = cube.agg(
-        *[
-            F.coalesce(F.sum(F.when(discount.between(e, e + 9), F.col("skus"))), F.lit(0)).alias(f"n{e}")
-            for e in edges
-        ]
-    )
+    counts = measures(cube).agg(*[listings(discount.between(e, e + 9)).alias(f"n{e}") for e in edges])
     rows = [
         F.struct(F.lit(e).alias("bucket_start"), F.lit(f"{e}-{e + 9}%").alias("label"), F.col(f"n{e}").alias("n"))
         for e in edges
@@ -105,8 +96,8 @@ def discount_vs_stockouts(cube: DataFrame, tiers: list[bands.Band] = bands.DASHB
     sums = []
     for i, tier in enumerate(tiers):
         held = bands.in_band(F.col("discount_percent"), tier)
-        sums.append(F.coalesce(F.sum(F.when(held, F.col("skus"))), F.lit(0)).alias(f"total{i}"))
-        sums.append(F.coalesce(F.sum(F.when(held & F.col("out_of_stock"), F.col("skus"))), F.lit(0)).alias(f"oos{i}"))
+        sums.append(listings(held).alias(f"total{i}"))
+        sums.append(listings(held & F.col("out_of_stock")).alias(f"oos{i}"))
     rows = [
         F.struct(
             F.lit(i + 1).alias("tier_index"),
@@ -117,13 +108,14 @@ def discount_vs_stockouts(cube: DataFrame, tiers: list[bands.Band] = bands.DASHB
         )
         for i, (label, _, _) in enumerate(tiers)
     ]
-    return cube.agg(*sums).select(F.inline(F.array(*rows)))
+    return measures(cube).agg(*sums).select(F.inline(F.array(*rows)))
 
 
 def discount_by_category(cube: DataFrame) -> DataFrame:
     return (
-        cube.groupBy("category")
-        .agg(ratio(F.sum("discount"), F.sum("skus"), 1).alias("avg_discount"))
+        measures(cube)
+        .groupBy("category")
+        .agg(ratio(F.sum("sum_discount_percent"), listings(), 1).alias("avg_discount"))
         .orderBy("category")
     )
 

@@ -108,8 +108,8 @@ def _mart_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _json_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cube = marts.stock_cube(tables.dashboard(spark, sf_dir))
-    path = sinks.write_table(marts.revenue_by_category(cube), fresh_path(spark, "json"), "json")
+    mart = marts.revenue_by_category(tables.dashboard(spark, sf_dir))
+    path = sinks.write_table(mart, fresh_path(spark, "json"), "json")
     return spark.read.schema("category string, revenue double").json(path)
 
 
@@ -119,8 +119,8 @@ def _partitioned_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _doubles(spark.read.schema(points.schema).parquet(path))
 
 
-def _cube(build: Operator) -> Query:
-    return _over(tables.dashboard, lambda df: build(marts.stock_cube(df)))
+def _mart(build: Operator) -> Query:
+    return _over(tables.dashboard, build)
 
 
 RAW_PRICES = ("mrp", "discounted_selling_price")
@@ -168,19 +168,19 @@ CATALOG: dict[str, Query] = {
     "j4_rupees": _over(tables.dashboard, _columns(*RAW_PRICES)),
     "j5_derived_columns": _over(tables.dashboard, _columns("price_per_gram", "estimated_revenue")),
     # dashboard tables
-    "d01_kpis": _cube(marts.kpis),
-    "d02_categories": _cube(marts.categories),
-    "d03_revenue_by_category": _cube(marts.revenue_by_category),
-    "d04_oos_by_category": _cube(marts.stockouts_by_category),
-    "d04_oos_top_categories": _cube(marts.worst_stockouts),
-    "d05_discount_distribution": _cube(marts.discount_distribution),
-    "d06_discount_vs_oos": _cube(marts.discount_vs_stockouts),
-    "d07_avg_discount_by_category": _cube(marts.discount_by_category),
-    "d08_stock_by_category": _cube(marts.stock_by_category),
+    "d01_kpis": _mart(marts.kpis),
+    "d02_categories": _mart(marts.categories),
+    "d03_revenue_by_category": _mart(marts.revenue_by_category),
+    "d04_oos_by_category": _mart(marts.stockouts_by_category),
+    "d04_oos_top_categories": _mart(marts.worst_stockouts),
+    "d05_discount_distribution": _mart(marts.discount_distribution),
+    "d06_discount_vs_oos": _mart(marts.discount_vs_stockouts),
+    "d07_avg_discount_by_category": _mart(marts.discount_by_category),
+    "d08_stock_by_category": _mart(marts.stock_by_category),
     "d09_top_products": _over(tables.dashboard, marts.top_products),
     "d10_scatter": _over(tables.dashboard, marts.scatter),
     "d11_all_rows": _over(tables.dashboard, lambda df: df),
-    "d12_kpis_by_category": _cube(marts.kpis_by_category),
+    "d12_kpis_by_category": _mart(marts.kpis_by_category),
     "d13_top_products_by_category": _over(tables.dashboard, marts.top_products_by_category),
     # BI measures
     "m1_total_skus": _over(tables.light, measures.total_skus),

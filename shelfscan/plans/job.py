@@ -11,15 +11,18 @@ from pyspark.sql import SparkSession
 
 from shelfscan import schema
 from shelfscan.operators import cleaning, marts, quality
+from shelfscan.operators.cube import stock_cube
 from shelfscan.plans import reports
 from shelfscan.sources import listings, sinks
+from shelfscan.sources.workspace import materialize
 
 
 def run(spark: SparkSession, csv: str, out: str, encoding: str = "UTF-8", fmt: str = "parquet") -> dict[str, str]:
     """Load, audit, clean, analyse and build the dashboard tables; returns name -> path.
 
     The raw and clean tables are stored before anything reads them, so each is made once and a
-    rerun replaces what an earlier one left. A raw table that breaks its key is refused.
+    rerun replaces what an earlier one left. Reports that can be read from a cube of the clean
+    listings share one scan of them. A raw table that breaks its key is refused.
     """
     raw_path = listings.save_table(listings.read_strict(spark, csv, encoding), f"{out}/raw")
     raw = spark.read.schema(schema.RAW).parquet(raw_path)
@@ -29,9 +32,11 @@ def run(spark: SparkSession, csv: str, out: str, encoding: str = "UTF-8", fmt: s
     dashboard_path = listings.save_table(cleaning.clean_for_dashboard(raw), f"{out}/dashboard_listings")
     dashboard = spark.read.schema(schema.CLEAN).parquet(dashboard_path)
 
+    cube = materialize(stock_cube(clean), "cube")
     tables = {name: operator(raw) for name, operator in reports.AUDIT.items()}
     for group in (reports.VALIDATION, reports.EXPLORATION, reports.BUSINESS, reports.FINDINGS):
-        tables |= {name: operator(clean) for name, operator in group.items()}
+        for name, operator in group.items():
+            tables[name] = operator(clean if name in reports.FROM_LISTINGS else cube)
     return {
         "raw": raw_path,
         "clean": clean_path,

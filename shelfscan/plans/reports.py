@@ -78,3 +78,19 @@ FINDINGS: dict[str, Operator] = {
     "f4_total_lost_revenue": insights.total_lost_revenue,
     "f5_overall_stockout_rate": insights.overall_stockout_rate,
 }
+
+# of these, the ones that need single listings; the others can be read from a cube
+FROM_LISTINGS = {
+    *VALIDATION,
+    "e01_summary_statistics",
+    "b01_top_discounts",
+    "b03_premium_low_discount",
+    "b06_best_value",
+    "b09_largest_markdowns",
+    "b14_pareto",
+    "b14_pareto_all",
+    "b15_cheap_and_stocked",
+    "b16_price_range",
+    "b19_deep_discounts",
+    "b21_executive_summary",
+}

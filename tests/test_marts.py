@@ -3,12 +3,13 @@ from __future__ import annotations
 import pytest
 
 from shelfscan.operators import cleaning, marts
+from shelfscan.operators.cube import stock_cube
 from shelfscan.plans import job
 from shelfscan.sources import listings
 
 
 def _cube(df):
-    return marts.stock_cube(cleaning.clean_for_dashboard(df))
+    return stock_cube(cleaning.clean_for_dashboard(df))
 
 
 def test_empty_buckets_and_tiers_show_zero(raw):

@@ -10,9 +10,12 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from shelfscan.plans import oracle, tables
+from shelfscan.operators import marts
+from shelfscan.operators.cube import stock_cube
+from shelfscan.plans import oracle, reports, tables
 from shelfscan.plans.catalog import CATALOG
 from shelfscan.sources.driver_tables import raw_listings
+from shelfscan.sources.workspace import materialize
 from tests.conftest import DATA
 from tests.test_oracle import _sorted
 
@@ -81,3 +84,14 @@ def test_matches_sql(spark, duck, messy, name):
     order = [d[0] for d in result.description]
     want = [tuple(row[order.index(c)] for c in columns) for row in result.fetchall()]
     assert _sorted(got) == _sorted(want)
+
+
+def test_reports_from_the_cube_equal_those_from_listings(spark, messy):
+    clean, dashboard = tables.clean(spark, messy), tables.dashboard(spark, messy)
+    cube, dashboard_cube = materialize(stock_cube(clean), "cube"), materialize(stock_cube(dashboard), "cube")
+    summaries = {**reports.EXPLORATION, **reports.BUSINESS, **reports.FINDINGS}
+    for name, operator in summaries.items():
+        if name not in reports.FROM_LISTINGS:
+            assert operator(cube).collect() == operator(clean).collect(), name
+    for name, build in marts.CUBE_MARTS.items():
+        assert build(dashboard_cube).collect() == build(dashboard).collect(), name
