@@ -1,7 +1,8 @@
 """The listing tables behind the queries, written once per session and read by all of them.
 
 Loading and cleaning are done once and every analysis reads the stored result, as Parquet with
-column pruning and filter pushdown. The tables live in the session's shared folder.
+column pruning and filter pushdown. The tables live in the session's shared folder; to see
+changed input, start a new session.
 """
 
 from __future__ import annotations
