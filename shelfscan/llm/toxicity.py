@@ -159,18 +159,25 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     return fit([bytes(r["terms"]) for r in examples], [r["label"] for r in examples], max_terms)
 
 
-def score(documents: DataFrame, machine: Machine) -> DataFrame:
-    """All columns of ``documents`` and ``toxicity``, from 0 to 1. A column of that name is replaced."""
-    documents = documents.drop("toxicity")
+def score(documents: DataFrame, machine: Machine, name: str = "toxicity") -> DataFrame:
+    """All columns of ``documents`` and the score, from 0 to 1, in a column ``name`` that they don't have."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [machine.score(text, term, n) for _, n, text, term in text_terms(batch.column("text"))]
             values = pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, name])
 
     fields = [T.StructField(f.name, f.dataType) for f in documents.schema]
-    return documents.mapInArrow(scored, T.StructType([*fields, T.StructField("toxicity", T.DoubleType())]))
+    return documents.mapInArrow(scored, T.StructType([*fields, T.StructField(name, T.DoubleType())]))
+
+
+def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that score below ``threshold``; all columns as they were."""
+    name = "toxicity"
+    while name in [c.lower() for c in documents.columns]:
+        name += "_"
+    return score(documents, train(documents, labels), name).where(F.col(name) < threshold).drop(name)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
