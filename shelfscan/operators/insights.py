@@ -14,18 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfscan.functions import bands
-from shelfscan.functions.exact import money, pct, ratio, to_code
+from shelfscan.functions.exact import mean, money, pct, ratio, to_code
 from shelfscan.operators.cube import average, listings, measures, out_of_stock_listings
 from shelfscan.operators.explore import stock_status
 from shelfscan.operators.median import summarise
-from shelfscan.operators.ranking import ranked_with_running_total
+from shelfscan.operators.ranking import ranked_with_running_total, value_slices
 from shelfscan.operators.totals import with_totals
 
 
-# a leader list up to this long is ranked in one task
-MAX_LEADERS = 10_000
-
-
 def in_stock(df: DataFrame) -> DataFrame:
     return df.where("NOT out_of_stock")
 
@@ -90,6 +86,7 @@ def stockouts_by_discount_tier(df: DataFrame) -> DataFrame:
         .agg(listings().alias("total_products"), out_of_stock_listings().alias("oos_count"))
         .orderBy(F.asc_nulls_last("tier"))
         .select(
+            F.col("tier").alias("position"),
             bands.band_label(F.col("tier"), bands.STOCKOUT_TIERS).alias("discount_tier"),
             "total_products",
             "oos_count",
@@ -384,53 +381,40 @@ def revenue_retention(df: DataFrame) -> DataFrame:
 def executive_summary(df: DataFrame) -> DataFrame:
     """Ten headline figures in one row.
 
-    The listings are reduced to one row per category and product name first; the two distinct
-    counts then run over those, instead of tripling every listing.
+    Sums and averages are one plain aggregate, combined in each task. The two distinct counts
+    are one-row subqueries, so only categories and names are shuffled, each alone.
     """
-    stocked = ~F.col("out_of_stock")
-    products = df.groupBy("category", "name").agg(
-        F.count("*").alias("skus"),
-        F.sum("estimated_revenue").alias("revenue"),
-        F.sum(F.col("mrp") * F.col("available_quantity")).alias("at_mrp"),
-        F.sum("discount_percent").alias("discount"),
-        F.count("discount_percent").alias("discounts"),
-        F.count_if("out_of_stock").alias("oos"),
-        F.sum(F.when(stocked, F.col("available_quantity"))).alias("units"),
-        F.count(F.when(stocked, F.col("available_quantity"))).alias("stocked"),
-        F.sum("price_per_gram").alias("per_gram"),
-        F.count("price_per_gram").alias("per_grams"),
+    stocked = F.when(~F.col("out_of_stock"), F.col("available_quantity"))
+    figures = df.agg(
+        F.count("*").alias("total_skus"),
+        money(F.sum("estimated_revenue")).alias("total_potential_revenue"),
+        money(F.sum(F.col("mrp") * F.col("available_quantity"))).alias("total_inventory_at_mrp"),
+        mean(F.col("discount_percent"), 1).alias("avg_discount_pct"),
+        F.count_if("out_of_stock").alias("total_oos_skus"),
+        pct(F.count_if("out_of_stock"), F.count("*")).alias("oos_rate_pct"),
+        mean(stocked, 0).alias("avg_stock_level"),
+        mean(F.col("price_per_gram"), 4).alias("avg_price_per_gram"),
     )
-    return products.agg(
-        F.coalesce(F.sum("skus"), F.lit(0)).alias("total_skus"),
-        F.countDistinct("category").alias("total_categories"),
-        F.countDistinct("name").alias("unique_products"),
-        money(F.sum("revenue")).alias("total_potential_revenue"),
-        money(F.sum("at_mrp")).alias("total_inventory_at_mrp"),
-        ratio(F.sum("discount"), F.sum("discounts"), 1).alias("avg_discount_pct"),
-        F.sum("oos").alias("total_oos_skus"),
-        pct(F.sum("oos"), F.sum("skus")).alias("oos_rate_pct"),
-        ratio(F.sum("units"), F.sum("stocked"), 0).alias("avg_stock_level"),
-        ratio(F.sum("per_gram"), F.sum("per_grams"), 4).alias("avg_price_per_gram"),
+    return figures.withColumns(
+        {
+            "total_categories": df.select("category").distinct().agg(F.count("category")).scalar(),
+            "unique_products": df.select("name").distinct().agg(F.count("name")).scalar(),
+        }
     )
 
 
 def pareto(df: DataFrame, top_share: float = 0.2, limit: int | None = 20) -> DataFrame:
-    """The best-earning ``top_share`` of listings with the revenue share reached at each.
+    """The best-earning ``top_share`` of listings, or the ``limit`` first of them, in order, with
+    the revenue share reached at each.
 
-    Listings with equal revenue share one cumulative figure. With a small ``limit`` only that
-    many rows are ranked and nothing is shuffled but them; otherwise all rows of the top share
-    are ranked by a distributed sort.
+    Listings with equal revenue share one cumulative figure. Calling this runs jobs.
     """
     earning = df.where("estimated_revenue > 0").select("sku_id", "name", "category", "estimated_revenue")
-    total, count = earning.agg(F.sum("estimated_revenue"), F.count("*")).first()
+    slices = value_slices(earning, "estimated_revenue")
+    total, count = slices.agg(F.sum("amount"), F.coalesce(F.sum("n"), F.lit(0))).first()
     wanted = math.ceil(count * Decimal(str(top_share)))
-    if limit is not None and limit <= min(wanted, MAX_LEADERS):
-        ranked = _leaders(earning, limit)
-    else:
-        ranked = ranked_with_running_total(earning, "estimated_revenue", "sku_id", wanted, count)
-    ranked = ranked.orderBy("rank")
-    if limit is not None:
-        ranked = ranked.limit(limit)
+    wanted = wanted if limit is None else min(wanted, limit)
+    ranked = ranked_with_running_total(earning, slices, "estimated_revenue", "sku_id", wanted)
     return ranked.select(
         ratio(F.col("rank") * 100, F.lit(count), 0).alias("product_percentile"),
         "name",
@@ -440,27 +424,6 @@ def pareto(df: DataFrame, top_share: float = 0.2, limit: int | None = 20) -> Dat
     )
 
 
-def _leaders(rows: DataFrame, limit: int) -> DataFrame:
-    """The ``limit`` best earners with rank and running total.
-
-    The running totals need every row as good as the last leader; those are reduced to one row
-    per revenue, of which there are at most ``limit``.
-    """
-    top = rows.orderBy(F.desc("estimated_revenue"), "sku_id").limit(limit)
-    least = top.agg(F.min("estimated_revenue")).scalar()
-    totals = (
-        rows.where(F.col("estimated_revenue") >= least)
-        .groupBy("estimated_revenue")
-        .agg(F.sum("estimated_revenue").alias("amount"))
-        .select(
-            "estimated_revenue",
-            F.sum("amount").over(Window.orderBy(F.desc("estimated_revenue"))).alias("running_total"),
-        )
-    )
-    order = Window.orderBy(F.desc("estimated_revenue"), "sku_id")
-    return top.withColumn("rank", F.row_number().over(order)).join(F.broadcast(totals), "estimated_revenue")
-
-
 # --- findings ----------------------------------------------------------------------------
 
 

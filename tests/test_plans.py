@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from shelfscan.operators import insights
 from shelfscan.plans import reports, tables
 from shelfscan.plans.catalog import CATALOG
 from tests.conftest import DATA
@@ -56,11 +58,21 @@ def test_totals_reuse_the_grouping(spark):
         assert "ReusedExchange" in _final(CATALOG[name](spark, DATA))
 
 
-def test_distinct_counts_do_not_multiply_listings(spark):
-    plan = _plan(CATALOG["b21_executive_summary"](spark, DATA))
-    assert "Expand" in plan
-    below = plan[plan.index("Expand") :]
-    assert "HashAggregate" in below and "partial_count" in below
+def test_headline_figures_shuffle_names_only(spark):
+    df = spark.range(100_000).select(
+        F.col("id").cast("string").alias("sku_id"),
+        F.concat(F.lit("name "), "id").alias("name"),
+        (F.col("id") % 7).cast("string").alias("category"),
+        *[F.lit(5).cast(t).alias(c) for c, t in {
+            "mrp": "decimal(10,2)", "discount_percent": "int", "available_quantity": "int",
+            "price_per_gram": "decimal(10,4)", "estimated_revenue": "decimal(12,2)"}.items()],
+        (F.col("id") % 2 == 0).alias("out_of_stock"),
+    )
+    result = insights.executive_summary(df)
+    assert result.first()["unique_products"] == 100_000 and result.first()["total_categories"] == 7
+    plan = _plan(result)
+    assert "Expand" not in plan and "NestedLoop" not in plan
+    assert set(re.findall(r"Exchange hashpartitioning\((\w+)#\d+, ", plan)) == {"name", "category"}
 
 
 def test_filters_and_columns_reach_the_scan(spark):
