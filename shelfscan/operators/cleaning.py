@@ -83,14 +83,16 @@ def flag_to_boolean(df: DataFrame) -> DataFrame:
 
 
 def add_price_per_gram(df: DataFrame, otherwise: int | None = None) -> DataFrame:
-    """Selling price over weight, rounded half up to four decimals; ``otherwise`` where the
-    weight is not positive.
+    """Selling price over weight, rounded half away from zero to four decimals; ``otherwise``
+    where the weight is not positive.
 
-    The quotient is taken in whole ten-thousandths, so that no earlier rounding can tip a tie.
+    The quotient is taken in whole ten-thousandths, so that no earlier rounding can tip a tie,
+    and of the price without its sign, since a whole division cuts towards zero.
     """
     weight = F.col("weight_in_gms").cast("bigint")
-    doubled = to_code(F.col("discounted_selling_price"), 100) * 200 + weight
-    value = F.when(weight > 0, F.call_function("div", doubled, 2 * weight)) * F.lit(Decimal("0.0001"))
+    paise = to_code(F.col("discounted_selling_price"), 100)
+    whole = F.call_function("div", F.abs(paise) * 200 + weight, 2 * weight)
+    value = F.when(weight > 0, F.when(paise < 0, -whole).otherwise(whole)) * F.lit(Decimal("0.0001"))
     if otherwise is not None:
         value = F.when(weight > 0, value).otherwise(F.lit(otherwise))
     return df.withColumn("price_per_gram", value.cast(schema.PER_GRAM))
@@ -114,8 +116,7 @@ def clean(df: DataFrame) -> DataFrame:
 
     Weight medians are taken before unpriced listings are dropped, so those still count.
     """
-    typed = flag_to_boolean(to_major_units(repair(df)))
-    return add_estimated_revenue(add_price_per_gram(typed)).select(schema.CLEAN.fieldNames())
+    return add_estimated_revenue(add_price_per_gram(typed(repair(df)))).select(schema.CLEAN.fieldNames())
 
 
 def repair_discounts_for_dashboard(df: DataFrame) -> DataFrame:
@@ -131,10 +132,15 @@ def repair_for_dashboard(df: DataFrame, fallback_weight: int = 500) -> DataFrame
 
 def clean_for_dashboard(df: DataFrame, fallback_weight: int = 500) -> DataFrame:
     """The clean listings behind the dashboard tables: no NULL price per gram."""
-    typed = flag_to_boolean(to_major_units(repair_for_dashboard(df, fallback_weight)))
-    return add_estimated_revenue(add_price_per_gram(typed, otherwise=0)).select(schema.CLEAN.fieldNames())
+    priced = add_price_per_gram(typed(repair_for_dashboard(df, fallback_weight)), otherwise=0)
+    return add_estimated_revenue(priced).select(schema.CLEAN.fieldNames())
+
+
+def typed(df: DataFrame) -> DataFrame:
+    """Raw listings with prices in rupees and a boolean stock flag; nothing filled or dropped."""
+    return flag_to_boolean(to_major_units(df))
 
 
 def clean_light(df: DataFrame) -> DataFrame:
     """The short preparation for BI tools: no weight fill and no negative-discount repair."""
-    return drop_unpriced(flag_to_boolean(to_major_units(fill_discounts(df))))
+    return drop_unpriced(typed(fill_discounts(df)))

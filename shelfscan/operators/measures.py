@@ -1,4 +1,5 @@
-"""BI-tool measures, over lightly cleaned or raw listings."""
+"""BI-tool measures. The first three read lightly cleaned listings; the others raw ones, as
+the chart tool does: prices in rupees and a boolean flag, but nothing filled or dropped."""
 
 from __future__ import annotations
 
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shelfscan.functions.bands import decade
 from shelfscan.functions.exact import money
-from shelfscan.operators.cleaning import flag_to_boolean, to_major_units
+from shelfscan.operators.cleaning import typed
 
 
 def _sale_value() -> Column:
@@ -35,8 +36,7 @@ def stockout_rate(df: DataFrame) -> DataFrame:
 
 def row_level_revenue(raw: DataFrame) -> DataFrame:
     """Rupee prices and revenue next to each raw listing; revenue is 0 when out of stock."""
-    priced = flag_to_boolean(to_major_units(raw))
-    return priced.select(
+    return typed(raw).select(
         "sku_id",
         F.col("mrp").alias("mrp_rupees"),
         F.col("discounted_selling_price").alias("selling_price_rupees"),
@@ -53,5 +53,5 @@ def by_category(df: DataFrame) -> DataFrame:
 
 
 def discount_bins(df: DataFrame) -> DataFrame:
-    """Listings per ten-wide discount bin."""
+    """Listings per ten-wide discount bin; those without a discount are a bin of their own."""
     return df.groupBy(decade(F.col("discount_percent")).alias("bin_start")).agg(F.count("sku_id").alias("skus"))

@@ -4,7 +4,7 @@ from decimal import Decimal
 
 import pytest
 
-from shelfscan.operators import cleaning, explore, insights, lookup, quality
+from shelfscan.operators import cleaning, explore, insights, lookup, measures, quality
 from tests.conftest import column
 
 
@@ -143,3 +143,16 @@ def test_groups_without_values_stay(raw):
     assert [(r["count"], r["median_val"], r["std_dev"]) for r in nothing] == [(0, None, None)] * 3
     single = explore.summary_statistics(df.where("category = 'a'")).collect()
     assert [(r["count"], r["mean_val"], r["std_dev"]) for r in single] == [(1, 10.0, None), (1, 9.0, None), (1, 10.0, None)]
+
+
+def test_price_per_gram_of_a_negative_price(raw):
+    df = cleaning.typed(raw({"discounted_selling_price": -100, "weight_in_gms": 300}, {"discounted_selling_price": 100, "weight_in_gms": 300},
+                            {"discounted_selling_price": -1, "weight_in_gms": 200}, {"discounted_selling_price": -1, "weight_in_gms": 201}))
+    assert [str(v) for v in column(cleaning.add_price_per_gram(df), "price_per_gram")] == ["-0.0033", "0.0033", "-0.0001", "0.0000"]
+
+
+def test_chart_tables_read_raw_rows(raw):
+    df = cleaning.typed(raw({"discount_percent": None}, {"mrp": 0, "discounted_selling_price": 0}, {"out_of_stock": "True", "available_quantity": 7}))
+    assert sorted((r["bin_start"] is None, r["skus"]) for r in measures.discount_bins(df).collect()) == [(False, 2), (True, 1)]
+    row = measures.by_category(df).first()
+    assert (row["estimated_revenue"], row["out_of_stock_rate"]) == (45.0, 1 / 3)
