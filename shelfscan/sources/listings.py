@@ -3,6 +3,10 @@
 Three readers share one layout (header row, ``"`` quotes doubled to escape). An empty field is
 NULL; a quoted empty field is an empty string.
 
+A header must name the columns of the table in their order, unless the caller asks to read by
+position; the lenient reader always reads by position. A field with a line break inside its
+quotes is read whole only with ``line_breaks``, because a file can't be split among tasks then.
+
 * ``read_strict`` fails the job on a line that does not fit the table;
 * ``read_with_quarantine`` sets such lines aside;
 * ``read_lenient`` takes what it can: short lines are dropped, further fields ignored, and a
@@ -37,7 +41,14 @@ def _is_code_page(encoding: str) -> bool:
 
 
 def _read(
-    spark: SparkSession, path: str, layout: T.StructType, encoding: str, mode: str, header: bool
+    spark: SparkSession,
+    path: str,
+    layout: T.StructType,
+    encoding: str,
+    mode: str,
+    header: bool,
+    by_position: bool = True,
+    line_breaks: bool = False,
 ) -> DataFrame:
     """Parse the text. Windows code page 1252 is read as ISO-8859-1, which keeps every byte and
     the delimiters, and the characters that differ are then replaced. All fields are parsed
@@ -45,6 +56,8 @@ def _read(
     code_page = _is_code_page(encoding)
     options = {
         "header": header,
+        "enforceSchema": by_position,
+        "multiLine": line_breaks,
         "columnPruning": False,
         "quote": '"',
         "escape": '"',
@@ -60,14 +73,26 @@ def _read(
     return df
 
 
-def read_strict(spark: SparkSession, path: str, encoding: str = "UTF-8", header: bool = True) -> DataFrame:
+def read_strict(
+    spark: SparkSession,
+    path: str,
+    encoding: str = "UTF-8",
+    header: bool = True,
+    by_position: bool = False,
+    line_breaks: bool = False,
+) -> DataFrame:
     """Load for ``save_table``, which reads every field; Spark checks a field only when it is
     read, so a bare row count would not notice a bad number."""
-    return _read(spark, path, schema.RAW, encoding, "FAILFAST", header)
+    return _read(spark, path, schema.RAW, encoding, "FAILFAST", header, by_position, line_breaks)
 
 
 def read_with_quarantine(
-    spark: SparkSession, path: str, encoding: str = "UTF-8", header: bool = True
+    spark: SparkSession,
+    path: str,
+    encoding: str = "UTF-8",
+    header: bool = True,
+    by_position: bool = False,
+    line_breaks: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """The listings that fit the table, and the text of the lines that do not.
 
@@ -75,7 +100,8 @@ def read_with_quarantine(
     Spark does not answer a query for the rejected text alone from the file itself.
     """
     layout = T.StructType([*schema.RAW.fields, T.StructField(CORRUPT, T.StringType())])
-    lines = materialize(_read(spark, path, layout, encoding, "PERMISSIVE", header), "parsed")
+    parsed = _read(spark, path, layout, encoding, "PERMISSIVE", header, by_position, line_breaks)
+    lines = materialize(parsed, "parsed")
     bad = F.col(CORRUPT).isNotNull()
     return lines.where(~bad).drop(CORRUPT), lines.where(bad).select(F.col(CORRUPT).alias("line"))
 

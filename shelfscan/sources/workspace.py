@@ -2,32 +2,61 @@
 
 The folder is the session's ``spark.checkpoint.dir``. Each call writes to a fresh path, so a
 rerun never meets half-written data, and a lost executor costs only the re-reading of a file.
+All paths of a session lie in one folder of its own, which is removed when Python exits or
+``clean_up`` is called; those made inside ``scratch`` are removed at its end, also on failure.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folders: dict[str, str] = {}
+#: On a cluster, a path on files (or without a scheme) is taken as shared only if this is set to true.
+SHARED_FILES = "spark.shelfscan.sharedFiles"
+
+_lock = threading.RLock()
+_folders: dict[str, list[str]] = {}  # by application: the session's own folder, then those of open scratches
+
+
+def _one_machine(spark: SparkSession) -> bool:
+    return spark.conf.get("spark.master", "").startswith("local")
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables; refused if executors could not all reach it.
+
+    Only a session whose executors are threads of this process gets a temporary folder when
+    none is set.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
+        on_files = "://" not in folder and not folder.startswith("hdfs:") or folder.startswith("file:")
+        if on_files and not _one_machine(spark) and spark.conf.get(SHARED_FILES, "false") != "true":
+            raise ValueError(f"{folder} may be a disk of each machine; set {SHARED_FILES}=true if all of them share it")
         return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+    return f"{tempfile.gettempdir()}/shelfscan"
+
+
+def _own_folders(spark: SparkSession) -> list[str]:
     app = spark.conf.get("spark.app.id")
-    if app not in _local_folders:
-        _local_folders[app] = tempfile.mkdtemp(prefix="shelfscan-")
-    return _local_folders[app]
+    with _lock:
+        if app not in _folders:
+            _folders[app] = [f"{shared_folder(spark)}/shelfscan-{uuid.uuid4().hex}"]
+            atexit.register(_clean_up_quietly, spark)
+        return _folders[app]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/shelfscan-{uuid.uuid4().hex}/{label}"
+    return f"{_own_folders(spark)[-1]}/{uuid.uuid4().hex}/{label}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -35,3 +64,36 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Paths made inside are removed at the end; nothing lazy that reads them may outlive it."""
+    folders = _own_folders(spark)
+    folder = f"{folders[0]}/scratch-{uuid.uuid4().hex}"
+    with _lock:
+        folders.append(folder)
+    try:
+        yield
+    finally:
+        with _lock:
+            folders.remove(folder)
+        _remove(spark, folder)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove everything this session stored for itself."""
+    with _lock:
+        folders = _folders.pop(spark.conf.get("spark.app.id"), [])
+    for folder in folders:
+        _remove(spark, folder)
+
+
+def _clean_up_quietly(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended already
+        clean_up(spark)

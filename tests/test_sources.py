@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 
 from shelfscan import schema
@@ -85,7 +87,53 @@ class _Session:
 
 
 def test_a_cluster_needs_a_shared_folder():
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        workspace.shared_folder(_Session(spark_master="yarn", spark_app_id="a"))
+    for master in ("yarn", "spark://host:7077", "k8s://host", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            workspace.shared_folder(_Session(spark_master=master, spark_app_id="a"))
     local = _Session(spark_master="local[2]", spark_app_id="unset")
     assert workspace.shared_folder(local) == workspace.shared_folder(local)
+
+
+@pytest.mark.parametrize("folder", ["file:/tmp/x", "file:///tmp/x", "/tmp/x"])
+def test_a_cluster_does_not_share_plain_paths(folder):
+    cluster = _Session(spark_master="yarn", spark_checkpoint_dir=folder)
+    with pytest.raises(ValueError, match="sharedFiles"):
+        workspace.shared_folder(cluster)
+    cluster.conf.values[workspace.SHARED_FILES] = "true"
+    assert workspace.shared_folder(cluster) == folder
+    for good in ("hdfs://name/x", "hdfs:/x", "s3a://bucket/x"):
+        assert workspace.shared_folder(_Session(spark_master="yarn", spark_checkpoint_dir=good)) == good
+    assert workspace.shared_folder(_Session(spark_master="local-cluster[2,1,9]", spark_checkpoint_dir=folder)) == folder
+
+
+def test_scratch_folders_are_removed(spark):
+    kept = workspace.materialize(spark.range(3), "kept")
+    with pytest.raises(RuntimeError), workspace.scratch(spark):
+        inside = workspace.fresh_path(spark, "x")
+        spark.range(3).write.parquet(inside)
+        raise RuntimeError
+    assert not Path(inside).exists()
+    assert kept.count() == 3
+
+
+def test_a_header_must_fit(spark, tmp_path):
+    names = schema.RAW.fieldNames()
+    turned = [*names[:4], names[5], names[4], *names[6:]]
+    renamed = ["sku", *names[1:]]
+    for i, header in enumerate((turned, renamed)):
+        path = tmp_path / f"{i}.csv"
+        path.write_text(",".join(header) + "\n" + GOOD + "\n")
+        with pytest.raises(Exception, match="header"):
+            listings.save_table(listings.read_strict(spark, str(path)), str(tmp_path / "table"))
+        with pytest.raises(Exception, match="header"):
+            listings.read_with_quarantine(spark, str(path))
+        assert listings.read_strict(spark, str(path), by_position=True).first()["discount_percent"] == 10
+        good, _ = listings.read_with_quarantine(spark, str(path), by_position=True)
+        assert good.count() == 1
+
+
+def test_line_breaks_in_quotes_on_request(spark, tmp_path):
+    path = _file(tmp_path, 'S1,c,"two\nlines",1,2,3,4,5,True')
+    assert listings.read_strict(spark, path, line_breaks=True).first()["name"] == "two\nlines"
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|Malformed"):
+        listings.save_table(listings.read_strict(spark, path), str(tmp_path / "table"))
