@@ -9,7 +9,8 @@ from shelfscan.sources.workspace import materialize
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 ROW_BYTES = 128
-SALTS = 32
+ROWS_PER_SALT = 1_000_000
+MAX_SALTS = 4096
 
 
 def is_small(table: DataFrame, text_columns: list[str], limit: int = BROADCAST_BYTES) -> bool:
@@ -30,17 +31,21 @@ def attach(
     """Left join ``table`` (one row per ``key``) to the ``wanted`` rows; the rest get NULLs.
 
     ``table`` is written once and measured. Within ``broadcast_bytes`` it is broadcast and no
-    row of ``rows`` moves. Beyond it only the wanted rows are shuffled, spread over ``SALTS``
-    copies of each key by a hash of their own identity, so that a hot key is shared out and a
-    retried task sends each row where it went before.
+    row of ``rows`` moves. Beyond it only the wanted rows are shuffled, spread over copies of
+    each key by a hash of their own identity, so that a hot key is shared out and a retried task
+    sends each row where it went before. There is one copy for each ``ROWS_PER_SALT`` wanted
+    rows, so a key that held all of them would still be shared out evenly.
+
+    Calling this runs jobs: the table is stored and measured before the result is built.
     """
     table = materialize(table, "lookup")
     if is_small(table, [key], broadcast_bytes):
         return rows.join(F.broadcast(table), key, "left")
 
     values = [c for c in table.columns if c != key]
-    salted_table = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted_rows = rows.where(wanted).withColumn("salt", F.pmod(F.xxhash64(row_key), F.lit(SALTS)).cast("int"))
+    salts = min(MAX_SALTS, rows.where(wanted).count() // ROWS_PER_SALT + 1)
+    salted_table = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted_rows = rows.where(wanted).withColumn("salt", F.pmod(F.xxhash64(row_key), F.lit(salts)).cast("int"))
     joined = salted_rows.join(salted_table.hint("merge"), [key, "salt"], "left").drop("salt")
     others = rows.where(~F.coalesce(wanted, F.lit(False))).withColumns(
         {c: F.lit(None).cast(table.schema[c].dataType) for c in values}

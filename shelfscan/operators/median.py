@@ -35,7 +35,7 @@ def _middle_slices(coded: DataFrame, keys: list[str]) -> DataFrame:
             F.min("code").alias("slice_min"),
             F.max("code").alias("slice_max"),
             F.sum(local).alias("first_moment"),
-            F.sum((local * local).cast("double")).alias("second_moment"),
+            F.sum((local * local).cast("decimal(19,0)")).alias("second_moment"),
         )
         .withColumn("slice_sum", F.col("first_moment") + start.cast("decimal(19,0)") * F.col("slice_n"))
         .withColumns(
@@ -47,15 +47,19 @@ def _middle_slices(coded: DataFrame, keys: list[str]) -> DataFrame:
                 "sum_code": F.sum("slice_sum").over(group),
             }
         )
-        .withColumn("to_mean", start - F.col("sum_code").cast("double") / F.col("n"))
+        # distances to a whole number next to the mean, summed as decimals and converted once
+        .withColumn("centre", F.expr("CASE WHEN n > 0 THEN CAST(sum_code div n AS BIGINT) END"))
+        .withColumn("offset", (start - F.col("centre")).cast("decimal(18,0)"))
         .withColumn(
-            "squares",
+            "around_centre",
             F.sum(
                 F.col("second_moment")
-                + 2 * F.col("to_mean") * F.col("first_moment")
-                + F.col("slice_n") * F.col("to_mean") * F.col("to_mean")
+                + 2 * F.col("offset") * F.col("first_moment")
+                + F.col("offset") * F.col("offset") * F.col("slice_n")
             ).over(group),
         )
+        .withColumn("rest", (F.col("sum_code") - F.col("centre").cast("decimal(18,0)") * F.col("n")).cast("double"))
+        .withColumn("squares", F.col("around_centre").cast("double") - F.col("rest") * F.col("rest") / F.col("n"))
         .withColumns({"low_rank": F.expr("(n - 1) div 2"), "high_rank": F.expr("n div 2")})
         .where("n = 0 OR (before <= high_rank AND before + slice_n > low_rank)")
         .select(
@@ -74,7 +78,9 @@ def summarise(df: DataFrame, keys: list[str], code: Column, broadcast_bytes: int
 
     The middle slices are written and measured. Within ``broadcast_bytes`` they are broadcast,
     and only rows inside them are counted by value; with too many groups for that, all rows
-    are counted by value and both sides are hashed.
+    are counted by value and both sides are sorted, whatever their sizes.
+
+    Calling this runs jobs: the slices are stored and measured before the result is built.
     """
     coded = df.select(*keys, code.alias("code")).withColumn("slice", F.shiftright("code", SLICE_BITS))
     slices = materialize(_middle_slices(coded, keys), "slices")
@@ -86,7 +92,7 @@ def summarise(df: DataFrame, keys: list[str], code: Column, broadcast_bytes: int
     counts = coded.groupBy(*keys, "slice", "code").agg(F.count("*").alias("code_n"))
 
     inside = Window.partitionBy(*keys, "slice").orderBy("code").rowsBetween(Window.unboundedPreceding, 0)
-    figures = F.broadcast(slices.alias("s")) if small else slices.alias("s").hint("shuffle_hash")
+    figures = F.broadcast(slices.alias("s")) if small else slices.alias("s").hint("merge")
     located = (
         counts.alias("c")
         .join(figures, _same([*keys, "slice"]))

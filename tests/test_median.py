@@ -57,3 +57,13 @@ def test_values_are_neither_gathered_nor_shuffled_whole(spark):
     # rows are filtered to the middle slices and combined before the first exchange
     final = plan[: plan.index("Initial Plan")]
     assert "LeftSemi" in final[final.index("partial_count") :]
+
+
+def test_deviation_is_the_same_for_any_partitions(spark):
+    df = spark.range(20_000).select(F.lit(1).alias("k"), (F.pmod(F.xxhash64("id"), F.lit(10**10)) + 10**11).alias("v"))
+    found = [summarise(df.repartition(n), ["k"], F.col("v")).first()["squares"] for n in (1, 64)]
+    assert found[0] == found[1]
+    values = [r["v"] for r in df.collect()]
+    n, total = len(values), sum(values)
+    exact = (n * sum(v * v for v in values) - total * total) / n
+    assert found[0] == pytest.approx(exact, rel=1e-12)
