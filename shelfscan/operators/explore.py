@@ -69,6 +69,7 @@ def discount_brackets(df: DataFrame) -> DataFrame:
         with_totals(groups, "product_count")
         .orderBy(F.asc_nulls_last("bracket"))
         .select(
+            F.col("bracket").alias("position"),
             bands.band_label(F.col("bracket"), bands.DISCOUNT_BRACKETS).alias("discount_bracket"),
             "product_count",
             pct(F.col("product_count"), F.col("total_product_count")).alias("pct_of_total"),
@@ -105,7 +106,9 @@ def weight_tiers(df: DataFrame) -> DataFrame:
             average("discounted_selling_price", 2).alias("avg_selling_price"),
         )
         .orderBy(F.asc_nulls_last("weight_tier"))
-        .withColumn("weight_tier", bands.band_label(F.col("weight_tier"), bands.WEIGHT_TIERS))
+        .withColumns(
+            {"position": F.col("weight_tier"), "weight_tier": bands.band_label(F.col("weight_tier"), bands.WEIGHT_TIERS)}
+        )
     )
 
 

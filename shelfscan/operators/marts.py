@@ -6,6 +6,8 @@ however many tables are written; product lists and the scatter points read the l
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,6 +113,26 @@ def discount_vs_stockouts(cube: DataFrame, tiers: list[bands.Band] = bands.DASHB
     return measures(cube).agg(*sums).select(F.inline(F.array(*rows)))
 
 
+def outside_ranges(cube: DataFrame, top_edge: int = 70, tiers: list[bands.Band] = bands.DASHBOARD_TIERS) -> DataFrame:
+    """Per discount table, how many listings lie outside its published range, and their highest discount."""
+    discount = F.col("discount_percent")
+    ranges = {"discount_distribution": (0, top_edge + 9), "discount_vs_oos": (tiers[0][1], tiers[-1][2])}
+    sums, rows = [], []
+    for i, (mart, (low, high)) in enumerate(ranges.items()):
+        sums += [
+            listings(~F.coalesce(discount.between(low, high), F.lit(False))).alias(f"n{i}"),
+            F.max(F.when(discount > high, discount)).alias(f"high{i}"),
+        ]
+        rows.append(
+            F.struct(
+                F.lit(mart).alias("mart"),
+                F.col(f"n{i}").alias("listings_outside"),
+                F.col(f"high{i}").alias("highest_discount"),
+            )
+        )
+    return measures(cube).agg(*sums).select(F.inline(F.array(*rows)))
+
+
 def discount_by_category(cube: DataFrame) -> DataFrame:
     return (
         measures(cube)
@@ -166,24 +188,29 @@ CUBE_MARTS = {
     "oos_top_categories": worst_stockouts,
     "discount_distribution": discount_distribution,
     "discount_vs_oos": discount_vs_stockouts,
+    "outside_ranges": outside_ranges,
     "avg_discount_by_category": discount_by_category,
     "stock_by_category": stock_by_category,
 }
 
 
-def write_marts(df: DataFrame, folder: str, fmt: str = "parquet") -> dict[str, str]:
+def write_marts(df: DataFrame, folder: str, fmt: str = "parquet", stored_at: str | None = None) -> dict[str, str]:
     """Write every dashboard table under ``folder``; returns name -> path.
 
-    The cube is written once and read by all summary tables.
+    The cube is written once and read by all summary tables. If the listings are stored already,
+    ``stored_at`` is the table of all rows and no second copy is written. In JSON files amounts
+    have no decimal type: give the reader a schema, else they come back as doubles.
     """
     cube = materialize(stock_cube(df), "cube")
-    tables = {name: build(cube) for name, build in CUBE_MARTS.items()}
+    tables = {name: partial(build, cube) for name, build in CUBE_MARTS.items()}
     tables |= {
-        "top_products": top_products(df),
-        "top_products_by_category": top_products_by_category(df),
-        "all_rows": df,
+        "top_products": lambda: top_products(df),
+        "top_products_by_category": lambda: top_products_by_category(df),
     }
+    if stored_at is None:
+        tables["all_rows"] = lambda: df
     return {
+        **({} if stored_at is None else {"all_rows": stored_at}),
         **sinks.write_tables(tables, folder, fmt),
         "scatter": sinks.write_partitioned(scatter(df), f"{folder}/scatter", "category", fmt),
     }

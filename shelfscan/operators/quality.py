@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfscan import schema
-from shelfscan.functions.exact import mean, money, ratio
+from shelfscan.functions.exact import mean, money
+from shelfscan.sources.workspace import materialize
 
 # Output names of the two null audits.
 RAW_NULL_COUNTS = {
@@ -29,12 +33,34 @@ CLEAN_NULL_COUNTS = {
 }
 
 
-def row_count(df: DataFrame, name: str = "total_records") -> DataFrame:
-    return df.agg(F.count("*").alias(name))
+@dataclass(frozen=True)
+class Summary:
+    """A report made of plain aggregates over all listings: several share one scan.
 
+    ``figures`` gives the named aggregates (columns need a session, so they are made when asked
+    for); ``shape`` makes the report of the one row that holds them.
+    """
+
+    figures: Callable[[], dict[str, Column]]
+    shape: Callable[[DataFrame], DataFrame] = lambda row: row
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return self.shape(df.agg(*[figure.alias(name) for name, figure in self.figures().items()]))
+
+
+def summarise_together(df: DataFrame, summaries: dict[str, Summary]) -> dict[str, DataFrame]:
+    """Several summaries of ``df`` from one scan; the row of all their figures is stored."""
+    figures = {report: summary.figures() for report, summary in summaries.items()}
+    columns = [column.alias(f"{report}_{name}") for report, own in figures.items() for name, column in own.items()]
+    row = materialize(df.agg(*columns), "figures")
+    return {
+        report: summary.shape(row.select(*[F.col(f"{report}_{name}").alias(name) for name in figures[report]]))
+        for report, summary in summaries.items()
+    }
 
-def skus_by_category(df: DataFrame) -> DataFrame:
-    return df.groupBy("category").agg(F.count("*").alias("sku_count")).orderBy(F.desc("sku_count"), "category")
+
+def row_count(name: str = "total_records") -> Summary:
+    return Summary(lambda: {name: F.count("*")})
 
 
 def _sql_type(data_type: T.DataType) -> str:
@@ -45,44 +71,95 @@ def _sql_type(data_type: T.DataType) -> str:
     return {"int": "integer"}.get(data_type.simpleString(), data_type.simpleString())
 
 
-def column_catalogue(df: DataFrame, declared: T.StructType = schema.RAW) -> DataFrame:
+def column_catalogue(declared: T.StructType = schema.RAW) -> Summary:
     """One row per column: position, name, type, declared nullability, NULLs found, smallest value.
 
     All columns are measured in one pass; nullability comes from the declared table, since a
     file reader makes every column nullable.
     """
-    measures = []
-    for field in declared:
-        measures.append(F.count_if(F.col(field.name).isNull()).alias(f"nulls_{field.name}"))
-        measures.append(F.min(field.name).cast("string").alias(f"sample_{field.name}"))
-    rows = [
-        F.struct(
-            F.lit(position).alias("ordinal_position"),
-            F.lit(field.name).alias("column_name"),
-            F.lit(_sql_type(field.dataType)).alias("data_type"),
-            F.lit("YES" if field.nullable else "NO").alias("is_nullable"),
-            F.col(f"nulls_{field.name}").alias("null_count"),
-            F.col(f"sample_{field.name}").alias("sample_value"),
-        )
-        for position, field in enumerate(declared, 1)
-    ]
-    return df.agg(*measures).select(F.inline(F.array(*rows))).orderBy("ordinal_position")
 
+    def figures() -> dict[str, Column]:
+        nulls = {f"nulls_{f.name}": F.count_if(F.col(f.name).isNull()) for f in declared}
+        return nulls | {f"sample_{f.name}": F.min(f.name).cast("string") for f in declared}
+
+    def shape(row: DataFrame) -> DataFrame:
+        rows = [
+            F.struct(
+                F.lit(position).alias("ordinal_position"),
+                F.lit(field.name).alias("column_name"),
+                F.lit(_sql_type(field.dataType)).alias("data_type"),
+                F.lit("YES" if field.nullable else "NO").alias("is_nullable"),
+                F.col(f"nulls_{field.name}").alias("null_count"),
+                F.col(f"sample_{field.name}").alias("sample_value"),
+            )
+            for position, field in enumerate(declared, 1)
+        ]
+        return row.select(F.inline(F.array(*rows))).orderBy("ordinal_position")
 
-def preview(df: DataFrame, n: int = 20) -> DataFrame:
-    """The first ``n`` listings by key, so that repeated looks show the same rows."""
-    return df.orderBy("sku_id").limit(n)
+    return Summary(figures, shape)
+
+
+def _null_counts(names: dict[str, str]) -> dict[str, Column]:
+    return {name: F.count_if(F.col(c).isNull()) for c, name in names.items()}
+
+
+def null_audit() -> Summary:
+    """Rows and NULLs per raw column."""
+    return Summary(lambda: {"total_rows": F.count("*"), **_null_counts(RAW_NULL_COUNTS)})
+
+
+def remaining_nulls() -> Summary:
+    return Summary(lambda: _null_counts(CLEAN_NULL_COUNTS))
+
+
+def unpriced_count(name: str = "rows_to_delete") -> Summary:
+    return Summary(lambda: {name: F.count_if(F.col("mrp") == 0)})
+
+
+def negative_discount_count(name: str = "negative_discount_remaining") -> Summary:
+    return Summary(lambda: {name: F.count_if(F.col("discount_percent") < 0)})
+
+
+def scale_in_paise() -> Summary:
+    """Range and mean of the list prices that cleaning keeps."""
+
+    def figures() -> dict[str, Column]:
+        mrp = F.nullif(F.col("mrp"), F.lit(0))
+        return {"min_mrp_paise": F.min(mrp), "max_mrp_paise": F.max(mrp), "avg_mrp_paise": mean(mrp, 0).cast("int")}
 
+    return Summary(figures)
 
-def null_audit(df: DataFrame, names: dict[str, str] = RAW_NULL_COUNTS) -> DataFrame:
-    """Rows and NULLs per column, in one pass."""
-    return df.agg(
-        F.count("*").alias("total_rows"), *[F.count_if(F.col(c).isNull()).alias(name) for c, name in names.items()]
+
+def scale_in_rupees() -> Summary:
+    return Summary(
+        lambda: {
+            "min_mrp_rupees": money(F.min("mrp")),
+            "max_mrp_rupees": money(F.max("mrp")),
+            "avg_mrp_rupees": mean(F.col("mrp"), 2),
+        }
     )
 
 
-def remaining_nulls(df: DataFrame) -> DataFrame:
-    return null_audit(df, CLEAN_NULL_COUNTS).drop("total_rows")
+def require_valid_keys(nulls: DataFrame, duplicates: DataFrame, declared: T.StructType = schema.RAW) -> None:
+    """Raise unless the columns that must be filled are, and every key occurs once.
+
+    Decided from two reports that are made anyway: the null audit and the duplicate keys.
+    """
+    found = nulls.first().asDict()
+    missing = [f.name for f in declared if not f.nullable and found[RAW_NULL_COUNTS[f.name]]]
+    if missing:
+        raise ValueError(f"NULL in columns that must be filled: {', '.join(missing)}")
+    if not duplicates.isEmpty():
+        raise ValueError("some sku_id occur more than once")
+
+
+def skus_by_category(df: DataFrame) -> DataFrame:
+    return df.groupBy("category").agg(F.count("*").alias("sku_count")).orderBy(F.desc("sku_count"), "category")
+
+
+def preview(df: DataFrame, n: int = 20) -> DataFrame:
+    """The first ``n`` listings by key, so that repeated looks show the same rows."""
+    return df.orderBy("sku_id").limit(n)
 
 
 def unpriced(df: DataFrame) -> DataFrame:
@@ -110,41 +187,6 @@ def duplicate_keys(df: DataFrame) -> DataFrame:
     return df.groupBy("sku_id").agg(F.count("*").alias("cnt")).where("cnt > 1")
 
 
-def require_valid_keys(df: DataFrame, declared: T.StructType = schema.RAW) -> None:
-    """Raise unless the declared NOT NULL columns are filled and every key occurs once."""
-    required = {f.name: f.name for f in declared if not f.nullable}
-    nulls = null_audit(df, required).drop("total_rows").first().asDict()
-    missing = [c for c, n in nulls.items() if n]
-    if missing:
-        raise ValueError(f"NULL in columns that must be filled: {', '.join(missing)}")
-    if not duplicate_keys(df).isEmpty():
-        raise ValueError("some sku_id occur more than once")
-
-
-def unpriced_count(df: DataFrame, name: str = "rows_to_delete") -> DataFrame:
-    return df.agg(F.count_if(F.col("mrp") == 0).alias(name))
-
-
-def negative_discount_count(df: DataFrame, name: str = "negative_discount_remaining") -> DataFrame:
-    return df.agg(F.count_if(F.col("discount_percent") < 0).alias(name))
-
-
-def scale_in_paise(df: DataFrame) -> DataFrame:
-    return df.agg(
-        F.min("mrp").alias("min_mrp_paise"),
-        F.max("mrp").alias("max_mrp_paise"),
-        mean(F.col("mrp"), 0).cast("int").alias("avg_mrp_paise"),
-    )
-
-
-def scale_in_rupees(df: DataFrame) -> DataFrame:
-    return df.agg(
-        money(F.min("mrp")).alias("min_mrp_rupees"),
-        money(F.max("mrp")).alias("max_mrp_rupees"),
-        ratio(F.sum("mrp"), F.count("mrp"), 2).alias("avg_mrp_rupees"),
-    )
-
-
 def cleaning_report(raw: DataFrame) -> DataFrame:
     """Rows each cleaning step touches, from one pass over the raw listings.
 

@@ -137,7 +137,7 @@ CATALOG: dict[str, Query] = {
     "s06_marts_written": _mart_sizes,
     "s06_json_mart": _json_mart,
     "s06_partitioned_mart": _partitioned_mart,
-    "s07_column_catalogue": _over(tables.raw, quality.column_catalogue),
+    "s07_column_catalogue": _over(tables.raw, quality.column_catalogue()),
     "s08_preview": _over(tables.raw, quality.preview),
     # audit, cleaning steps and analysis
     **_each(tables.raw, reports.AUDIT),
@@ -175,6 +175,7 @@ CATALOG: dict[str, Query] = {
     "d04_oos_top_categories": _mart(marts.worst_stockouts),
     "d05_discount_distribution": _mart(marts.discount_distribution),
     "d06_discount_vs_oos": _mart(marts.discount_vs_stockouts),
+    "d05_d06_outside_ranges": _mart(marts.outside_ranges),
     "d07_avg_discount_by_category": _mart(marts.discount_by_category),
     "d08_stock_by_category": _mart(marts.stock_by_category),
     "d09_top_products": _over(tables.dashboard, marts.top_products),
@@ -187,7 +188,7 @@ CATALOG: dict[str, Query] = {
     "m2_revenue": _over(tables.light, measures.revenue),
     "m3_stockout_rate": _over(tables.light, measures.stockout_rate),
     "m4_row_level_revenue": _over(tables.raw, measures.row_level_revenue),
-    "m5_by_category": _over(tables.light, measures.by_category),
-    "m6_discount_bins": _over(tables.light, measures.discount_bins),
+    "m5_by_category": _over(tables.raw, _then(cleaning.typed, measures.by_category)),
+    "m6_discount_bins": _over(tables.raw, _then(cleaning.typed, measures.discount_bins)),
     "m7_light_clean": _over(tables.light, lambda df: df),
 }

@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import argparse
+from functools import partial
 
 from pyspark.sql import SparkSession
 
@@ -14,35 +15,53 @@ from shelfscan.operators import cleaning, marts, quality
 from shelfscan.operators.cube import stock_cube
 from shelfscan.plans import reports
 from shelfscan.sources import listings, sinks
-from shelfscan.sources.workspace import materialize
+from shelfscan.sources.workspace import materialize, scratch
+
+
+def _split(group: dict[str, reports.Operator]) -> tuple[dict[str, quality.Summary], dict[str, reports.Operator]]:
+    """The reports that can share a scan, and the others."""
+    together = {name: operator for name, operator in group.items() if isinstance(operator, quality.Summary)}
+    return together, {name: operator for name, operator in group.items() if name not in together}
 
 
 def run(spark: SparkSession, csv: str, out: str, encoding: str = "UTF-8", fmt: str = "parquet") -> dict[str, str]:
     """Load, audit, clean, analyse and build the dashboard tables; returns name -> path.
 
-    The raw and clean tables are stored before anything reads them, so each is made once and a
-    rerun replaces what an earlier one left. Reports that can be read from a cube of the clean
-    listings share one scan of them. A raw table that breaks its key is refused.
+    The raw, clean and dashboard tables are stored before anything reads them, so each is made
+    once, and a rerun replaces what an earlier one left. Reports of plain aggregates share one
+    scan of their table, and those that a cube of the clean listings can answer read that. The
+    keys are checked by the report of repeated keys itself: a raw table that breaks its key is
+    refused. Intermediate tables are removed at the end. With ``fmt`` "json", amounts have no
+    decimal type in the files.
     """
-    raw_path = listings.save_table(listings.read_strict(spark, csv, encoding), f"{out}/raw")
-    raw = spark.read.schema(schema.RAW).parquet(raw_path)
-    quality.require_valid_keys(raw)
-    clean_path = listings.save_table(cleaning.clean(raw), f"{out}/clean")
-    clean = spark.read.schema(schema.CLEAN).parquet(clean_path)
-    dashboard_path = listings.save_table(cleaning.clean_for_dashboard(raw), f"{out}/dashboard_listings")
-    dashboard = spark.read.schema(schema.CLEAN).parquet(dashboard_path)
-
-    cube = materialize(stock_cube(clean), "cube")
-    tables = {name: operator(raw) for name, operator in reports.AUDIT.items()}
-    for group in (reports.VALIDATION, reports.EXPLORATION, reports.BUSINESS, reports.FINDINGS):
-        for name, operator in group.items():
-            tables[name] = operator(clean if name in reports.FROM_LISTINGS else cube)
-    return {
-        "raw": raw_path,
-        "clean": clean_path,
-        **sinks.write_tables(tables, f"{out}/reports", fmt),
-        **{f"dashboard_{name}": path for name, path in marts.write_marts(dashboard, f"{out}/dashboard", fmt).items()},
-    }
+    with scratch(spark):
+        raw_path = listings.save_table(listings.read_strict(spark, csv, encoding), f"{out}/raw")
+        raw = spark.read.schema(schema.RAW).parquet(raw_path)
+        audits, other_audits = _split(reports.AUDIT)
+        audited = quality.summarise_together(raw, audits)
+        repeated = materialize(other_audits.pop("c10_duplicate_keys")(raw), "repeated_keys")
+        quality.require_valid_keys(audited["c05_null_audit"], repeated)
+
+        clean_path = listings.save_table(cleaning.clean(raw), f"{out}/clean")
+        clean = spark.read.schema(schema.CLEAN).parquet(clean_path)
+        dashboard_path = listings.save_table(cleaning.clean_for_dashboard(raw), f"{out}/dashboard_listings")
+        dashboard = spark.read.schema(schema.CLEAN).parquet(dashboard_path)
+
+        cube = materialize(stock_cube(clean), "cube")
+        validations, other_validations = _split(reports.VALIDATION)
+        ready = {**audited, "c10_duplicate_keys": repeated, **quality.summarise_together(clean, validations)}
+        tables = {name: partial(lambda df: df, df) for name, df in ready.items()}
+        tables |= {name: partial(operator, raw) for name, operator in other_audits.items()}
+        for group in (other_validations, reports.EXPLORATION, reports.BUSINESS, reports.FINDINGS):
+            for name, operator in group.items():
+                tables[name] = partial(operator, clean if name in reports.FROM_LISTINGS else cube)
+        dashboard_tables = marts.write_marts(dashboard, f"{out}/dashboard", fmt, dashboard_path)
+        return {
+            "raw": raw_path,
+            "clean": clean_path,
+            **sinks.write_tables(tables, f"{out}/reports", fmt),
+            **{f"dashboard_{name}": path for name, path in dashboard_tables.items()},
+        }
 
 
 def main() -> None:

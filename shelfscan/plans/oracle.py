@@ -9,12 +9,15 @@ from __future__ import annotations
 
 
 def _r(num: str, den: str, digits: int) -> str:
-    """``num / den`` for integers >= 0, rounded half up to ``digits`` places, as DOUBLE."""
+    """``num / den`` for integers, rounded half away from zero to ``digits`` places, as DOUBLE.
+
+    The quotient without its sign, plus one if twice the remainder reaches the divisor.
+    """
     unit = 10**digits
-    return (
-        f"CAST((CAST({num} AS HUGEINT) * {2 * unit} + ({den})) // NULLIF(2 * CAST({den} AS HUGEINT), 0) AS DOUBLE)"
-        f" / CAST({unit} AS DOUBLE)"
-    )
+    n, d = f"(ABS(CAST({num} AS HUGEINT)) * {unit})", f"NULLIF(ABS(CAST({den} AS HUGEINT)), 0)"
+    whole = f"({n} // {d} + CASE WHEN 2 * ({n} % {d}) >= {d} THEN 1 ELSE 0 END)"
+    sign = f"CASE WHEN (({num}) < 0) <> (({den}) < 0) THEN -1 ELSE 1 END"
+    return f"CAST({sign} * {whole} AS DOUBLE) / CAST({unit} AS DOUBLE)"
 
 
 def _avg(col: str, digits: int, unit: int = 1) -> str:
@@ -62,7 +65,13 @@ raw AS (
     FROM flagged
 )"""
 
-CLEAN = """
+# price per gram in ten-thousandths, from the remainder of the price without its sign
+PER_GRAM = (
+    "CAST(SIGN(sp) AS BIGINT) * (ABS(CAST(sp AS BIGINT)) * 100 // weight_in_gms"
+    " + CASE WHEN 2 * (ABS(CAST(sp AS BIGINT)) * 100 % weight_in_gms) >= weight_in_gms THEN 1 ELSE 0 END)"
+)
+
+CLEAN = f"""
 weights AS (
     SELECT category,
         CAST(round_even(PERCENTILE_CONT(0.5) WITHIN GROUP (ORDER BY CAST(weight_in_gms AS DOUBLE)), 0) AS INTEGER) AS w
@@ -80,13 +89,13 @@ filled AS (
 ),
 clean AS (
     SELECT *,
-        CASE WHEN weight_in_gms > 0 THEN (CAST(sp AS BIGINT) * 200 + weight_in_gms) // (2 * weight_in_gms) END AS ppg,
+        CASE WHEN weight_in_gms > 0 THEN {PER_GRAM} END AS ppg,
         CAST(sp AS BIGINT) * qty AS rev,
         CAST(mrp AS BIGINT) * qty AS val
     FROM filled
 )"""
 
-DASHBOARD = """
+DASHBOARD = f"""
 priced AS (
     SELECT sku_id, category, name, mrp,
         CASE WHEN discount_percent < 0 THEN 0 ELSE COALESCE(discount_percent, 0) END AS discount_percent,
@@ -108,8 +117,7 @@ weighed AS (
 ),
 dash AS (
     SELECT *,
-        CASE WHEN weight_in_gms > 0
-             THEN (CAST(sp AS BIGINT) * 200 + weight_in_gms) // (2 * weight_in_gms) ELSE 0 END AS ppg,
+        CASE WHEN weight_in_gms > 0 THEN {PER_GRAM} ELSE 0 END AS ppg,
         CAST(sp AS BIGINT) * qty AS rev,
         CAST(mrp AS BIGINT) * qty AS val
     FROM weighed
@@ -150,6 +158,11 @@ CLEAN_ROW = f"""sku_id, category, name, {MRP}, discount_percent, {SP}, weight_in
     qty AS available_quantity, out_of_stock, {PPG} AS price_per_gram, {_money('rev')} AS estimated_revenue"""
 
 
+def _position(col: str, bands: list[tuple[str, str]]) -> str:
+    cases = " ".join(f"WHEN {col} {test} THEN {i}" for i, (_, test) in enumerate(bands, 1))
+    return f"CAST(CASE {cases} END AS INTEGER)"
+
+
 def _bands(col: str, bands: list[tuple[str, str]]) -> str:
     return "CASE " + " ".join(f"WHEN {col} {test} THEN '{label}'" for label, test in bands) + " END"
 
@@ -312,6 +325,7 @@ SIZES = "\nUNION ALL ".join(
         "oos_top_categories": "(SELECT LEAST(5, COUNT(*)) FROM (SELECT DISTINCT category FROM dash))",
         "discount_distribution": "8",
         "discount_vs_oos": "6",
+        "outside_ranges": "2",
         "top_products": "(SELECT LEAST(10, COUNT(*)) FROM dash)",
         "top_products_by_category": "(SELECT SUM(LEAST(10, c)) FROM (SELECT COUNT(*) AS c FROM dash GROUP BY category))",
         "all_rows": "(SELECT COUNT(*) FROM dash)",
@@ -434,8 +448,9 @@ ORACLE: dict[str, str] = {
         " FROM clean GROUP BY category"
     ),
     "e03_discount_brackets": _clean(
-        f"SELECT {_bands('discount_percent', BRACKETS)} AS discount_bracket, COUNT(*) AS product_count,"
-        f" {_pct('COUNT(*)', 'SUM(COUNT(*)) OVER ()')} AS pct_of_total FROM clean GROUP BY 1"
+        f"SELECT {_position('discount_percent', BRACKETS)} AS position,"
+        f" {_bands('discount_percent', BRACKETS)} AS discount_bracket, COUNT(*) AS product_count,"
+        f" {_pct('COUNT(*)', 'SUM(COUNT(*)) OVER ()')} AS pct_of_total FROM clean GROUP BY 1, 2"
     ),
     "e04_stock_share": _clean(
         "SELECT CASE WHEN out_of_stock THEN 'Out of Stock' ELSE 'In Stock' END AS stock_status, COUNT(*) AS sku_count,"
@@ -445,8 +460,9 @@ ORACLE: dict[str, str] = {
         f"SELECT category, COUNT(*) AS total_skus, {OOS} AS oos_skus, {RATE} AS oos_rate_pct FROM clean GROUP BY category"
     ),
     "e06_weight_tiers": _clean(
-        f"SELECT {_bands('weight_in_gms', WEIGHTS)} AS weight_tier, COUNT(*) AS product_count,"
-        f" {_avg('mrp', 2, 100)} AS avg_mrp, {_avg('sp', 2, 100)} AS avg_selling_price FROM clean GROUP BY 1"
+        f"SELECT {_position('weight_in_gms', WEIGHTS)} AS position, {_bands('weight_in_gms', WEIGHTS)} AS weight_tier,"
+        f" COUNT(*) AS product_count, {_avg('mrp', 2, 100)} AS avg_mrp, {_avg('sp', 2, 100)} AS avg_selling_price"
+        " FROM clean GROUP BY 1, 2"
     ),
     "e07_price_per_gram_by_category": _clean(
         f"SELECT category, {_avg('ppg', 4, 10000)} AS avg_price_per_gram,"
@@ -492,8 +508,8 @@ ORACLE: dict[str, str] = {
         " FROM clean WHERE ppg > 0 AND NOT out_of_stock) WHERE value_rank <= 3"
     ),
     "b07_stockouts_by_discount_tier": _clean(
-        f"SELECT {_bands('discount_percent', TIERS)} AS discount_tier, COUNT(*) AS total_products, {OOS} AS oos_count,"
-        f" {RATE} AS oos_rate_pct FROM clean GROUP BY 1"
+        f"SELECT {_position('discount_percent', TIERS)} AS position, {_bands('discount_percent', TIERS)} AS discount_tier,"
+        f" COUNT(*) AS total_products, {OOS} AS oos_count, {RATE} AS oos_rate_pct FROM clean GROUP BY 1, 2"
     ),
     "b08_top_inventory_value": _clean(
         f"SELECT category, {_money('SUM(val)')} AS total_inventory_value_mrp,"
@@ -592,6 +608,12 @@ ORACLE: dict[str, str] = {
     "d04_oos_top_categories": _dash(f"{DASH_OOS} ORDER BY oos_rate DESC, category LIMIT 5"),
     "d05_discount_distribution": _dash(DISTRIBUTION),
     "d06_discount_vs_oos": _dash(TIER_RATES),
+    "d05_d06_outside_ranges": _dash(
+        "SELECT 'discount_distribution' AS mart, COUNT(*) - COUNT(*) FILTER (WHERE discount_percent BETWEEN 0 AND 79)"
+        " AS listings_outside, MAX(discount_percent) FILTER (WHERE discount_percent > 79) AS highest_discount FROM dash"
+        " UNION ALL SELECT 'discount_vs_oos', COUNT(*) - COUNT(*) FILTER (WHERE discount_percent BETWEEN 0 AND 100),"
+        " MAX(discount_percent) FILTER (WHERE discount_percent > 100) FROM dash"
+    ),
     "d07_avg_discount_by_category": _dash(
         f"SELECT category, {_avg('discount_percent', 1)} AS avg_discount FROM dash GROUP BY category"
     ),
@@ -616,16 +638,85 @@ ORACLE: dict[str, str] = {
         " CASE WHEN out_of_stock = 'True' THEN 0 ELSE"
         f" {_money('CAST(discounted_selling_price AS BIGINT) * available_quantity')} END AS estimated_revenue FROM raw"
     ),
-    "m5_by_category": _light(
-        f"SELECT category, {_money(f'COALESCE(SUM({SALE}), 0)')} AS estimated_revenue, {FRACTION} AS out_of_stock_rate"
-        " FROM light GROUP BY category"
+    "m5_by_category": _raw(
+        "SELECT category, CAST(COALESCE(SUM(CAST(discounted_selling_price AS BIGINT) * available_quantity)"
+        " FILTER (WHERE COALESCE(out_of_stock, '') <> 'True'), 0) AS DOUBLE) / CAST(100 AS DOUBLE) AS estimated_revenue,"
+        " CAST(COUNT(*) FILTER (WHERE out_of_stock = 'True') AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) AS out_of_stock_rate"
+        " FROM raw GROUP BY category"
     ),
-    "m6_discount_bins": _light(
+    "m6_discount_bins": _raw(
         "SELECT CAST(FLOOR(discount_percent / CAST(10 AS DOUBLE)) * 10 AS INTEGER) AS bin_start, COUNT(sku_id) AS skus"
-        " FROM light GROUP BY 1"
+        " FROM raw GROUP BY 1"
     ),
     "m7_light_clean": _light(
         f"SELECT sku_id, category, name, {MRP}, discount_percent, {SP}, weight_in_gms, qty AS available_quantity,"
         " out_of_stock FROM light"
     ),
 }
+
+# How the reports that end in a sort are sorted. Lists cut to a length are sorted in their SQL.
+IN_SQL = ""
+ORDER: dict[str, str] = {
+    "s08_preview": IN_SQL,
+    "c02_skus_by_category": "sku_count DESC, category NULLS FIRST",
+    "c03_schema_overview": "ordinal_position",
+    "c04_preview": IN_SQL,
+    "c25_clean_preview": IN_SQL,
+    "e02_sku_distribution": "total_skus DESC, category NULLS FIRST",
+    "e03_discount_brackets": "position NULLS LAST",
+    "e05_stock_by_category": "oos_rate_pct DESC, category NULLS FIRST",
+    "e06_weight_tiers": "position NULLS LAST",
+    "e07_price_per_gram_by_category": "avg_price_per_gram DESC, category NULLS FIRST",
+    "e09_revenue_by_category": "category_revenue DESC NULLS FIRST, category NULLS FIRST",
+    "b01_top_discounts": IN_SQL,
+    "b02_discount_by_category": "avg_discount_pct DESC NULLS FIRST, category NULLS FIRST",
+    "b03_premium_low_discount": IN_SQL,
+    "b04_revenue_by_category": "total_revenue DESC NULLS FIRST, category NULLS FIRST",
+    "b05_stockout_ranking": "oos_rate_pct DESC, category NULLS FIRST",
+    "b06_best_value": "category NULLS FIRST, value_rank",
+    "b07_stockouts_by_discount_tier": "position NULLS LAST",
+    "b08_top_inventory_value": IN_SQL,
+    "b09_largest_markdowns": IN_SQL,
+    "b10_quantity_by_category": "avg_quantity DESC NULLS FIRST, category NULLS FIRST",
+    "b11_weight_tier_pricing": "weight_tier NULLS LAST",
+    "b12_critical_categories": "oos_rate_pct DESC, category NULLS FIRST",
+    "b13_discount_histogram": "discount_bracket_start NULLS LAST",
+    "b14_pareto": IN_SQL,
+    "b15_cheap_and_stocked": IN_SQL,
+    "b16_price_range": "price_spread DESC NULLS FIRST, category NULLS FIRST",
+    "b17_lost_revenue": "estimated_lost_revenue DESC NULLS FIRST, category NULLS FIRST",
+    "b19_deep_discounts": "discount_percent DESC, margin_lost DESC NULLS FIRST",
+    "b20_revenue_retention": "revenue_retention_pct DESC NULLS FIRST, category NULLS FIRST",
+    "d02_categories": "category NULLS FIRST",
+    "d03_revenue_by_category": "revenue DESC NULLS LAST, category NULLS FIRST",
+    "d04_oos_by_category": "oos_rate DESC, category NULLS FIRST",
+    "d04_oos_top_categories": "oos_rate DESC, category NULLS FIRST",
+    "d05_discount_distribution": "bucket_start",
+    "d06_discount_vs_oos": "tier_index",
+    "d07_avg_discount_by_category": "category NULLS FIRST",
+    "d08_stock_by_category": "category NULLS FIRST",
+    "d09_top_products": IN_SQL,
+    "d12_kpis_by_category": "category NULLS FIRST",
+    "d13_top_products_by_category": "category NULLS FIRST, position",
+}
+# columns that leave ties open: the sort decides them by a key that the report doesn't show
+SORTED_BY = {"b19_deep_discounts": ["discount_percent", "margin_lost"]}
+
+# The query whose rows each written dashboard table holds.
+MART_QUERIES = {
+    "kpis": "d01_kpis",
+    "kpis_by_category": "d12_kpis_by_category",
+    "categories": "d02_categories",
+    "revenue_by_category": "d03_revenue_by_category",
+    "oos_by_category": "d04_oos_by_category",
+    "oos_top_categories": "d04_oos_top_categories",
+    "discount_distribution": "d05_discount_distribution",
+    "discount_vs_oos": "d06_discount_vs_oos",
+    "outside_ranges": "d05_d06_outside_ranges",
+    "avg_discount_by_category": "d07_avg_discount_by_category",
+    "stock_by_category": "d08_stock_by_category",
+    "top_products": "d09_top_products",
+    "top_products_by_category": "d13_top_products_by_category",
+    "all_rows": "d11_all_rows",
+    "scatter": "d10_scatter",
+}

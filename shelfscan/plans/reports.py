@@ -6,34 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from shelfscan.operators import cleaning, explore, insights, quality
+from shelfscan.operators import explore, insights, quality
 
 Operator = Callable[[DataFrame], DataFrame]
 
 # over the raw listings
 AUDIT: dict[str, Operator] = {
-    "c01_row_count": quality.row_count,
+    "c01_row_count": quality.row_count(),
     "c02_skus_by_category": quality.skus_by_category,
-    "c03_schema_overview": quality.column_catalogue,
+    "c03_schema_overview": quality.column_catalogue(),
     "c04_preview": quality.preview,
-    "c05_null_audit": quality.null_audit,
+    "c05_null_audit": quality.null_audit(),
     "c06_unpriced": quality.unpriced,
     "c07_negative_discounts": quality.negative_discounts,
     "c08_flag_values": quality.flag_values,
     "c09_priced_above_list": quality.priced_above_list,
     "c10_duplicate_keys": quality.duplicate_keys,
-    "c13_rows_to_delete": quality.unpriced_count,
-    "c15_scale_in_paise": lambda df: quality.scale_in_paise(cleaning.drop_unpriced(df)),
+    "c13_rows_to_delete": quality.unpriced_count(),
+    "c15_scale_in_paise": quality.scale_in_paise(),
     "c26_cleaning_report": quality.cleaning_report,
 }
 
 # over the clean listings
 VALIDATION: dict[str, Operator] = {
-    "c17_scale_in_rupees": quality.scale_in_rupees,
-    "c21_remaining_nulls": quality.remaining_nulls,
-    "c22_unpriced_remaining": lambda df: quality.unpriced_count(df, "zero_mrp_remaining"),
-    "c23_negative_remaining": quality.negative_discount_count,
-    "c24_clean_row_count": lambda df: quality.row_count(df, "cleaned_total_records"),
+    "c17_scale_in_rupees": quality.scale_in_rupees(),
+    "c21_remaining_nulls": quality.remaining_nulls(),
+    "c22_unpriced_remaining": quality.unpriced_count("zero_mrp_remaining"),
+    "c23_negative_remaining": quality.negative_discount_count(),
+    "c24_clean_row_count": quality.row_count("cleaned_total_records"),
     "c25_clean_preview": lambda df: quality.preview(df, 10),
 }
 EXPLORATION: dict[str, Operator] = {

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
@@ -13,10 +14,15 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     return path
 
 
-def write_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet", at_once: int = 4) -> dict[str, str]:
-    """Replace ``folder/<name>`` for every table; small jobs run side by side."""
+def write_tables(
+    tables: dict[str, Callable[[], DataFrame]], folder: str, fmt: str = "parquet", at_once: int = 4
+) -> dict[str, str]:
+    """Replace ``folder/<name>`` by what each function returns; small jobs run side by side.
+
+    Some reports run jobs while they are built, so they are built in the pool too.
+    """
     with ThreadPoolExecutor(at_once) as pool:
-        paths = pool.map(lambda item: write_table(item[1], f"{folder}/{item[0]}", fmt), tables.items())
+        paths = pool.map(lambda item: write_table(item[1](), f"{folder}/{item[0]}", fmt), tables.items())
         return dict(zip(tables, paths))
 
 

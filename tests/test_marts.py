@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 
-from shelfscan.operators import cleaning, marts
+from shelfscan.operators import cleaning, marts, quality
 from shelfscan.operators.cube import stock_cube
-from shelfscan.plans import job
-from shelfscan.sources import listings
+from shelfscan.plans import job, reports
+from shelfscan.sources import listings, workspace
 
 
 def _cube(df):
@@ -53,6 +55,42 @@ def test_broken_keys_are_refused(spark, raw, tmp_path, bad):
         job.run(spark, source, str(tmp_path / "out"))
 
 
+def test_one_scan_for_the_plain_audits(spark, raw, tmp_path):
+    path = str(tmp_path / "scanned")
+    listings.save_table(raw({}, {"mrp": 0}), path)
+    df = spark.read.parquet(path)
+    audits = {n: op for n, op in reports.AUDIT.items() if isinstance(op, quality.Summary)}
+    assert {"c01_row_count", "c03_schema_overview", "c05_null_audit", "c13_rows_to_delete", "c15_scale_in_paise"} == audits.keys()
+    together = quality.summarise_together(df, audits)
+    for name, report in together.items():
+        assert path not in "".join(report.inputFiles()), name  # the row of figures, not the table
+        assert report.collect() == audits[name](df).collect(), name
+
+
+def test_the_job_stores_the_dashboard_rows_once(spark, raw, tmp_path):
+    source = listings.write_csv(raw({}, {"category": "B"}), str(tmp_path / "csv"))
+    out = tmp_path / "out"
+    paths = job.run(spark, source, str(out))
+    assert paths["dashboard_all_rows"] == str(out / "dashboard_listings")
+    assert not (out / "dashboard" / "all_rows").exists()
+    scratch = [p for folder in workspace._own_folders(spark) for p in Path(folder).glob("scratch-*")]
+    assert scratch == []
+    assert spark.read.parquet(paths["c10_duplicate_keys"]).count() == 0
+
+
+def test_a_failed_job_leaves_no_scratch(spark, raw, tmp_path):
+    source = listings.write_csv(raw({"sku_id": "a"}, {"sku_id": "a"}), str(tmp_path / "csv"))
+    with pytest.raises(ValueError, match="sku_id"):
+        job.run(spark, source, str(tmp_path / "out"))
+    assert not [p for folder in workspace._own_folders(spark) for p in Path(folder).glob("scratch-*")]
+
+
+def test_listings_outside_the_ranges_are_counted(raw):
+    cube = _cube(raw(*[{"discount_percent": d} for d in (5, 79, 80, 85, 100, 101, 105)]))
+    got = {r["mart"]: (r["listings_outside"], r["highest_discount"]) for r in marts.outside_ranges(cube).collect()}
+    assert got == {"discount_distribution": (5, 105), "discount_vs_oos": (2, 105)}
+
+
 def test_whole_job(spark, raw, tmp_path):
     source = listings.write_csv(
         raw({"weight_in_gms": None}, {"category": "B", "out_of_stock": "True", "available_quantity": 0}, {"mrp": 0}),

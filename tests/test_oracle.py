@@ -5,10 +5,10 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry_points
+from shelfscan.plans.catalog import CATALOG as QUERIES
+from shelfscan.plans.oracle import ORACLE
 from tests.conftest import DATA
 
-QUERIES = entry_points.queries()
-ORACLE = entry_points.oracle_sql()
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE"}
 
 
@@ -18,6 +18,8 @@ def _sorted(rows):
 
 def test_every_query_has_sql():
     assert QUERIES.keys() == ORACLE.keys()
+    assert entry_points.queries().items() >= QUERIES.items()
+    assert entry_points.oracle_sql().items() >= ORACLE.items()
 
 
 def test_entry(spark):
