@@ -30,7 +30,7 @@ PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}",
     "secret": r"(?<![A-Za-z0-9])(?i:password|passwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.-]{8,512}+[\"']?",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
-    "phone": r"(?<![A-Za-z0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![A-Za-z0-9])"
+    "phone": r"(?<![A-Za-z0-9+])\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})){2,6}(?![A-Za-z0-9])"
     r"|(?<![A-Za-z0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![A-Za-z0-9])",
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9]|-[0-9])",
     "date": r"(?<![A-Za-z0-9./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\1(?:19|20)[0-9]{2})(?![A-Za-z0-9]|[./-][0-9])",
@@ -164,7 +164,10 @@ def _iban(value: Column, key: str) -> Column:
 
 
 def _phone(value: Column, key: str) -> Column:
-    """The national number is permuted; ten digits in the North American plan stay in that plan."""
+    """The national number is permuted; ten digits in the North American plan stay in that plan.
+
+    A number has 8 to 15 digits in all.
+    """
     country = F.regexp_extract(value, r"^\+([0-9]{1,3}?)(?=[ .(-]|[0-9]{10}$)", 1)
 
     def replaced(all_digits: Column) -> Column:
@@ -193,7 +196,7 @@ def _phone(value: Column, key: str) -> Column:
         digits = F.when(planned, in_plan).otherwise(permuted_digits(national, key, "phone"))
         return with_digits(value, F.concat(F.substring(all_digits, F.lit(1), code), digits))
 
-    return let(digits_of(value), replaced)
+    return let(digits_of(value), lambda d: F.when(F.length(d).between(8, 15), replaced(d)))
 
 
 def _ssn(value: Column, key: str) -> Column:
