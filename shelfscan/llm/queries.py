@@ -1,10 +1,13 @@
-"""The operators applied to their whole tables with production parameters."""
+"""The operators applied to their whole tables with production parameters; their SQL is in ``oracle``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfscan.llm import bpe, near_dedup, order_minhash, packing, pseudonyms, quality, repeats, templates, toxicity, warc
+from shelfscan.llm.oracle import ORACLES
+
+__all__ = ["ORACLES", "QUERIES", "table"]
 
 #: The key that pseudonyms are made with when no other is given; a real run has its own.
 PSEUDONYM_KEY = "shelfscan"
@@ -78,4 +81,3 @@ QUERIES = {
         pipeline,
     )
 }
-ORACLES: dict[str, str] = {}
