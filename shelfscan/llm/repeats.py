@@ -10,18 +10,19 @@ that can have an equal elsewhere need to be sorted:
    Suffixes next to each other that have the same sample form a run.
 2. Samples are counted over chunks of documents. Each chunk sends a sample once and is told which
    of its samples occur elsewhere; runs of all others are unique and go no further.
-3. Equal runs are collapsed to the document with the smallest id; runs of all others are covered
-   as a whole. What is left is one run for each distinct text around a sample.
+3. A bucket whose runs all have the same bytes needs no sorting: its runs are covered as a whole
+   but for those of the smallest id. Only the others are shuffled with their bytes.
 4. Those are sorted one bucket at a time: within a bucket, suffixes are ordered by the names of
    the blocks that cover their LENGTH bytes, and equal neighbours get the smallest id among them.
-   A bucket with more than HOT_RUNS distinct runs is spread over many tasks by suffix instead.
+   A bucket with more than HOT_RUNS runs is collapsed to its distinct runs, whose suffixes are
+   spread over many tasks instead.
 5. Each chunk's documents meet their covered spans and are cut.
 
 A classic difference cover samples positions by their residue. That takes 6 positions of 31 for
 the same 50 bytes, against one of 16 here, and three times the rows to be shuffled.
 
-No step moves a document's text with its suffixes, and each group that is gathered in a task is
-bounded: by the bytes of a chunk, or by distinct runs of a bucket.
+Each group that is gathered in a task is bounded: by the bytes of a chunk, or by the runs of a
+bucket.
 
 Nulls: a null text is empty (and stays null where texts are returned); null ids count as larger
 than all others. Rows with one id don't cover each other. A text shorter than LENGTH is left
@@ -32,23 +33,25 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from shelfscan.llm import arrays
-from shelfscan.llm.storage import partitions, release, store
+from shelfscan.llm.storage import measured, partitions, release, store
 
 LENGTH = 50
 SAMPLE = 20
 BLOCK = 16
 CHUNK_BYTES = 16 << 20
-HOT_RUNS = 4096
-LOT_WINDOWS = 1 << 18
+HOT_RUNS = 1 << 16  # some 100 MB while they are sorted
+LOT_RUNS = 4096  # runs that are sorted at a time, and the bucket that the last of them is in
+MIXED_BROADCAST_ROWS = 1 << 20  # of 9 bytes
 LAST_ID = (1 << 63) - 1
 U64 = arrays.U64
 _FACTOR = U64(0x9E3779B97F4A7C15)
@@ -91,28 +94,45 @@ def sample_keys(blocks: np.ndarray) -> np.ndarray:
     return np.minimum(least[:n], least[rest : rest + n])
 
 
+def _over_texts(flags: np.ndarray, bounds: np.ndarray, reach: int) -> np.ndarray:
+    """``flags`` without the positions of which ``reach`` bytes would leave their text."""
+    edges = np.zeros(bounds[-1] + 1, np.int32)
+    np.add.at(edges, np.maximum(bounds[1:] - (reach - 1), bounds[:-1]), 1)
+    np.add.at(edges, bounds[1:], -1)
+    return flags & (np.cumsum(edges[:-1])[: len(flags)] == 0)
+
+
 class Runs:
-    """The runs of a slice of texts: first position, number of suffixes, key, name, and text of each."""
+    """The runs of a slice of texts: first position, number of suffixes, text and key of each."""
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray):
-        blocks = block_names(data)
-        keys, names = sample_keys(blocks), suffix_names(blocks)
-        n = len(keys)
-        sizes = np.diff(bounds)
-        whole = np.repeat(np.arange(len(sizes)), np.maximum(sizes - LENGTH + 1, 0))
-        first = np.r_[0, np.cumsum(np.maximum(sizes - LENGTH + 1, 0))]
-        places = np.arange(len(whole)) - first[whole] + bounds[:-1][whole] if n else np.zeros(0, np.int64)
-        keys, names = keys[places], names[places]
-        new = np.r_[True, (keys[1:] != keys[:-1]) | (whole[1:] != whole[:-1])] if len(keys) else np.zeros(0, bool)
-        starts = np.flatnonzero(new)
-        self.counts = np.diff(np.r_[starts, len(keys)])
-        self.at, self.text, self.keys = places[starts], whole[starts], keys[starts]
-        if len(starts):
-            order = np.arange(len(keys)) - np.repeat(starts, self.counts)
-            weighted = names * arrays.weights(int(self.counts.max()), 31)[order]
-            self.names = arrays.mix(np.add.reduceat(weighted, starts) + self.counts.astype(U64))
-        else:
-            self.names = np.zeros(0, U64)
+        self.blocks = block_names(data)
+        keys = sample_keys(self.blocks)
+        inside = _over_texts(np.ones(len(keys), bool), bounds, LENGTH)
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | ~inside[:-1]
+        new[bounds[:-1][bounds[:-1] < len(keys)]] = True
+        new &= inside
+        self.at = np.flatnonzero(new)
+        last = inside.copy()
+        last[:-1] &= new[1:] | ~inside[1:]
+        self.counts = np.flatnonzero(last) - self.at + 1
+        self.text = np.searchsorted(bounds, self.at, side="right") - 1
+        self.keys = keys[self.at]
+
+    def names(self, which: np.ndarray) -> np.ndarray:
+        """A hash of the bytes of some runs."""
+        if len(which) == 0:
+            return np.zeros(0, U64)
+        counts = self.counts[which]
+        first = np.cumsum(counts) - counts
+        order = np.arange(int(counts.sum())) - np.repeat(first, counts)
+        place = np.repeat(self.at[which], counts) + order
+        name = self.blocks[place]
+        for offset in (BLOCK, 2 * BLOCK, LENGTH - BLOCK):
+            name = _join(name, self.blocks[place + offset])
+        weighted = arrays.mix(name) * arrays.weights(int(counts.max()), 31)[order]
+        return arrays.mix(np.add.reduceat(weighted, first) + counts.astype(U64))
 
 
 def _slices(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -175,7 +195,7 @@ def _shared(key: tuple, table: pa.Table) -> pa.Table:
     return table.filter(kept)
 
 
-_RUNS = "chunk long, doc_id long, code long, at long, n long, key long, name long, bytes binary"
+_RUNS = "owner long, doc_id long, at int, n int, key long, name long, bytes binary"
 
 
 def _shared_runs(buckets: int):
@@ -187,8 +207,9 @@ def _shared_runs(buckets: int):
             sizes = [len(b) // 4 for b in shared.column("names").to_pylist()]
             names = np.frombuffer(b"".join(shared.column("names").to_pylist()), np.uint32).astype(U64)
             wanted = np.sort(np.repeat(shared.column("bucket").to_numpy().astype(U64), sizes) << U64(32) | names)
-        ids, codes = table.column("doc_id").to_numpy(), table.column("code").to_numpy()
-        parts = {name: [] for name in ("doc_id", "code", "at", "n", "key", "name", "bytes")}
+        owners, ids = table.column("owner").to_numpy(), table.column("doc_id").to_numpy()
+        parts = {name: [] for name in ("owner", "doc_id", "at", "n", "key", "name")}
+        texts: list[bytes] = []
         for first, data, bounds in _slices(table) if len(wanted) else ():
             runs = Runs(data, bounds)
             bucket, name = _bucket(runs.keys, buckets)
@@ -197,17 +218,16 @@ def _shared_runs(buckets: int):
             hit = np.flatnonzero(wanted[spot] == full)
             at, n, text = runs.at[hit], runs.counts[hit], runs.text[hit]
             raw = data.tobytes()
+            parts["owner"].append(owners[first + text])
             parts["doc_id"].append(ids[first + text])
-            parts["code"].append(codes[first + text])
             parts["at"].append(at - bounds[text])
             parts["n"].append(n)
             parts["key"].append(runs.keys[hit].view(np.int64))
-            parts["name"].append(runs.names[hit].view(np.int64))
-            parts["bytes"] += [raw[a : a + m + LENGTH - 1] for a, m in zip(at.tolist(), n.tolist(), strict=True)]
-        texts = parts.pop("bytes")
-        columns = {k: pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64()) for k, v in parts.items()}
-        chunk = pa.array(np.full(len(texts), key[0].as_py(), np.int64))
-        return pa.table({"chunk": chunk, **columns, "bytes": pa.array(texts, pa.binary())})
+            parts["name"].append(runs.names(hit).view(np.int64))
+            texts += [raw[a : a + m + LENGTH - 1] for a, m in zip(at.tolist(), n.tolist(), strict=True)]
+        columns = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in parts.items()}
+        short = {k: pa.array(v, pa.int32() if k in ("at", "n") else pa.int64()) for k, v in columns.items()}
+        return pa.table({**short, "bytes": pa.array(texts, pa.binary())})
 
     return found
 
@@ -234,11 +254,11 @@ def _sort_bucket(keys: np.ndarray, ids: np.ndarray, texts: list[bytes]) -> tuple
     return run[covered], place[covered]
 
 
-_SPANS = "key long, name long, spans array<struct<low:long,high:long>>"
+_SPAN = "array<struct<low:long,high:long>>"
 
 
-def _spans(keys, names, run: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    """Covered suffixes, in order, as spans of suffix positions [low, high) for each run."""
+def _spans(keep: list[pa.Array], names: list[str], run: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """Covered suffixes, in order, as spans of suffix positions [low, high) beside columns of each run."""
     new = np.r_[True, (run[1:] != run[:-1]) | (place[1:] != place[:-1] + 1)] if len(run) else np.zeros(0, bool)
     starts = np.flatnonzero(new)
     ends = np.r_[starts[1:], len(run)] - 1 if len(starts) else starts
@@ -246,38 +266,37 @@ def _spans(keys, names, run: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
     first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else owner
     spans = pa.StructArray.from_arrays([pa.array(place[starts]), pa.array(place[ends] + 1)], ["low", "high"])
     lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(owner)].astype(np.int32)), spans)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(keys[owner[first]]), pa.array(names[owner[first]]), lists], ["key", "name", "spans"]
-    )
+    kept = [column.take(pa.array(owner[first])) for column in keep]
+    return pa.RecordBatch.from_arrays([*kept, lists], [*names, "spans"])
 
 
 def _sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs ordered by bucket -> covered spans of suffixes, some whole buckets at a time."""
-    keys, names, ids, texts, windows = [], [], [], [], 0
+    carried = ["owner", "at"]
+    waiting: list[pa.RecordBatch] = []
 
-    def flush() -> pa.RecordBatch:
-        own = np.array(keys), np.array(names), np.array(ids)
-        return _spans(own[0], own[1], *_sort_bucket(own[0], own[2], texts))
+    def flush(lot: pa.Table) -> pa.RecordBatch:
+        texts = lot.column("bytes").to_pylist()
+        found = _sort_bucket(lot.column("key").to_numpy(), lot.column("doc_id").to_numpy(), texts)
+        return _spans([lot.column(c).combine_chunks() for c in carried], carried, *found)
 
     for batch in batches:
-        columns = (batch.column(c) for c in ("key", "name", "doc_id", "bytes"))
-        for key, name, doc_id, text in zip(*(c.to_pylist() for c in columns), strict=True):
-            if windows >= LOT_WINDOWS and key != keys[-1]:
-                yield flush()
-                keys, names, ids, texts, windows = [], [], [], [], 0
-            keys.append(key)
-            names.append(name)
-            ids.append(doc_id)
-            texts.append(text)
-            windows += len(text) - LENGTH + 1
-    if keys:
-        yield flush()
+        for at in range(0, batch.num_rows, LOT_RUNS):
+            waiting.append(batch.slice(at, LOT_RUNS))
+            lot = pa.Table.from_batches(waiting)
+            keys = lot.column("key").to_numpy()
+            whole = int(np.searchsorted(keys == keys[-1], True)) if lot.num_rows >= LOT_RUNS else 0
+            if whole:  # the last bucket may go on in the next batch
+                yield flush(lot.slice(0, whole))
+                waiting = lot.slice(whole).combine_chunks().to_batches()
+    if waiting:
+        yield flush(pa.Table.from_batches(waiting))
 
 
 def _all_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 2048):
-            part = batch.slice(at, 2048)
+        for at in range(0, batch.num_rows, LOT_RUNS):
+            part = batch.slice(at, LOT_RUNS)
             suffix, run, place = _suffixes(part.column("bytes").to_pylist())
             columns = [part.column(c).take(pa.array(run)) for c in ("key", "name", "doc_id")]
             yield pa.RecordBatch.from_arrays(
@@ -286,21 +305,32 @@ def _all_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _spread_buckets(runs: DataFrame) -> DataFrame:
-    """As ``_sorted_buckets``, by suffix: equal ones are combined in each task before they meet."""
-    suffixes = runs.select("key", "name", "doc_id", "bytes").mapInArrow(
+    """As ``_sorted_buckets``, by suffix: equal runs and equal suffixes are combined in each task before they meet."""
+    firsts = runs.groupBy("key", "name").agg(F.min(F.struct("doc_id", "n", "bytes")).alias("first"))
+    firsts = store(firsts.select("key", "name", "first.*"), "distinct")
+    suffixes = firsts.select("key", "name", "doc_id", "bytes").mapInArrow(
         _all_suffixes, "key long, name long, doc_id long, suffix long, place long"
     )
     least = suffixes.groupBy("key", "suffix").agg(F.min("doc_id").alias("least"))
-    return (
+    partial = (
         suffixes.join(least, ["key", "suffix"])
         .where("doc_id > least")
         .groupBy("key", "name")
         .agg(F.collect_list(F.struct(F.col("place").alias("low"), (F.col("place") + 1).alias("high"))).alias("spans"))
     )
+    known = firsts.select("key", "name", F.col("doc_id").alias("first"), "n").join(partial, ["key", "name"], "left")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("n").cast("long").alias("high")))
+    return (
+        runs.select("owner", "at", "doc_id", "key", "name")
+        .join(known, ["key", "name"])
+        .withColumn("spans", F.when(F.col("doc_id") > F.col("first"), whole).otherwise(F.col("spans")))
+        .where("spans IS NOT NULL")
+        .select("owner", "at", "spans")
+    )
 
 
-def covered_spans(documents: DataFrame, buckets: int, hot_runs: int) -> DataFrame:
-    """Per run with covered suffixes: chunk, doc_id, code, and spans of bytes [low, high)."""
+def covered_spans(documents: DataFrame, chunks: int, buckets: int, hot_runs: int) -> DataFrame:
+    """Per run with covered suffixes: chunk, owner (its document), and spans of bytes [low, high)."""
     spark = documents.sparkSession
     sampled = documents.groupBy("chunk").applyInArrow(
         _sampled(buckets), "chunk long, bucket long, names binary, several binary"
@@ -312,60 +342,67 @@ def covered_spans(documents: DataFrame, buckets: int, hot_runs: int) -> DataFram
     )
     release(spark)
 
-    least = F.min(F.struct("doc_id", "n", "bytes"))
-    firsts = store(
-        runs.groupBy("key", "name").agg(least.alias("first")).select("key", "name", "first.doc_id", "first.n", "first.bytes"), "firsts"
+    keys = store(
+        runs.groupBy("key").agg(
+            F.min("doc_id").alias("first"),
+            F.count("*").alias("size"),
+            (F.min("name") != F.max("name")).alias("mixed"),
+        ),
+        "keys",
     )
-    sizes = firsts.groupBy("key").agg(F.count("*").alias("distinct_runs")).where("distinct_runs > 1")
-    open_runs = store(firsts.join(sizes, "key"), "open")
+    release(spark)
+    mixed = store(keys.where("mixed").select("key", (F.col("size") > hot_runs).alias("hot")), "mixed")
+    open_runs = runs.join(measured(mixed, MIXED_BROADCAST_ROWS), "key")
     sorted_runs = (
-        open_runs.where(F.col("distinct_runs") <= hot_runs)
+        open_runs.where("NOT hot")
+        .select("key", "doc_id", "owner", "at", "bytes")
         .repartition(partitions(spark), "key")
         .sortWithinPartitions("key")
-        .select("key", "name", "doc_id", "bytes")
-        .mapInArrow(_sorted_buckets, _SPANS)
+        .mapInArrow(_sorted_buckets, f"owner long, at int, spans {_SPAN}")
     )
-    spread = _spread_buckets(open_runs.where(F.col("distinct_runs") > hot_runs))
-    partial = store(sorted_runs.unionByName(spread), "partial")
+    parts = [store(sorted_runs, "sorted")]
     release(spark)
-
-    places = runs.select("chunk", F.col("doc_id").alias("own"), "code", "at", "key", "name")
-    known = firsts.select("key", "name", "doc_id", "n").join(partial, ["key", "name"], "left")
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("n").alias("high")))
-    return (
-        places.join(known, ["key", "name"])
-        .withColumn("spans", F.when(F.col("own") > F.col("doc_id"), whole).otherwise(F.col("spans")))
-        .where("spans IS NOT NULL")
-        .select(
-            "chunk",
-            F.col("own").alias("doc_id"),
-            "code",
-            F.transform(
-                "spans",
-                lambda s: F.struct(
-                    (s["low"] + F.col("at")).alias("low"), (s["high"] + F.col("at") + (LENGTH - 1)).alias("high")
-                ),
-            ).alias("spans"),
-        )
+    if not mixed.where("hot").isEmpty():
+        parts.append(store(_spread_buckets(store(open_runs.where("hot"), "hot")), "spread"))
+        release(spark)
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("n").cast("long").alias("high")))
+    parts.append(
+        runs.select("key", "doc_id", "owner", "at", "n")
+        .join(keys.where("NOT mixed").select("key", "first"), "key")
+        .where(F.col("doc_id") > F.col("first"))
+        .select("owner", "at", whole.alias("spans"))
     )
+    spans = F.transform(
+        "spans",
+        lambda s: F.struct((s["low"] + F.col("at")).alias("low"), (s["high"] + F.col("at") + (LENGTH - 1)).alias("high")),
+    )
+    covered = reduce(DataFrame.unionByName, parts)
+    return covered.select(_chunk(F.col("owner"), chunks), "owner", F.explode(spans).alias("span")).select(
+        "chunk", "owner", "span.low", "span.high"
+    )
+
+
+def _chunk(owner: Column, chunks: int) -> Column:
+    return F.pmod(owner, F.lit(chunks)).alias("chunk")
 
 
 def _cut(carried: list[str], with_text: bool, layout: pa.Schema):
     """Chunk and its covered spans -> its documents, cut: with their texts, or with what was found."""
 
     def cut(key: tuple, table: pa.Table, covered: pa.Table) -> pa.Table:
-        spans: dict[tuple[int, int], list[dict]] = {}
-        for doc_id, code, found in zip(*(covered.column(c).to_pylist() for c in ("doc_id", "code", "spans")), strict=True):
-            spans.setdefault((doc_id, code), []).extend(found)
+        starts, ends, spanned = (covered.column(c).to_numpy() for c in ("low", "high", "owner"))
+        order = np.argsort(spanned, kind="stable")
+        starts, ends, spanned = starts[order], ends[order], spanned[order]
         data, bounds = arrays.text_bytes(table.column("text"))
-        owners = zip(table.column("doc_id").to_pylist(), table.column("code").to_pylist(), strict=True)
+        owners = table.column("owner").to_numpy()
+        first, last = np.searchsorted(spanned, owners), np.searchsorted(spanned, owners, side="right")
         texts = table.column("text").to_pylist() if with_text else []
         facts = []
-        for i, owner in enumerate(owners):
+        for i in range(len(owners)):
             raw = data[bounds[i] : bounds[i + 1]]
             gone = np.zeros(len(raw), bool)
-            for span in spans.get(owner, ()):
-                gone[span["low"] : span["high"]] = True
+            for low, high in zip(starts[first[i] : last[i]].tolist(), ends[first[i] : last[i]].tolist(), strict=True):
+                gone[low:high] = True
             kept = raw[~gone].tobytes()
             if with_text and gone.any():
                 texts[i] = kept.decode("utf-8", "ignore")
@@ -386,15 +423,16 @@ def _remove(documents: DataFrame, carried: list[str], with_text: bool, hot_runs:
     spark = documents.sparkSession
     text_bytes = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(2 * partitions(spark), text_bytes // chunk_bytes + 1)
+    owner = F.xxhash64("doc_id", "text")
     keyed = documents.select(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"),
+        _chunk(owner, chunks),
+        owner.alias("owner"),
         F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"),
-        F.xxhash64("text").alias("code"),
         "text",
         *[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(carried)],
     )
-    plain = keyed.select("chunk", "doc_id", "code", "text")
-    covered = store(covered_spans(plain, partitions(spark), hot_runs), "covered")
+    plain = keyed.select("chunk", "owner", "doc_id", "text")
+    covered = store(covered_spans(plain, chunks, partitions(spark), hot_runs), "covered")
     release(spark)
     fields = [T.StructField(c, documents.schema[c].dataType) for c in carried]
     if with_text:

@@ -41,7 +41,7 @@ def test_equals_brute_force(corpus, texts):
 
 @pytest.mark.parametrize("options", [{}, {"hot_runs": 0}, {"hot_runs": 3, "chunk_bytes": 3000}])
 def test_shared_passages(spark, options, monkeypatch):
-    monkeypatch.setattr(repeats, "LOT_WINDOWS", 200)
+    monkeypatch.setattr(repeats, "LOT_RUNS", 7)
     source = random.Random(8)
     letters = "abcdeé \n"
     some = lambda n: "".join(source.choice(letters) for _ in range(n))
