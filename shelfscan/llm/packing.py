@@ -31,29 +31,30 @@ END_ID = 1
 
 
 @lru_cache(maxsize=2)
-def _cache(path: str) -> chunks.ChunkCache:
+def _cache(path: str) -> chunks.IdCache:
     tokenizer = Tokenizer.from_file(path)
 
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        out = []
+    def encode(texts: list[str]) -> list[list[int]]:
+        out: list[list[int]] = []
         for at in range(0, len(texts), 4096):
-            lot = tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)
-            out += [np.array(found.ids, np.uint32) for found in lot]
+            out += [found.ids for found in tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
         return out
 
-    return chunks.ChunkCache(encode)
+    return chunks.IdCache(encode)
 
 
 def token_blobs(texts: pa.Array, path: str, end_id: int) -> list[bytes]:
     """Each text's ids and the end id, as little-endian unsigned 32-bit numbers."""
-    names, codes, cuts = chunks.chunk_texts(texts)
-    found = _cache(path).look_up(names)
-    sizes = np.array([len(ids) for ids in found], np.int64)
-    first = np.r_[0, np.cumsum(sizes)]
-    flat = np.concatenate(found).astype("<u4")
-    lengths = sizes[codes]
+    words, heads, codes, cuts = chunks.split_texts(texts)
+    cache = _cache(path)
+    starts, counts = cache.look_up(words)
+    head_ids = cache.encode(heads)
+    head_counts = np.array([len(ids) for ids in head_ids], np.int64)
+    flat = np.concatenate([cache.ids, *(np.asarray(ids, np.uint32) for ids in head_ids)]).astype("<u4")
+    starts = np.r_[starts, len(cache.ids) + np.cumsum(head_counts) - head_counts]
+    lengths = np.r_[counts, head_counts][codes]
     ends = np.cumsum(lengths)
-    ids = flat[np.arange(int(lengths.sum())) + np.repeat(first[codes] - (ends - lengths), lengths)]
+    ids = flat[np.arange(int(lengths.sum())) + np.repeat(starts[codes] - (ends - lengths), lengths)]
     borders = np.r_[0, ends][cuts]
     end = np.array([end_id], "<u4").tobytes()
     return [ids[a:b].tobytes() + end for a, b in zip(borders[:-1], borders[1:], strict=True)]

@@ -3,6 +3,7 @@ from __future__ import annotations
 import base64
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import public_tokenizers
@@ -73,6 +74,18 @@ def test_encode_and_decode(spark, nothing):
     assert bpe.digests(nothing).collect() == []
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["", "a", "é", "word", "x y", "\u00a0", "日本"]), min_size=1, max_size=9, unique=True), max_size=6))
+def test_flat_cache_gives_the_ids_of_each_word(lots):
+    encode = lambda texts: [list(t.encode()) for t in texts]
+    for size in (0, 4, 1000):
+        cache = chunks.IdCache(encode, size)
+        for words in lots:
+            starts, counts = cache.look_up(pa.array(words, pa.large_string()))
+            got = [bytes(cache.ids[s : s + n].astype(np.uint8).tolist()) for s, n in zip(starts, counts, strict=True)]
+            assert got == [b" " + w.encode() for w in words]
+
+
 def test_cache_stays_bounded(monkeypatch):
     monkeypatch.setattr(chunks, "CACHED_CHUNKS", 10)
     cache = chunks.ChunkCache(lambda texts: [t.upper() for t in texts])
