@@ -12,6 +12,7 @@ null or repeated doc_id is kept as it is. An empty table has no pieces.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,17 +29,26 @@ from shelfscan.llm import chunks, storage
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 SEQUENCE_TOKENS = 2048
 END_ID = 1
+MARKS = ".,"
 
 
 @lru_cache(maxsize=2)
 def _cache(path: str) -> chunks.IdCache:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks run side by side already
     tokenizer = Tokenizer.from_file(path)
 
+    marks = {mark: tokenizer.encode(mark, add_special_tokens=False).ids for mark in MARKS}
+
     def encode(texts: list[str]) -> list[list[int]]:
-        out: list[list[int]] = []
-        for at in range(0, len(texts), 4096):
-            out += [found.ids for found in tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
-        return out
+        """A mark behind a letter is always encoded by itself, so a word is encoded once for all marks behind it."""
+        plain = [t[:-1] if len(t) > 1 and t[-1] in marks and t[-2].isalpha() else t for t in texts]
+        distinct = list(dict.fromkeys(plain))
+        known: dict[str, list[int]] = {}
+        for at in range(0, len(distinct), 4096):
+            lot = distinct[at : at + 4096]
+            found = tokenizer.encode_batch_fast(lot, add_special_tokens=False)
+            known.update(zip(lot, [x.ids for x in found], strict=True))
+        return [known[p] if p is t else known[p] + marks[t[-1]] for p, t in zip(plain, texts, strict=True)]
 
     return chunks.IdCache(encode)
 
