@@ -12,8 +12,13 @@ not yet a component is compared too, so no candidate pair is left out: buckets w
 are in one component need nothing more, in the others only those outside of the bucket's largest
 component meet the rest. Long buckets first get more leaders, as each merges most of the rest.
 
-A pair with a similarity of 0.8 shares no band with a probability of 1.4e-7, one of 0.85 with 2.4e-10;
-identical sets always share all.
+Bands are as wide as MISSED allows: a pair at the threshold shares none of them with at most that
+probability, one above it with less, and equal sets share all.
+
+Groups of copies often have many members just below the threshold, and comparing each of those
+with all others is what such a group costs. Most are ruled out without looking at pairs: shingles
+that no other candidate holds can't be shared with anyone, so from a set's size and the number
+of its shared shingles follows how alike it can be to another at most, exactly.
 
 Nulls and ties: a null or empty text, or one without words, has no shingles and no links. Null
 ids are kept as one id after all others. Rows that share an id are documents of their own with
@@ -34,8 +39,8 @@ from shelfscan.llm.components import components
 from shelfscan.llm.storage import measured, release, store
 
 LAST_ID = (1 << 63) - 1  # stands for a null id
-PERMUTATIONS = 60
-BAND_ROWS = 4
+PERMUTATIONS = 160
+MISSED = 1e-5
 SALTS = 1024
 MAX_LEADER_ROUNDS = 4
 
@@ -76,14 +81,22 @@ def min_max(shingle: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
+def band_width(percent: int) -> int:
+    """Entries to a band, the most that miss a pair at the threshold with a probability of MISSED or less."""
+    width = 1
+    while (1 - (percent / 100) ** (width + 1)) ** (2 * PERMUTATIONS // (width + 1)) <= MISSED:
+        width += 1
+    return width
+
+
+def band_keys(signature: np.ndarray, width: int) -> np.ndarray:
     """One key per band and row, different for different bands."""
-    bands = signature.shape[1] // BAND_ROWS
+    bands = signature.shape[1] // width
     keys = np.empty((len(signature), bands), arrays.U64)
     for b in range(bands):
         key = np.full(len(signature), b + 1, arrays.U64)
-        for j, w in enumerate(arrays.weights(BAND_ROWS, 13)):
-            key += signature[:, b * BAND_ROWS + j] * w
+        for j, w in enumerate(arrays.weights(width, 13)):
+            key += signature[:, b * width + j] * w
         keys[:, b] = arrays.mix(key)
     return keys
 
@@ -97,7 +110,7 @@ def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
-def signatures(documents: DataFrame, words: int) -> DataFrame:
+def signatures(documents: DataFrame, words: int, band: int) -> DataFrame:
     """Per document: doc_id, text_code, n_shingles, node (hash of the set), bands (null without shingles)."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,11 +119,10 @@ def signatures(documents: DataFrame, words: int) -> DataFrame:
                 sizes = np.bincount(text, minlength=n)
                 filled = np.flatnonzero(sizes)
                 starts = np.r_[0, np.cumsum(sizes[filled])[:-1]] if len(filled) else filled
-                keys = band_keys(min_max(shingle, starts))
+                keys = band_keys(min_max(shingle, starts), band)
                 nodes = np.zeros(n, arrays.U64)
                 nodes[filled] = _set_codes(shingle, starts)
-                width = keys.shape[1]
-                offsets = np.r_[0, np.cumsum(np.where(sizes > 0, width, 0))].astype(np.int32)
+                offsets = np.r_[0, np.cumsum(np.where(sizes > 0, keys.shape[1], 0))].astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(offsets), _signed(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -155,6 +167,31 @@ def full_sets(documents: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     )
 
 
+def linkable(sets: DataFrame, percent: int) -> DataFrame:
+    """Per node that can have a link at all: node, n (size of its set), held (shingles that others hold too)."""
+    shingles = sets.select("node", F.explode("shingles").alias("shingle"))
+    alone = (
+        shingles.groupBy("shingle")
+        .agg(F.count("*").alias("holders"), F.min("node").alias("node"))
+        .where("holders = 1")
+        .groupBy("node")
+        .agg(F.count("*").alias("alone"))
+    )
+    n = F.size("shingles").cast("long")
+    return (
+        sets.select("node", n.alias("n"))
+        .join(alone, "node", "left")
+        .select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("held"))
+        .where(F.lit(100) * F.col("held") >= F.lit(percent) * F.col("n"))
+    )
+
+
+def _can_link(a: str, b: str, percent: int):
+    """Whether two members may be alike enough: they share at most the shingles that the one with fewer shared ones has."""
+    most = F.least(F.col(f"{a}.held"), F.col(f"{b}.held"))
+    return F.lit(100) * most >= F.lit(percent) * (F.col(f"{a}.n") + F.col(f"{b}.n") - most)
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of distinct ``pairs`` (a, b) those whose sets are alike enough.
 
@@ -176,7 +213,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _open_buckets(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members (bucket, node, label) of buckets that hold more than one component."""
+    """Members (bucket, node, n, held, label) of buckets that hold more than one component."""
     if labels is None:
         labelled = members.withColumn("label", F.col("node"))
     else:
@@ -185,39 +222,42 @@ def _open_buckets(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return labelled.join(several.select("bucket"), "bucket")
 
 
-def _leader_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """Each member with the leader of its bucket, if their components differ."""
-    leaders = members.groupBy("bucket").agg(
-        F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("leader")
-    )
+def _leader_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Each member with the leader of its bucket, if their components differ and they may be alike.
+
+    The leader is the member whose shingles the others share most; in later turns another one.
+    """
+    rank = F.xxhash64("node", F.lit(turn)) if turn else F.struct(F.col("n") - F.col("held"), "node")
+    leaders = members.groupBy("bucket").agg(F.min_by(F.struct("node", "label", "n", "held"), rank).alias("leader"))
     return (
-        members.join(leaders, "bucket")
-        .where("label <> leader.label")
-        .select(F.col("node").alias("a"), F.col("leader.node").alias("b"))
+        members.alias("m")
+        .join(leaders.select("bucket", "leader.*").alias("l"), "bucket")
+        .where((F.col("m.label") != F.col("l.label")) & _can_link("m", "l", percent))
+        .select(F.col("m.node").alias("a"), F.col("l.node").alias("b"))
         .distinct()
     )
 
 
-def _remaining_pairs(members: DataFrame) -> DataFrame:
-    """All pairs of a bucket from different components."""
-    home = members.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(
-        F.max_by("label", F.struct("n", "label")).alias("home")
+def _remaining_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a bucket from different components that may be alike."""
+    home = members.groupBy("bucket", "label").agg(F.count("*").alias("size")).groupBy("bucket").agg(
+        F.max_by("label", F.struct("size", "label")).alias("home")
     )
     placed = members.join(home, "bucket")
-    outside = placed.where("label <> home").select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"))
-    others = placed.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"), "home")
+    once = (F.col("m.label") == F.col("m.home")) | (F.col("o.node") < F.col("m.node"))
     return (
-        outside.join(others, "bucket")
-        .where("label_a <> label_b AND (label_b = home OR a < b)")
-        .select("a", "b")
+        placed.where("label <> home").alias("o")
+        .join(placed.alias("m"), F.col("o.bucket") == F.col("m.bucket"))
+        .where((F.col("o.label") != F.col("m.label")) & once & _can_link("o", "m", percent))
+        .select(F.col("o.node").alias("a"), F.col("m.node").alias("b"))
         .distinct()
     )
 
 
 def _missing_pairs(members: DataFrame) -> int:
     """How many pairs the last step would have to look at, at most."""
-    per_bucket = members.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(
-        F.sum("n").alias("size"), F.max("n").alias("home")
+    per_bucket = members.groupBy("bucket", "label").agg(F.count("*").alias("own")).groupBy("bucket").agg(
+        F.sum("own").alias("size"), F.max("own").alias("home")
     )
     return per_bucket.agg(F.coalesce(F.sum(F.expr("(size - home) * size")), F.lit(0)).alias("pairs")).first()["pairs"]
 
@@ -229,7 +269,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     smallest id reachable, and the document that has it is kept.
     """
     spark: SparkSession = documents.sparkSession
-    signed = store(signatures(documents, words), "signatures")
+    signed = store(signatures(documents, words, band_width(percent)), "signatures")
     own_id = F.coalesce("doc_id", F.lit(LAST_ID))
     classes = store(
         signed.where("n_shingles > 0")
@@ -239,11 +279,13 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     )
     buckets = classes.select("node", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    members = store(buckets.join(shared.select("bucket"), "bucket"), "members")
-    wanted = store(classes.select(F.col("rep").alias("doc_id"), "node").join(members.select("node").distinct(), "node"), "wanted")
+    candidates = store(buckets.join(shared.select("bucket"), "bucket"), "candidates")
+    wanted = store(classes.select(F.col("rep").alias("doc_id"), "node").join(candidates.select("node").distinct(), "node"), "wanted")
     release(spark)
     sets = store(full_sets(documents, wanted.select("doc_id", "node"), words), "sets")
     release(spark)
+    members = store(candidates.join(store(linkable(sets, percent), "linkable"), "node"), "members")
+    release(spark)
 
     labels, links, checked = None, None, None
 
@@ -259,16 +301,18 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
         links = found if links is None else links.union(found)
         if not found.isEmpty():
             labels = components(links)
+        release(spark)
 
-    settle(_leader_pairs(_open_buckets(members, None), 0))
-    open_buckets = store(_open_buckets(members, labels), "open")
+    settle(_leader_pairs(_open_buckets(members, None), 0, percent))
+    open_buckets, before = store(_open_buckets(members, labels), "open"), None
     for turn in range(1, MAX_LEADER_ROUNDS):
-        if _missing_pairs(open_buckets) <= 4 * open_buckets.count():
+        missing = _missing_pairs(open_buckets)
+        if missing <= 4 * open_buckets.count() or before is not None and 2 * missing > before:
             break
-        settle(_leader_pairs(open_buckets, turn))
-        open_buckets = store(_open_buckets(members, labels), "open")
+        settle(_leader_pairs(open_buckets, turn, percent))
+        open_buckets, before = store(_open_buckets(members, labels), "open"), missing
     if not open_buckets.isEmpty():
-        settle(_remaining_pairs(open_buckets))
+        settle(_remaining_pairs(open_buckets, percent))
 
     if labels is None:
         named = classes.select("node", F.col("rep").alias("component"))
