@@ -7,8 +7,12 @@ a site repeats. Pages with the same article count once, so an article that a hos
 many addresses is not taken for its template.
 
 What a page declares not to be article text goes without counting: menus, footers, sidebars,
-forms, scripts, styles, and elements whose class or id names an advert, a notice or comments. If
-a page has an article or main element, only text inside of it counts.
+forms, scripts, styles, and elements whose class or id names an advert, a notice or comments. A
+class counts as a whole: "site-footer" names a footer, "has-sidebar" and "social-news" name
+nothing. An element that contains an article or main element stays, whatever it declares; only
+for comments, related pages, adverts, asides, menus and what is hidden does an article inside
+not count if the page has another one. A form stays if it holds a page's frame or main heading.
+If a page has an article or main element, only text inside of it counts.
 
 A host's templates are bounded by MIN_SHARE: subtrees on that share of its pages are at most as
 many as a page has, divided by the share. They meet the pages in a join that is salted by page.
@@ -38,6 +42,7 @@ SALTS = 64
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes svg math template".split())
 DROPPED = RAW | frozenset("head nav footer aside form button select option menu dialog canvas object audio video".split())
+CONTROLS = frozenset("button select option canvas object audio video".split())
 BLOCKS = frozenset(
     "address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup"
     " html li main ol p pre section summary table tbody td tfoot th thead tr ul hr".split()
@@ -58,47 +63,111 @@ UNWANTED = frozenset(
     " disqus footer menu modal nav navbar navigation newsletter notice pagination popup promo promoted related reply replies"
     " share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+HOLDING_OTHERS = frozenset(
+    "ad ads advert adverts advertisement advertising comment comments disqus promo promoted related reply replies"
+    " sponsor sponsored".split()
+)
+# Words that leave the meaning of an unwanted one beside them in a class, and words for an article that do so for some.
+NEUTRAL = frozenset(
+    "area bar block bottom box cell col column container content desktop fixed floating form global holder in inner item left"
+    " link links list lower main mobile outer overlay page panel primary right row secondary section site slot sticky thread"
+    " top unit upper wrap wrapper".split()
+)
+OF_ARTICLE = frozenset("article articles blog entry post posts stories story user".split())
+BESIDE_ARTICLE = frozenset("comment comments footer nav navigation pagination related reply replies share sharing".split())
+CONTENT = frozenset("article blog entry entry-content hentry post post-body post-content story".split())
+FRAME = frozenset("h1 header nav footer".split())
 UNWANTED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(?=/?[a-zA-Z])[^<]*\Z", re.S
 )
-_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORD = re.compile(r"[a-z]+")
 
 
-def _unwanted(name: str, attributes: str, in_article: bool) -> bool:
-    if name in DROPPED or (name == "header" and not in_article):
-        return True
-    if not attributes or name in ("html", "body", "article", "main") and "comment" not in attributes:
-        return False
+KEEP, LAYOUT, OTHERS, ALWAYS = range(4)  # what an element is taken for: see _drop
+
+
+def _attributes(attributes: str) -> dict[str, str]:
+    """Values by name; the first of a repeated name counts."""
+    found: dict[str, str] = {}
     for key, *values in _ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), "".join(values).lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-        if key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if key == "role" and value.strip() in UNWANTED_ROLES:
-            return True
-        if key in ("class", "id"):
-            words = set(_WORD.findall(value))
-            if words & UNWANTED or ("header" in words and not in_article):
-                return True
-    return False
+        found.setdefault(key.lower(), html.unescape("".join(values)).lower())
+    return found
+
+
+def _named(tokens: set[str], in_article: bool) -> int:
+    """What classes or ids say: each counts as a whole, so all its words must say the same."""
+    found = KEEP
+    for token in tokens:
+        words = set(_WORD.findall(token))
+        telling = words & UNWANTED
+        if not in_article and "header" in words:
+            telling.add("header")
+        rest = words - telling - NEUTRAL
+        if telling and (not rest or rest <= OF_ARTICLE and telling <= BESIDE_ARTICLE):
+            found = max(found, OTHERS if telling & HOLDING_OTHERS else LAYOUT)
+    return found
+
+
+def _unwanted(name: str, attributes: str, in_article: bool) -> int:
+    if name in DROPPED:
+        return ALWAYS if name in RAW or name in CONTROLS else LAYOUT if name == "form" else OTHERS
+    if name == "header" and not in_article:
+        return LAYOUT
+    if not attributes or name in ("html", "body"):
+        return KEEP
+    found = _attributes(attributes)
+    tokens = {*found.get("class", "").split(), *found.get("id", "").split()}
+    if name in ("article", "main"):
+        return OTHERS if any({"comment", "comments"} & set(_WORD.findall(t)) and _named({t}, in_article) for t in tokens) else KEEP
+    if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
+        return OTHERS
+    said = _named(tokens, in_article)
+    if said == LAYOUT and tokens & CONTENT:
+        said = KEEP
+    return max(said, LAYOUT if found.get("role", "").strip() in UNWANTED_ROLES else KEEP)
 
 
 class _Element:
-    __slots__ = ("name", "parts", "parent", "article", "dropped", "code")
+    __slots__ = ("name", "parts", "parent", "article", "unwanted", "dropped", "holds", "form", "among_others", "code")
 
-    def __init__(self, name: str, parent: _Element | None, article: bool, dropped: bool):
-        self.name, self.parent, self.article, self.dropped = name, parent, article, dropped
+    def __init__(self, name: str, parent: _Element | None, article: bool, unwanted: int):
+        self.name, self.parent, self.article, self.unwanted = name, parent, article, unwanted
+        self.among_others = unwanted == OTHERS or parent is not None and parent.among_others
+        self.dropped = self.holds = False
+        self.form: _Element | None = None  # the form around, with nothing between that could hold its parts
         self.parts: list = []  # texts and block elements, in order
         self.code = 0
 
 
+def _drop(elements: list[_Element]) -> None:
+    """Mark what goes: an unwanted element with all inside, unless it holds the page's article.
+
+    Articles among comments, related pages and the like count only if the page has no other.
+    """
+    articles = [e for e in elements if e.name in ("article", "main") and e.unwanted == KEEP]
+    free = [e for e in articles if not e.among_others]
+    for e in (free or articles) + [e for e in articles if e.name == "main"]:
+        while (e := e.parent) is not None and not e.holds:
+            e.holds = True
+    for e in elements:  # parents before children
+        if e.name in FRAME and e.parent.form is not None:
+            e.parent.form.holds = True
+        if e.name == "form" and not e.article:
+            e.form = e
+        elif e.parent is not None and e.unwanted in (KEEP, LAYOUT) and e.name not in FRAME:
+            e.form = e.parent.form
+    for e in elements:
+        above = e.parent is not None and e.parent.dropped
+        e.dropped = above or e.unwanted == ALWAYS or e.unwanted != KEEP and not e.holds
+
+
 def _tree(page: str) -> _Element:
     """The block elements of a page with their texts; inline elements leave their text to the block around."""
-    root = _Element("#page", None, False, False)
+    root = _Element("#page", None, False, KEEP)
+    elements = [root]
     block, stack = root, []  # stack: (name, block before it), for open elements
     place = 0
 
@@ -111,7 +180,7 @@ def _tree(page: str) -> _Element:
     for token in _TOKEN.finditer(page):
         if raw_until is not None and not (token[1] and token[2].lower() == raw_until):
             continue
-        if raw_until is None and token.start() > place and not block.dropped:
+        if raw_until is None and token.start() > place and block.unwanted != ALWAYS:
             block.parts.append(page[place : token.start()])
         place = token.end()
         if token[2] is None:
@@ -128,7 +197,8 @@ def _tree(page: str) -> _Element:
             if name == "br":
                 block.parts.append(" ")
             elif name == "hr":
-                block.parts.append(_Element(name, block, block.article, True))
+                elements.append(_Element(name, block, block.article, ALWAYS))
+                block.parts.append(elements[-1])
             continue
         enders = CLOSED_BY_SAME.get(name) or (("p",) if name in CLOSES_P else ())
         if enders:
@@ -139,16 +209,18 @@ def _tree(page: str) -> _Element:
                 if stack[depth][0] in SCOPES:
                     break
         article = block.article or name in ("article", "main")
-        dropped = block.dropped or _unwanted(name, token[3], block.article)
+        unwanted = _unwanted(name, token[3], block.article)
         stack.append((name, block))
-        if name in BLOCKS or dropped and not block.dropped:
-            inner = _Element(name, block, article, dropped)
+        if name in BLOCKS or unwanted != KEEP:
+            inner = _Element(name, block, article, unwanted)
+            elements.append(inner)
             block.parts.append(inner)
             block = inner
         if name in RAW and not token[3].endswith("/"):
             raw_until = name
-    if raw_until is None and place < len(page) and not block.dropped:
+    if raw_until is None and place < len(page) and block.unwanted != ALWAYS:
         block.parts.append(page[place:])
+    _drop(elements)
     return root
 
 

@@ -38,6 +38,29 @@ def test_what_is_no_article():
     assert text_of(page) == "Head & line One bold é two next a b a < b"
 
 
+def test_attributes_are_read_by_name():
+    assert text_of('<article>a<p title="Hidden gems of Paris">b</p><a href="/hidden/x">c</a><p data-x="role=search">d</p></article>') == "a b c d"
+    assert text_of('<p>a<a href="/x?class=comment">b</a></p><p data-hidden=1>c</p><p hidden>d</p><p HIDDEN="">e</p>') == "ab c"
+    assert text_of('<article title="comment rules">a</article>') == "a"
+    assert text_of("<p class=&#97;d>a</p><p class=x class=ad>b</p>") == "b"
+
+
+def test_classes_count_as_a_whole():
+    for kept in ("layout has-sidebar", "social-news", "widget Blog", "cookie-recipes", "article-header", "no-comments-yet", "nav-less"):
+        assert text_of(f'<body><div class="{kept}"><p>text</p></div></body>') == "text", kept
+    for gone in ("ad", "wide sidebar", "cookie-notice", "site-footer", "ad-slot-3", "post-comments", "related-articles", "nav_main"):
+        assert text_of(f'<body><div class="{gone}"><p>junk</p></div><p>text</p></body>') == "text", gone
+
+
+def test_what_holds_an_article_stays():
+    page = "<body><nav>menu</nav><p>outside</p><article>text</article></body>"
+    for start, end in (("<form id=aspnetForm>", "</form>"), ("<div class=sidebar>", "</div>"), ("<div role=banner>", "</div>"),
+                       ("<aside>", "</aside>"), ("<div style='display:none'>", "</div>"), ("<head>", ""), ("<main><div class=widget>", "</div></main>")):
+        assert text_of(f"<html>{start}{page}{end}</html>").replace("outside ", "") == "text", start
+    assert text_of("<form><header>top</header><div><p>text</p></div><footer>end</footer></form>") == "text"
+    assert text_of("<article>a</article><aside><article>b</article></aside><section class=comments><article>c</article></section>") == "a"
+
+
 def test_inline_elements_leave_no_gap():
     assert text_of("<body><p>a<b>b</b>c <span> d</span></p>tail<div>x</div>y") == "abc d tail x y"
     assert text_of("plain") == "plain"
