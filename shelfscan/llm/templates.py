@@ -14,8 +14,9 @@ for comments, related pages, adverts, asides, menus and what is hidden does an a
 not count if the page has another one. A form stays if it holds a page's frame or main heading.
 If a page has an article or main element, only text inside of it counts.
 
-A host's templates are bounded by MIN_SHARE: subtrees on that share of its pages are at most as
-many as a page has, divided by the share. They meet the pages in a join that is salted by page.
+"Many" is MIN_PAGES articles, whatever the size of the host. A host's templates may be as many as
+its pages, so they are never gathered: the subtrees of each page meet those that recur one by
+one, in a join that is salted by page, with a row only for salts that occur.
 
 Nulls: a null html is empty and its text too; a null url belongs to a host of its own. An empty
 table has no rows. Unclosed elements end with their parents; a tag cut off by the end is dropped.
@@ -35,7 +36,6 @@ from pyspark.sql import functions as F
 from shelfscan.llm.storage import store
 
 MIN_PAGES = 10
-MIN_SHARE = 0.1
 SALTS = 64
 
 # Element names of the HTML standard, and words by which sites name what is not text.
@@ -299,37 +299,38 @@ def parse(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", host.alias("host"), "html").mapInArrow(parsed, _PARSED)
 
 
-def site_templates(parsed: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """Per host: the hashes of the subtrees that recur on enough of its pages."""
-    articles = parsed.select("host", "article", F.array_distinct(F.flatten("chains")).alias("subtrees")).dropDuplicates(["host", "article"])
-    totals = articles.groupBy("host").agg(F.count("*").alias("pages"))
-    recurring = (
-        articles.select("host", F.explode("subtrees").alias("subtree"))
-        .groupBy("host", "subtree")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") >= min_pages)
-    )
+def recurring(subtrees: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """The subtrees that recur in enough articles of their host: key and salt, for the salts that occur."""
+    salts = F.bit_or(F.expr("shiftleft(1L, salt)"))
+    articles = subtrees.groupBy("key", "article").agg(salts.alias("salts"))
     return (
-        recurring.join(totals, "host")
-        .where(F.col("n") >= min_share * F.col("pages"))
-        .groupBy("host")
-        .agg(F.array_sort(F.collect_list("subtree")).alias("template"))
+        articles.groupBy("key")
+        .agg(F.count("*").alias("n"), F.bit_or("salts").alias("salts"))
+        .where(F.col("n") >= min_pages)
+        .select("key", F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), s -> getbit(salts, s) = 1)")).alias("salt"))
     )
 
 
-def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def main_text(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
-    parsed = store(parse(pages), "blocks")
-    templates = store(site_templates(parsed, min_pages, min_share), "templates")
-    salted = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    parsed = store(parse(pages).withColumn("row", F.monotonically_increasing_id()), "blocks")
+    subtrees = (
+        parsed.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+        .select("row", "host", "article", "salt", F.explode(F.array_distinct(F.flatten("chains"))).alias("subtree"))
+        .select("row", "article", "salt", "subtree", F.xxhash64("host", "subtree").alias("key"))
+    )
+    templates = (
+        subtrees.join(recurring(subtrees, min_pages), ["key", "salt"])
+        .groupBy("row")
+        .agg(F.collect_list("subtree").alias("template"))
+    )
     kept = F.filter(
         F.col("texts"),
         lambda _, i: ~F.coalesce(F.arrays_overlap(F.get(F.col("chains"), i), F.col("template")), F.lit(False)),
     )
     text = F.array_join(F.when(F.col("template").isNull(), F.col("texts")).otherwise(kept), " ")
     return (
-        parsed.withColumn("salt", F.pmod(F.xxhash64("page_id", "article"), F.lit(SALTS)).cast("int"))
-        .join(salted, ["host", "salt"], "left")
+        parsed.join(templates, "row", "left")
         .select("page_id", "url", text.alias("text"))
         .withColumn("n_chars", F.length("text").cast("long"))
     )

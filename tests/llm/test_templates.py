@@ -90,6 +90,17 @@ def test_repeated_subtrees_go(spark):
     assert got[300] == "Read more of this site every day"
 
 
+def test_recurrence_does_not_depend_on_the_size_of_the_host(spark):
+    box = "<div><p>Notice</p><p>on few pages</p></div>"
+    rows = [(i, f"https://big.example/{i}", f"<body>{box if i < 12 else ''}<p>article {i}</p></body>") for i in range(600)]
+    rows += [(1000 + i, f"https://small.example/{i}", f"<body>{box if i < 12 else ''}<p>other {i}</p></body>") for i in range(20)]
+    rows += [(2000 + i, f"https://nine.example/{i}", f"<body>{box if i < 9 else ''}<p>nine {i}</p></body>") for i in range(30)]
+    got = {r["page_id"]: r["text"] for r in templates.main_text(pages(spark, *rows, *rows[:5])).collect()}
+    assert all(got[i] == f"article {i}" for i in range(600))
+    assert all(got[1000 + i] == f"other {i}" for i in range(20))
+    assert all(got[2000 + i] == f"{'Notice on few pages ' if i < 9 else ''}nine {i}" for i in range(30))
+
+
 def test_odd_rows(spark):
     rows = [(1, "u", None), (1, "u", None), (None, None, ""), (2, "http://x/", "<p> \n </p>"), (3, "http://x/", "<p>" + "a " * 50_000)]
     got = [(r["page_id"], r["url"], r["text"], r["n_chars"]) for r in templates.main_text(pages(spark, *rows)).collect()]
