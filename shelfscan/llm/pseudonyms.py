@@ -6,6 +6,14 @@ number or date is permuted within its own format by a keyed Feistel network over
 so it stays valid, equal values get equal pseudonyms in every document, and different values
 different ones. Mail addresses and secrets, which have no number format, get keyed digests.
 
+Secrets are found behind a name and a sign (also quoted, as in JSON), at any length of 8 and
+more; a secret ends at the first character that is not a letter, a digit or one of ``+/_.-``.
+Dates are found as year-month-day with dashes, and with two-digit days and months before the year
+behind ``.``, ``/`` or ``-``: day first where that is a date, otherwise month first. Dates that
+can only be read month first are permuted among themselves, so they keep apart from all others
+but are not linked to other notations of the same day. Two-digit years, one-digit days and months
+and names of months are not found.
+
 Without the key a pseudonym can't be led back; with it the permutations can be inverted.
 
 Nulls: a null text stays null, an empty one empty; every other column is left alone. Repeated
@@ -23,17 +31,20 @@ ROUNDS = 10
 FIRST_DAY, LAST_DAY = "1900-01-01", "2099-12-31"
 DAYS = 73_049
 DAY_PARTS = (271, 270)  # their product is the next domain above DAYS; the few beyond are walked over
+LATE_DAYS = 44_249  # days after the 12th of their month
+LATE_DAY_PARTS = (211, 210)
+MONTHS = 2400
 
 #: Candidates by kind, in the order in which they are tried at a place. Group 1 is the mark in a
 #: date and group 2 that in a card number, counted over all patterns together.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}",
-    "secret": r"(?<![A-Za-z0-9])(?i:password|passwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.-]{8,512}+[\"']?",
+    "secret": r"(?<![A-Za-z0-9])(?i:password|passwd|token|secret|api[_-]?key)[\"']?\s*+[=:]\s*+[\"']?[A-Za-z0-9+/_.-]{8,}+[\"']?",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "phone": r"(?<![A-Za-z0-9+])\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})){2,6}(?![A-Za-z0-9])"
     r"|(?<![A-Za-z0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![A-Za-z0-9])",
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9]|-[0-9])",
-    "date": r"(?<![A-Za-z0-9./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\1(?:19|20)[0-9]{2})(?![A-Za-z0-9]|[./-][0-9])",
+    "date": r"(?<![A-Za-z0-9./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./-])[0-9]{2}\1(?:19|20)[0-9]{2})(?![A-Za-z0-9]|[./-][0-9])",
     "ip": r"(?<![A-Za-z0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![A-Za-z0-9]|\.[0-9])",
     "card": r"(?<![A-Za-z0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![A-Za-z0-9])",
 }
@@ -243,37 +254,71 @@ def _ip(value: Column, key: str) -> Column:
     return let(F.transform(F.split(value, r"\."), lambda o: o.cast("int")), replaced)
 
 
-def _date(value: Column, key: str) -> Column:
-    """A day of 1900 to 2099 becomes another one, in the same notation."""
-    year_first = value.rlike("^[0-9]{4}")
-    iso = F.when(year_first, value).otherwise(
-        F.concat_ws("-", F.substring(value, 7, 4), F.substring(value, 4, 2), F.substring(value, 1, 2))
-    )
-    high, low = (F.lit(n).cast("bigint") for n in DAY_PARTS)
+def _permuted_day(day: Column, days: int, parts: tuple[int, int], key: str, tweak: str) -> Column:
+    """A number below ``days``, permuted among those."""
+    high, low = (F.lit(n).cast("bigint") for n in parts)
 
     def step(day: Column) -> Column:
         return let(
-            feistel(F.floor(day / DAY_PARTS[1]), day % DAY_PARTS[1], high, low, key, F.lit("date")),
-            lambda p: p["high"] * DAY_PARTS[1] + p["low"],
+            feistel(F.floor(day / parts[1]), day % parts[1], high, low, key, F.lit(tweak)),
+            lambda p: p["high"] * parts[1] + p["low"],
         )
 
-    def walked(day: Column) -> Column:
-        # A walk ends within the number of places beyond the last day; nearly all end at once.
-        beyond = DAY_PARTS[0] * DAY_PARTS[1] - DAYS
-        return F.aggregate(
-            F.sequence(F.lit(1), F.lit(beyond)), step(day), lambda d, _: F.when(d < DAYS, d).otherwise(step(d))
-        )
+    # A walk ends within the number of places beyond the last day; nearly all end at once.
+    beyond = parts[0] * parts[1] - days
+    return F.aggregate(F.sequence(F.lit(1), F.lit(beyond)), step(day), lambda d, _: F.when(d < days, d).otherwise(step(d)))
+
+
+def _late_days_before(month: Column) -> Column:
+    """How many days after the 12th lie before a month, counted from the first."""
+    first = F.lit(FIRST_DAY).cast("date")
+    return F.datediff(F.add_months(first, month), first) - 12 * month
+
+
+def _late_day(number: Column) -> Column:
+    """The date of a day by its number among the days after the 12th."""
+    guess = F.greatest(F.floor(number * MONTHS / LATE_DAYS).cast("int") - 3, F.lit(0))
+    month = F.aggregate(
+        F.sequence(F.lit(1), F.lit(7)),
+        guess,
+        lambda m, _: F.when(_late_days_before(m + 1) <= number, m + 1).otherwise(m),
+    )
+    return let(
+        month,
+        lambda m: F.date_add(
+            F.add_months(F.lit(FIRST_DAY).cast("date"), m), (number - _late_days_before(m)).cast("int") + 12
+        ),
+    )
+
+
+def _date(value: Column, key: str) -> Column:
+    """A day of 1900 to 2099 becomes another one, in the same notation."""
+    year_first = value.rlike("^[0-9]{4}")
+    year, first, second = F.substring(value, 7, 4), F.substring(value, 1, 2), F.substring(value, 4, 2)
+    start, mark = F.lit(FIRST_DAY).cast("date"), F.substring(value, 3, 1)
 
     def written(day: Column) -> Column:
-        date = F.date_add(F.lit(FIRST_DAY).cast("date"), day.cast("int")).cast("string")
-        mark = F.substring(value, 3, 1)
+        date = F.date_add(start, day.cast("int")).cast("string")
         return F.when(year_first, date).otherwise(
             F.concat(F.substring(date, 9, 2), mark, F.substring(date, 6, 2), mark, F.substring(date, 1, 4))
         )
 
-    parsed = iso.try_cast("date")
-    day = F.datediff(parsed, F.lit(FIRST_DAY).cast("date")).cast("bigint")
-    return F.when(parsed.isNotNull(), let(walked(day), written))
+    # If the second number is no month, the day is after the 12th.
+    parsed = F.when(year_first, value).otherwise(F.concat_ws("-", year, second, first)).try_cast("date")
+    month_first = F.when(~year_first & (second > "12"), F.concat_ws("-", year, first, second)).try_cast("date")
+    day = F.datediff(parsed, start).cast("bigint")
+    month = ((F.year(month_first) - 1900) * 12 + F.month(month_first) - 1).cast("int")
+    late = (F.datediff(month_first, start) - 12 * (month + 1)).cast("bigint")
+    return F.when(parsed.isNotNull(), let(_permuted_day(day, DAYS, DAY_PARTS, key, "date"), written)).when(
+        month_first.isNotNull(),
+        let(
+            _permuted_day(late, LATE_DAYS, LATE_DAY_PARTS, key, "late date"),
+            lambda n: let(
+                _late_day(n).cast("string"),
+                lambda d: F.concat(F.substring(d, 6, 2), mark, F.substring(d, 9, 2), mark, F.substring(d, 1, 4)),
+            ),
+        ),
+    )
 
 
 def _digest(key: str, kind: str, value: Column) -> Column:
@@ -286,9 +331,9 @@ def _email(value: Column, key: str) -> Column:
 
 def _secret(value: Column, key: str) -> Column:
     """The part behind the sign is replaced by as many digits of a keyed digest."""
-    parts = r"^([A-Za-z_-]+\s*[=:]\s*[\"']?)([A-Za-z0-9+/_.-]+)([\"']?)$"
+    parts = r"^([A-Za-z_-]+[\"']?\s*[=:]\s*[\"']?)([A-Za-z0-9+/_.-]+)([\"']?)$"
     secret = F.regexp_extract(value, parts, 2)
-    digest = F.repeat(_digest(key, "secret", secret), 8)
+    digest = F.repeat(_digest(key, "secret", secret), F.ceil(F.length(secret) / 64).cast("int"))
     return F.concat(
         F.regexp_extract(value, parts, 1),
         F.substring(digest, F.lit(1), F.length(secret)),

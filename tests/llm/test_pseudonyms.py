@@ -53,6 +53,40 @@ def test_all_dates_are_permuted(spark):
     assert got == {str(d) for d in days}
 
 
+def test_month_first_dates_are_permuted_among_themselves(spark):
+    days = [datetime.date(1900, 1, 1) + datetime.timedelta(d) for d in range(pseudonyms.DAYS)]
+    late = {f"{d:%m/%d}/{d.year}" for d in days if d.day > 12}
+    assert len(late) == pseudonyms.LATE_DAYS
+    df = spark.createDataFrame([(v,) for v in late], "v string").repartition(8)
+    assert {r[0] for r in df.select(pseudonyms._date(F.col("v"), KEY)).collect()} == late
+
+
+def test_dates_month_first_and_with_dashes(spark):
+    got = masked(spark, ["born 12/25/1985.", "born 25-12-1985.", "born 12-25-1985.", "25.12.1985", "13/32/1985", "02-30-1985", "25-12/1985"])
+    for text, form in zip(got[:3], ("%m/%d/%Y", "%d-%m-%Y", "%m-%d-%Y"), strict=True):
+        new = text.removeprefix("born ").removesuffix(".")
+        assert "1985" not in new or new[:5] not in ("12/25", "25-12", "12-25")
+        assert datetime.datetime.strptime(new, form)
+    assert got[0].replace("/", "-") == got[2] and got[1] == f"born {got[3].replace('.', '-')}."
+    assert got[4:] == ["13/32/1985", "02-30-1985", "25-12/1985"]
+
+
+@pytest.mark.parametrize("n", [8, 64, 65, 512, 513, 700, 100_000])
+def test_secrets_of_any_length(spark, n):
+    secret = ("Zz" + "yX9_" * n)[:n]
+    (new,) = masked(spark, [f'token = "{secret}" end'])
+    assert re.fullmatch(rf'token = "[0-9a-f]{{{n}}}" end', new) if n < 60_000 else set(new[9:-5]) <= set("0123456789abcdef")
+    assert len(new) == n + 14
+
+
+def test_secrets_in_json_and_aligned(spark):
+    texts = ['{"password": "Zzyyxx_Zz", "a": 1}', "password      =      Zzyyxx_Zz", "'api_key':'Zzyyxx_Zz'", '"token"\t:\t\t\t\t"Zzyyxx_Zz"']
+    got = masked(spark, texts)
+    for text, new in zip(texts, got, strict=True):
+        before, after = text.split("Zzyyxx_Zz")
+        assert re.fullmatch(re.escape(before) + "[0-9a-f]{9}" + re.escape(after), new)
+
+
 VALID = {
     "card": ["4111111111111111", "4111 1111 1111 1111", "5500-0000-0000-0004", "378282246310005", "3782 822463 10005", "4222222222222"],
     "iban": ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO9386011117947"],
