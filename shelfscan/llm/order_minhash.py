@@ -1,7 +1,9 @@
 """Order MinHash fingerprints of texts, in DataFrame expressions alone.
 
-A text is its sequence of words (the parts between spaces) and its k-mers are two neighbouring
-words; equal k-mers are told apart by the number of their occurrence. One 64-bit hash of k-mer
+A text is a sequence of units and its k-mers are two neighbouring ones. The query takes words
+between any white space, and instead of a word of more than LONG_WORD characters (as in scripts
+without spaces) its overlapping pieces of PIECE characters; functions here take the parts between
+single spaces unless they are given ``words_or_pieces``. Equal k-mers are told apart by the number of their occurrence. One 64-bit hash of k-mer
 and occurrence stands for all random orders: its leading bits deal the k-mers out to BINS bins,
 and in each bin the PICKED smallest are selected, put back in text order and hashed together.
 So an entry changes both when other k-mers occur and when the selected ones change places, as
@@ -9,7 +11,7 @@ the edit distance does. The likeness of two fingerprints is the share of bins, a
 filled in either, whose entries agree.
 
 Nulls: a null text is empty. An empty text has an empty fingerprint; two empty ones are alike
-(1.0), an empty and another not at all (0.0). A text without spaces is a single k-mer.
+(1.0), an empty and another not at all (0.0). By words or pieces, white space alone is empty.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ BINS = 1 << BIN_BITS
 PICKED = 2
 MOST_OCCURRENCES_BITS = 26
 ENTRY_BITS = 32
+LONG_WORD = 32
+PIECE = 3
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -33,6 +37,29 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def between_spaces(text: Column) -> Column:
+    """The parts of a text between single spaces."""
+    return F.split(text, " ")
+
+
+def words_or_pieces(text: Column) -> Column:
+    """The words of a text between any white space; for a long one, the pieces that start at each character."""
+
+    def pieces(word: Column) -> Column:
+        return let(
+            F.regexp_extract_all(word, F.lit("(?s)."), F.lit(0)),
+            lambda chars: F.transform(
+                chars, lambda c, i: F.concat(c, *(F.coalesce(F.get(chars, i + d), F.lit("")) for d in range(1, PIECE)))
+            ),
+        )
+
+    def divided(words: Column) -> Column:
+        units = F.transform(words, lambda w: F.when(F.length(w) > LONG_WORD, pieces(w)).otherwise(F.array(w)))
+        return F.when(F.exists(words, lambda w: F.length(w) > LONG_WORD), F.flatten(units)).otherwise(words)
+
+    return let(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""), divided)
+
+
 def _bin(code: Column) -> Column:
     return F.shiftrightunsigned(code, 64 - BIN_BITS)
 
@@ -65,7 +92,7 @@ def _entries(picked: Column) -> Column:
     return F.filter(F.transform(picked, entry), lambda x: x.isNotNull())
 
 
-def signature(text: Column) -> Column:
+def signature(text: Column, units: Callable[[Column], Column] = between_spaces) -> Column:
     """The entries of a text as an array of longs: a hash above, the number of the bin in the lowest bits."""
 
     def coded(words: Column) -> Column:
@@ -91,7 +118,7 @@ def signature(text: Column) -> Column:
             F.transform(smallest, lambda x: F.struct(_bin(x["code"]).alias("bin"), x["i"].alias("i"), x["code"].alias("code")))
         )
 
-    words = F.when(F.length(text) > 0, F.split(text, " ")).otherwise(F.array().cast("array<string>"))
+    words = F.when(F.length(text) > 0, units(text)).otherwise(F.array().cast("array<string>"))
     return let(words, lambda w: let(coded(w), lambda c: let(numbered(c), lambda r: let(selected(r), _entries))))
 
 
@@ -127,7 +154,7 @@ def _range_of(doc_id: Column, bounds: list[float]) -> Column:
     return F.when(doc_id.isNull(), F.lit(len(bounds) + 1)).otherwise(below)
 
 
-def with_next(documents: DataFrame) -> DataFrame:
+def with_next(documents: DataFrame, units: Callable[[Column], Column] = between_spaces) -> DataFrame:
     """Per document: doc_id, text, entries, and next_text and next_entries of the next smaller id.
 
     The documents are dealt out by ranges of ids and each range is one group of a window. At its
@@ -158,14 +185,14 @@ def with_next(documents: DataFrame) -> DataFrame:
     rows = keyed.withColumn("tail", F.lit(False)).unionByName(tails.withColumn("tail", F.lit(True)))
     order = Window.partitionBy("range").orderBy("tail", F.desc_nulls_last("doc_id"), F.desc("code"))
     return (
-        rows.withColumn("entries", signature(F.col("text")))
+        rows.withColumn("entries", signature(F.col("text"), units))
         .withColumns({"next_text": F.lead("text").over(order), "next_entries": F.lead("entries").over(order)})
         .where("NOT tail")
         .select("doc_id", "text", "entries", "next_text", "next_entries")
     )
 
 
-def compare_edited(documents: DataFrame) -> DataFrame:
+def compare_edited(documents: DataFrame, units: Callable[[Column], Column] = between_spaces) -> DataFrame:
     """Fingerprints of each document and of its edited text, whose last third comes from the next document."""
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(
@@ -173,10 +200,10 @@ def compare_edited(documents: DataFrame) -> DataFrame:
         F.substring(F.col("next_text"), F.lit(1), third),
     )
     return (
-        with_next(documents)
+        with_next(documents, units)
         .withColumn("n_chars", F.length("text").cast("long"))
         .withColumn("edited", edited)
-        .withColumn("edited_entries", signature(F.col("edited")))
+        .withColumn("edited_entries", signature(F.col("edited"), units))
         .select(
             "doc_id",
             "n_chars",

@@ -22,7 +22,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_minhash.compare_edited(table(spark, sf_dir, "documents"))
+    return order_minhash.compare_edited(table(spark, sf_dir, "documents"), order_minhash.words_or_pieces)
 
 
 def op3_min_max_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

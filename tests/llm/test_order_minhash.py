@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import struct
 
 import pytest
@@ -8,6 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from shelfscan.llm import order_minhash as om
+from shelfscan.llm import queries
 from tests.llm.conftest import documents
 
 SEED = 42  # of the engine's 64-bit hash
@@ -122,6 +124,26 @@ def test_order_counts(spark):
     assert 0.3 < brute_likeness(entries[1], entries[3]) < 0.8  # the same k-mers, but pairs change places
 
 
+def test_texts_without_spaces_stay_alike_after_an_edit(spark, tmp_path):
+    chance = random.Random(1)
+    signs = {"han": [chr(0x4E00 + i) for i in range(2000)], "emoji": [chr(0x1F300 + i) for i in range(300)], "token": list("abcdefgh0123456789"),
+             "lines": [f"w{i}\n" for i in range(900)], "tabs": [f"w{i}\t" for i in range(900)]}
+    docs = [(i, "".join(chance.choices(kind, k=3000))) for i, kind in enumerate(k for k in signs.values() for _ in range(2))]
+    documents(spark, *docs, (100, " \n\t "), (101, "a\tb \n c")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op2_order_minhash(spark, str(tmp_path)).collect()}
+    assert len(got) == len(docs) + 2 and got[100]["fingerprint"] == ""
+    for i, _ in docs:
+        assert 0.1 < got[i]["near_edited"] < 0.9 and got[i]["near_next"] < 0.2, (i, got[i]["near_edited"], got[i]["near_next"])
+
+
+def test_words_or_pieces(spark):
+    df = documents(spark, (1, " a  b\u3000c\u00a0d\r\n"), (2, "x " + "y" * 32 + " z"), (3, "x " + "\U0001f300" * 32 + "y z"))
+    got = {r[0]: r[1] for r in df.select("doc_id", om.words_or_pieces(F.col("text"))).collect()}
+    assert got[1] == ["a", "b", "c", "d"] and got[2] == ["x", "y" * 32, "z"]
+    sign = "\U0001f300"
+    assert got[3] == ["x", *[sign * 3] * 30, sign * 2 + "y", sign + "y", "y", "z"]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 64, 65, 1000])
 def test_occurrences(spark, n):
     df = spark.sql(f"SELECT sort_array(transform(sequence(1, {n}), i -> named_struct('h', CAST(i % 3 AS BIGINT), 'i', i))) AS s")
