@@ -79,4 +79,44 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(COALESCE(removed, 0) AS BIGINT
 FROM bytes LEFT JOIN cut USING (doc_id)
 """
 
-ORACLES = {"op3_min_max_dedup": NEAR_DUPLICATES, "op8_warc": ARCHIVE, "op9_repeats": REPEATS}
+FAIR_MIX = r"""
+WITH sized AS (
+    SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+        substr(sha256('mix:' || COALESCE(CAST(doc_id AS VARCHAR), '') || ':' || COALESCE(text, '')), 1, 32) AS code
+    FROM documents
+),
+sums AS (SELECT source, CAST(SUM(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+weighted AS (
+    SELECT *, [5.0, 2.0, 1.0][CAST((ROW_NUMBER() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)]::DOUBLE AS weight
+    FROM sums
+),
+by_need AS (
+    SELECT *, COALESCE(SUM(2 * source_size) OVER before, 0) AS full_size, SUM(weight) OVER () - COALESCE(SUM(weight) OVER before, 0) AS open_weight,
+        1.5 * SUM(source_size) OVER () AS budget
+    FROM weighted
+    WINDOW before AS (ORDER BY 2 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+levels AS (SELECT *, (budget::DOUBLE - full_size::DOUBLE) / open_weight AS level FROM by_need),
+found AS (SELECT arg_min(level, 2 * source_size / weight) AS level FROM levels WHERE level * weight <= 2 * source_size),
+targets AS (
+    SELECT source, source_size, CASE WHEN level IS NULL OR level * weight > 2 * source_size THEN (2 * source_size)::DOUBLE
+        ELSE level * weight END AS target
+    FROM weighted, found
+),
+placed AS (
+    SELECT d.*, source_size, target, COALESCE(SUM(size) OVER (PARTITION BY d.source ORDER BY code, doc_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier
+    FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(
+    GREATEST(0, LEAST(size, floor(target) - earlier)) + GREATEST(0, LEAST(size, floor(target) - source_size - earlier)) AS BIGINT) AS taken,
+    source
+FROM placed
+"""
+
+ORACLES = {
+    "op3_min_max_dedup": NEAR_DUPLICATES,
+    "op8_warc": ARCHIVE,
+    "op9_repeats": REPEATS,
+    "op11_fair_mix": FAIR_MIX,
+}

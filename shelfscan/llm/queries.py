@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfscan.llm import bpe, near_dedup, order_minhash, packing, pseudonyms, quality, repeats, templates, toxicity, warc
+from shelfscan.llm import bpe, fair_mix, near_dedup, order_minhash, packing, pseudonyms, quality, repeats, templates, toxicity, warc
 from shelfscan.llm.oracle import ORACLES
 
 __all__ = ["ORACLES", "QUERIES", "table"]
@@ -59,6 +59,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fair_mix.mix(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # reads this module too
 
@@ -78,6 +82,7 @@ QUERIES = {
         op8_warc,
         op9_repeats,
         op10_toxicity,
+        op11_fair_mix,
         pipeline,
     )
 }

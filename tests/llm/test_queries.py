@@ -13,7 +13,7 @@ from tests.conftest import DATA
 
 def test_one_query_for_each_operator():
     numbers = [int(m[1]) for name in QUERIES if (m := re.match(r"op(\d+)_", name))]
-    assert sorted(numbers) == list(range(1, 11)) and "pipeline" in QUERIES
+    assert sorted(numbers) == list(range(1, 14)) and "pipeline" in QUERIES
     assert entry_points.queries().items() >= QUERIES.items()
     assert entry_points.oracle_sql().items() >= ORACLES.items()
 
@@ -40,6 +40,9 @@ CONTRACT = {
     "op8": "page_id payload_bytes payload_digest record_type refers_to",
     "op9": "doc_id n_bytes n_removed n_spans kept_sha256",
     "op10": "doc_id held_out score predicted",
+    "op11": "doc_id size source_size target taken",
+    "op12": "doc_id n_features weight score rank",
+    "op13": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
 }
 
 
