@@ -114,9 +114,59 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(
 FROM placed
 """
 
+IMPORTANCE = r"""
+WITH crc_table AS (
+    SELECT list(list_reduce([i] || range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY i) AS t FROM range(256) r(i)
+),
+texts AS (
+    SELECT 'corpus' AS side, doc_id, row_number() OVER () AS row, text FROM documents
+    UNION ALL SELECT 'target', NULL, row_number() OVER () , text FROM benchmark
+),
+words AS (
+    SELECT side, doc_id, row, regexp_extract_all(
+        translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM texts
+),
+runs AS (
+    SELECT side, row, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+        list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f
+    FROM words
+),
+distinct_runs AS (SELECT DISTINCT f FROM runs),
+hashed AS (
+    SELECT f, xor(list_reduce([4294967295] || list_transform(range(1, strlen(f) + 1), lambda i: ('0x' || substr(hex(encode(f)), 2 * i - 1, 2))::BIGINT),
+        lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket
+    FROM distinct_runs, crc_table
+),
+placed AS (SELECT side, row, bucket FROM runs JOIN hashed USING (f)),
+counts AS (
+    SELECT bucket, COUNT(*) FILTER (side = 'corpus') AS s, COUNT(*) FILTER (side = 'target') AS t FROM placed GROUP BY bucket
+),
+totals AS (SELECT SUM(s) AS all_s, SUM(t) AS all_t FROM counts),
+gains AS (
+    SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * (all_s + 10000)::DOUBLE / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE))) AS BIGINT) AS gain
+    FROM counts, totals
+),
+weights AS (SELECT row, COUNT(*) AS n, SUM(gain) AS weight FROM placed JOIN gains USING (bucket) WHERE side = 'corpus' GROUP BY row),
+scored AS (
+    SELECT doc_id, row, len(w) AS n_words, COALESCE(n, 0) AS n_features, CAST(COALESCE(weight, 0) AS BIGINT) AS weight,
+        CAST(COALESCE(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || COALESCE(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT + 0.5::DOUBLE)
+            / 4294967296::DOUBLE))) AS BIGINT) AS score
+    FROM words LEFT JOIN weights USING (row) WHERE side = 'corpus'
+),
+ranked AS (
+    SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, 5 * COUNT(*) OVER () // 100 AS drawn
+    FROM scored WHERE n_words >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= drawn THEN rank END AS rank, CAST(n_words AS BIGINT) AS n_words
+FROM scored LEFT JOIN ranked USING (row)
+"""
+
 ORACLES = {
     "op3_min_max_dedup": NEAR_DUPLICATES,
     "op8_warc": ARCHIVE,
     "op9_repeats": REPEATS,
     "op11_fair_mix": FAIR_MIX,
+    "op12_importance": IMPORTANCE,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfscan.llm import bpe, fair_mix, near_dedup, order_minhash, packing, pseudonyms, quality, repeats, templates, toxicity, warc
+from shelfscan.llm import bpe, fair_mix, importance, near_dedup, order_minhash, packing, pseudonyms, quality, repeats, templates, toxicity, warc
 from shelfscan.llm.oracle import ORACLES
 
 __all__ = ["ORACLES", "QUERIES", "table"]
@@ -63,6 +63,11 @@ def op11_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix.mix(table(spark, sf_dir, "documents"))
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("text_code")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # reads this module too
 
@@ -83,6 +88,7 @@ QUERIES = {
         op9_repeats,
         op10_toxicity,
         op11_fair_mix,
+        op12_importance,
         pipeline,
     )
 }
