@@ -163,10 +163,55 @@ SELECT doc_id, n_features, weight, score, CASE WHEN rank <= drawn THEN rank END
 FROM scored LEFT JOIN ranked USING (row)
 """
 
+PREFIX_TRIE = r"""
+WITH crc_table AS (
+    SELECT list(list_reduce([i] || range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY i) AS t FROM range(256) r(i)
+),
+turns AS (
+    SELECT conv_id, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos,
+        md5(to_json([COALESCE(role, ''), COALESCE(text, '')])::VARCHAR) AS e,
+        COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS words
+    FROM conversations WHERE conv_id IS NOT NULL
+),
+ids AS (
+    SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(
+        [4294967295] || list_transform(range(1, len(conv_id::VARCHAR) + 1), lambda i: ord(substr(conv_id::VARCHAR, i, 1))::BIGINT),
+        lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 4 AS h
+    FROM turns, crc_table
+),
+rebuilt AS (
+    SELECT i.conv_id, 0 AS side, t.pos, t.e, t.words FROM ids i JOIN turns t ON t.conv_id = i.base AND t.pos < i.h
+    UNION ALL SELECT conv_id, 1, pos, e, words FROM ids JOIN turns USING (conv_id) WHERE pos >= h
+),
+sequences AS (
+    SELECT conv_id, COALESCE(list(e ORDER BY side, pos) FILTER (e IS NOT NULL), []) AS s, list(words ORDER BY side, pos) AS w
+    FROM ids LEFT JOIN rebuilt USING (conv_id) GROUP BY conv_id
+),
+prefixes AS (SELECT conv_id, s, w, unnest(range(0, len(s) + 1)) AS depth FROM sequences),
+nodes AS (
+    SELECT depth, array_to_string(s[1:depth], ',') AS k, COUNT(*) AS n, MIN(conv_id) AS conv_id, MIN(COALESCE(w[depth], 0)) AS words,
+        sha256(COALESCE(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(s) = depth), '')) AS ends_sha256
+    FROM prefixes GROUP BY depth, k
+),
+linked AS (SELECT *, CASE WHEN depth > 0 THEN substr(k, 1, GREATEST(33 * (depth - 1) - 1, 0)) END AS parent_k FROM nodes),
+children AS (SELECT depth - 1 AS depth, parent_k AS k, COUNT(*) AS n_children FROM linked WHERE depth > 0 GROUP BY ALL),
+counted AS (SELECT l.*, COALESCE(n_children, 0) AS n_children FROM linked l LEFT JOIN children USING (depth, k)),
+ups AS (SELECT *, unnest(range(0, depth + 1)) AS up FROM counted),
+sums AS (
+    SELECT up AS depth, substr(k, 1, GREATEST(33 * up - 1, 0)) AS k, COUNT(*) FILTER (n_children = 0) AS n_leaves,
+        SUM((n - 1) * CASE WHEN depth > 0 THEN words ELSE 0 END) AS saved
+    FROM ups GROUP BY ALL
+)
+SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n AS n_convs, c.n_children, n_leaves,
+    CAST(saved AS BIGINT) AS saved_tokens, c.ends_sha256
+FROM counted c JOIN sums USING (depth, k) LEFT JOIN nodes p ON p.depth = c.depth - 1 AND p.k = c.parent_k
+"""
+
 ORACLES = {
     "op3_min_max_dedup": NEAR_DUPLICATES,
     "op8_warc": ARCHIVE,
     "op9_repeats": REPEATS,
     "op11_fair_mix": FAIR_MIX,
     "op12_importance": IMPORTANCE,
+    "op13_prefix_trie": PREFIX_TRIE,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfscan.llm import bpe, fair_mix, importance, near_dedup, order_minhash, packing, pseudonyms, quality, repeats, templates, toxicity, warc
+from shelfscan.llm import bpe, fair_mix, importance, near_dedup, order_minhash, packing, prefix_trie, pseudonyms, quality, repeats, templates, toxicity, warc
 from shelfscan.llm.oracle import ORACLES
 
 __all__ = ["ORACLES", "QUERIES", "table"]
@@ -68,6 +68,10 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_code")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # reads this module too
 
@@ -89,6 +93,7 @@ QUERIES = {
         op10_toxicity,
         op11_fair_mix,
         op12_importance,
+        op13_prefix_trie,
         pipeline,
     )
 }
