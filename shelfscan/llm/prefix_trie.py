@@ -330,8 +330,8 @@ def tile_nodes(tile: pa.Table, segment: int, piece_ids: int) -> Iterator[pa.Reco
         ext_saved=zero,
         words=last_words[wide],
     )
-    # closed nodes right below a node of an earlier segment belong to its sums and those above it
-    below = np.flatnonzero(~is_open & (parent < 0) & (seg[row] > 0))
+    # what is closed in the subtrees right below a node of an earlier segment belongs to its sums and those above it
+    below = np.flatnonzero((parent < 0) & (seg[row] > 0))
     ka, kb = key(row[below], depth[below] - 1)
     zero = np.zeros(len(below), np.int64)
     yield _rows(
@@ -341,7 +341,7 @@ def tile_nodes(tile: pa.Table, segment: int, piece_ids: int) -> Iterator[pa.Reco
         ka=ka,
         kb=kb,
         n_convs=zero,
-        n_children=zero + 1,
+        n_children=(~is_open[below]).astype(np.int64),
         n_leaves=zero,
         saved=zero,
         ext_leaves=sub_leaves[below],
