@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from shelfscan.functions import bands
 from shelfscan.functions.exact import money, pct, ratio
 from shelfscan.operators.cube import listings, measures, out_of_stock_listings, stock_cube
-from shelfscan.sources import sinks
+from shelfscan.sources import sinks, versions
 from shelfscan.sources.workspace import materialize
 
 
@@ -194,23 +194,33 @@ CUBE_MARTS = {
 }
 
 
-def write_marts(df: DataFrame, folder: str, fmt: str = "parquet", stored_at: str | None = None) -> dict[str, str]:
-    """Write every dashboard table under ``folder``; returns name -> path.
-
-    The cube is written once and read by all summary tables. If the listings are stored already,
-    ``stored_at`` is the table of all rows and no second copy is written. In JSON files amounts
-    have no decimal type: give the reader a schema, else they come back as doubles.
-    """
+def mart_writers(df: DataFrame, fmt: str = "parquet", all_rows: bool = True) -> dict[str, versions.Writer]:
+    """A writer for every dashboard table; the cube is stored now and read by all summary tables."""
     cube = materialize(stock_cube(df), "cube")
-    tables = {name: partial(build, cube) for name, build in CUBE_MARTS.items()}
-    tables |= {
+    builds = {name: partial(build, cube) for name, build in CUBE_MARTS.items()}
+    builds |= {
         "top_products": lambda: top_products(df),
         "top_products_by_category": lambda: top_products_by_category(df),
     }
-    if stored_at is None:
-        tables["all_rows"] = lambda: df
-    return {
-        **({} if stored_at is None else {"all_rows": stored_at}),
-        **sinks.write_tables(tables, folder, fmt),
-        "scatter": sinks.write_partitioned(scatter(df), f"{folder}/scatter", "category", fmt),
-    }
+    if all_rows:
+        builds["all_rows"] = lambda: df
+    writers = {name: versions.table(build, fmt) for name, build in builds.items()}
+    return {**writers, "scatter": versions.table(lambda: scatter(df), fmt, "category")}
+
+
+def write_marts(df: DataFrame, folder: str, fmt: str = "parquet", stored_at: str | None = None) -> dict[str, str]:
+    """Write every dashboard table under ``folder``; returns name -> path.
+
+    If the listings are stored already, ``stored_at`` is the table of all rows and no second copy
+    is written. Each table is replaced by itself: where readers need all of one version, use
+    ``publish_marts``. In JSON files amounts have no decimal type: give the reader a schema, else
+    they come back as doubles.
+    """
+    writers = mart_writers(df, fmt, stored_at is None)
+    written = sinks.run_all({name: partial(write, f"{folder}/{name}") for name, write in writers.items()})
+    return {**({} if stored_at is None else {"all_rows": stored_at}), **{name: table.folder for name, table in written.items()}}
+
+
+def publish_marts(df: DataFrame, root: str, fmt: str = "parquet") -> versions.Version:
+    """All dashboard tables as one new version of the set at ``root``, or none of them."""
+    return versions.publish_tables(df.sparkSession, root, mart_writers(df, fmt))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +13,7 @@ from pyspark.sql import types as T
 from shelfscan.operators import cleaning, marts, measures, quality
 from shelfscan.plans import reports, tables
 from shelfscan.plans.reports import Operator
-from shelfscan.sources import listings, sinks
+from shelfscan.sources import listings, sinks, versions
 from shelfscan.sources.workspace import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,10 +55,40 @@ def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _table_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = fresh_path(spark, "table")
-    listings.save_table(tables.raw(spark, sf_dir), path)
-    listings.save_table(tables.raw(spark, sf_dir), path)
-    return spark.read.parquet(path)
+    """A table, replaced by itself: the second version is computed from the first."""
+    root = fresh_path(spark, "table")
+    versions.replace(tables.raw(spark, sf_dir), root)
+    versions.replace(versions.read(spark, root), root)
+    return versions.read(spark, root)
+
+
+class _CutOff(Exception):
+    pass
+
+
+def _table_after_failed_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table that readers see after a replacement has failed when all its data was written."""
+    root = fresh_path(spark, "table")
+    versions.replace(tables.raw(spark, sf_dir), root)
+
+    def cut_off(folder: str) -> dict:
+        versions.table(lambda: tables.clean(spark, sf_dir))(f"{folder}/table")
+        raise _CutOff
+
+    with contextlib.suppress(_CutOff):
+        versions.publish(spark, root, cut_off)
+    return versions.read(spark, root)
+
+
+def _earlier_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listings as they were before unpriced ones went, from the version before."""
+    root = fresh_path(spark, "table")
+    raw = tables.raw(spark, sf_dir)
+    first = versions.replace(raw, root)
+    versions.replace(cleaning.drop_unpriced(versions.read(spark, root)), root, follows=first.number)
+    now = versions.read(spark, root).select("sku_id", F.lit(True).alias("kept"))
+    before = versions.read(spark, root, number=first.number)
+    return before.join(now, "sku_id", "left").select("sku_id", "mrp", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
 def _code_page_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,17 +126,52 @@ def _quarantined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad
 
 
+def _sizes(marts_read: dict[str, DataFrame]) -> DataFrame:
+    """Rows in each table."""
+    sizes = [df.agg(F.lit(name).alias("mart"), F.count("*").alias("row_count")) for name, df in marts_read.items()]
+    return functools.reduce(DataFrame.unionByName, sizes)
+
+
 def _mart_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All dashboard tables written and read back: rows in each."""
-    paths = marts.write_marts(tables.dashboard(spark, sf_dir), fresh_path(spark, "marts"))
-    sizes = [
-        spark.read.parquet(path).agg(F.lit(name).alias("mart"), F.count("*").alias("row_count"))
-        for name, path in paths.items()
-    ]
-    result = sizes[0]
-    for size in sizes[1:]:
-        result = result.unionByName(size)
-    return result
+    """All dashboard tables published and read back."""
+    root = fresh_path(spark, "marts")
+    marts.publish_marts(tables.dashboard(spark, sf_dir), root)
+    return _sizes(versions.read_all(spark, root))
+
+
+def _mart_sizes_after_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All dashboard tables after a second set was written but for one table that failed."""
+    root = fresh_path(spark, "marts")
+    dashboard = tables.dashboard(spark, sf_dir)
+    marts.publish_marts(dashboard, root)
+
+    def fails() -> DataFrame:
+        raise _CutOff
+
+    writers = marts.mart_writers(dashboard.where("available_quantity > 0"))
+    with contextlib.suppress(_CutOff):
+        versions.publish_tables(spark, root, {**writers, "kpis": versions.table(fails)})
+    return _sizes(versions.read_all(spark, root))
+
+
+def _odd_folder_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scatter with categories that folder names lose: the empty text, NULL, digits, the mark itself; per category."""
+    points = marts.scatter(tables.dashboard(spark, sf_dir))
+    odd = F.array(F.lit(""), F.lit(None).cast("string"), F.lit("007"), F.lit("7"), F.lit(sinks.EMPTY_MARK), F.lit("a/b=c %"))
+    points = points.withColumn("category", F.get(odd, (F.col("discount_percent") % 6).cast("int")))
+    root = fresh_path(spark, "odd")
+    versions.publish_tables(spark, root, {"scatter": versions.table(lambda: points, partition="category")})
+    return versions.read(spark, root, "scatter").groupBy("category").agg(F.count("*").alias("points"), F.max("mrp").cast("double").alias("mrp"))
+
+
+def _json_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of amounts published as JSON: their types come from the manifest."""
+    root = fresh_path(spark, "json")
+    mart = marts.revenue_by_category(tables.dashboard(spark, sf_dir))
+    versions.replace(mart, root, "json")
+    found = versions.read(spark, root)
+    assert found.dtypes == mart.dtypes
+    return _doubles(found)
 
 
 def _json_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +183,7 @@ def _json_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _partitioned_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = marts.scatter(tables.dashboard(spark, sf_dir))
     path = sinks.write_partitioned(points, fresh_path(spark, "scatter"), "category")
-    return _doubles(spark.read.schema(points.schema).parquet(path))
+    return _doubles(sinks.read_partitioned(spark, path, points.schema, "category"))
 
 
 def _mart(build: Operator) -> Query:
@@ -129,12 +196,17 @@ CATALOG: dict[str, Query] = {
     # sources and sinks
     "s01_csv_load": _csv_round_trip,
     "s02_table_replace": _table_round_trip,
+    "s02_failed_replacement": _table_after_failed_replacement,
+    "s02_earlier_version": _earlier_version,
     "s03_code_page_load": _code_page_round_trip,
     "s04_lenient_load": _lenient_load,
     "s04_accepted_lines": _accepted_lines,
     "s04_quarantined_lines": _quarantined_lines,
     "s05_typed_with_defaults": lambda spark, sf_dir: cleaning.flag_to_boolean(_lenient_load(spark, sf_dir)),
     "s06_marts_written": _mart_sizes,
+    "s06_failed_marts": _mart_sizes_after_failure,
+    "s06_json_version": _json_version,
+    "s06_odd_folder_names": _odd_folder_names,
     "s06_json_mart": _json_mart,
     "s06_partitioned_mart": _partitioned_mart,
     "s07_column_catalogue": _over(tables.raw, quality.column_catalogue()),

@@ -8,13 +8,13 @@ from __future__ import annotations
 import argparse
 from functools import partial
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from shelfscan import schema
 from shelfscan.operators import cleaning, marts, quality
 from shelfscan.operators.cube import stock_cube
 from shelfscan.plans import reports
-from shelfscan.sources import listings, sinks
+from shelfscan.sources import listings, sinks, versions
 from shelfscan.sources.workspace import materialize, scratch
 
 
@@ -24,28 +24,24 @@ def _split(group: dict[str, reports.Operator]) -> tuple[dict[str, quality.Summar
     return together, {name: operator for name, operator in group.items() if name not in together}
 
 
-def run(spark: SparkSession, csv: str, out: str, encoding: str = "UTF-8", fmt: str = "parquet") -> dict[str, str]:
-    """Load, audit, clean, analyse and build the dashboard tables; returns name -> path.
+def _run(spark: SparkSession, csv: str, out: str, encoding: str, fmt: str) -> dict[str, versions.Table]:
+    """Write everything under ``out``."""
+
+    def stored(df: DataFrame, name: str) -> versions.Table:
+        return versions.table(lambda: df)(f"{out}/{name}")
 
-    The raw, clean and dashboard tables are stored before anything reads them, so each is made
-    once, and a rerun replaces what an earlier one left. Reports of plain aggregates share one
-    scan of their table, and those that a cube of the clean listings can answer read that. The
-    keys are checked by the report of repeated keys itself: a raw table that breaks its key is
-    refused. Intermediate tables are removed at the end. With ``fmt`` "json", amounts have no
-    decimal type in the files.
-    """
     with scratch(spark):
-        raw_path = listings.save_table(listings.read_strict(spark, csv, encoding), f"{out}/raw")
-        raw = spark.read.schema(schema.RAW).parquet(raw_path)
+        raw_table = stored(listings.read_strict(spark, csv, encoding), "raw")
+        raw = spark.read.schema(schema.RAW).parquet(raw_table.folder)
         audits, other_audits = _split(reports.AUDIT)
         audited = quality.summarise_together(raw, audits)
         repeated = materialize(other_audits.pop("c10_duplicate_keys")(raw), "repeated_keys")
         quality.require_valid_keys(audited["c05_null_audit"], repeated)
 
-        clean_path = listings.save_table(cleaning.clean(raw), f"{out}/clean")
-        clean = spark.read.schema(schema.CLEAN).parquet(clean_path)
-        dashboard_path = listings.save_table(cleaning.clean_for_dashboard(raw), f"{out}/dashboard_listings")
-        dashboard = spark.read.schema(schema.CLEAN).parquet(dashboard_path)
+        clean_table = stored(cleaning.clean(raw), "clean")
+        clean = spark.read.schema(schema.CLEAN).parquet(clean_table.folder)
+        dashboard_table = stored(cleaning.clean_for_dashboard(raw), "dashboard_listings")
+        dashboard = spark.read.schema(schema.CLEAN).parquet(dashboard_table.folder)
 
         cube = materialize(stock_cube(clean), "cube")
         validations, other_validations = _split(reports.VALIDATION)
@@ -55,13 +51,28 @@ def run(spark: SparkSession, csv: str, out: str, encoding: str = "UTF-8", fmt: s
         for group in (other_validations, reports.EXPLORATION, reports.BUSINESS, reports.FINDINGS):
             for name, operator in group.items():
                 tables[name] = partial(operator, clean if name in reports.FROM_LISTINGS else cube)
-        dashboard_tables = marts.write_marts(dashboard, f"{out}/dashboard", fmt, dashboard_path)
-        return {
-            "raw": raw_path,
-            "clean": clean_path,
-            **sinks.write_tables(tables, f"{out}/reports", fmt),
-            **{f"dashboard_{name}": path for name, path in dashboard_tables.items()},
-        }
+        writers = {name: partial(versions.table(build, fmt), f"{out}/reports/{name}") for name, build in tables.items()}
+        for name, write in marts.mart_writers(dashboard, fmt, all_rows=False).items():
+            writers[f"dashboard_{name}"] = partial(write, f"{out}/dashboard/{name}")
+        return {"raw": raw_table, "clean": clean_table, "dashboard_all_rows": dashboard_table, **sinks.run_all(writers)}
+
+
+def run(spark: SparkSession, csv: str, out: str, encoding: str = "UTF-8", fmt: str = "parquet") -> dict[str, str]:
+    """Load, audit, clean, analyse and build the dashboard tables; returns name -> path.
+
+    The raw, clean and dashboard tables are stored before anything reads them, so each is made
+    once, and a rerun replaces what an earlier one left, table by table. Reports of plain
+    aggregates share one scan of their table, and those that a cube of the clean listings can
+    answer read that. The keys are checked by the report of repeated keys itself: a raw table that
+    breaks its key is refused. Intermediate tables are removed at the end. With ``fmt`` "json",
+    amounts have no decimal type in the files.
+    """
+    return {name: table.folder for name, table in _run(spark, csv, out, encoding, fmt).items()}
+
+
+def publish(spark: SparkSession, csv: str, root: str, encoding: str = "UTF-8", fmt: str = "parquet") -> versions.Version:
+    """``run`` as one new version of all tables at ``root``: readers of ``versions`` see the old ones until all are there."""
+    return versions.publish(spark, root, lambda folder: _run(spark, csv, folder, encoding, fmt))
 
 
 def main() -> None:
@@ -70,9 +81,11 @@ def main() -> None:
     parser.add_argument("out")
     parser.add_argument("--encoding", default="UTF-8")
     parser.add_argument("--format", default="parquet", choices=["parquet", "json"])
+    parser.add_argument("--keep", default=versions.KEEP, type=int, help="versions to keep")
     args = parser.parse_args()
     spark = SparkSession.builder.appName("shelfscan").getOrCreate()
-    run(spark, args.csv, args.out, args.encoding, args.format)
+    publish(spark, args.csv, args.out, args.encoding, args.format)
+    versions.vacuum(spark, args.out, args.keep)
     spark.stop()
 
 

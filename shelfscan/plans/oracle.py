@@ -340,6 +340,8 @@ MARKDOWN_ROW = f"name, category, {MRP}, discount_percent, {SP}"
 ORACLE: dict[str, str] = {
     "s01_csv_load": _raw("SELECT * FROM raw"),
     "s02_table_replace": _raw("SELECT * FROM raw"),
+    "s02_failed_replacement": _raw("SELECT * FROM raw"),
+    "s02_earlier_version": _raw("SELECT sku_id, mrp, mrp IS NULL OR mrp <> 0 AS kept FROM raw"),
     "s03_code_page_load": _raw("SELECT * REPLACE ('Café ’' || name || '’ – 5 €' AS name) FROM raw"),
     "s04_lenient_load": MESSY,
     "s04_accepted_lines": _raw(
@@ -350,6 +352,12 @@ ORACLE: dict[str, str] = {
         "SELECT * REPLACE (name || ', \"large\"' AS name, out_of_stock = 'True' AS out_of_stock) FROM raw"
     ),
     "s06_marts_written": _dash(SIZES),
+    "s06_failed_marts": _dash(SIZES),
+    "s06_json_version": _dash(f"SELECT category, {_money('SUM(rev)')} AS revenue FROM dash GROUP BY category"),
+    "s06_odd_folder_names": _dash(
+        f"SELECT ['', NULL, '007', '7', '∅', 'a/b=c %'][discount_percent % 6 + 1] AS category, COUNT(*) AS points, MAX({MRP.rpartition(' AS ')[0]}) AS mrp"
+        " FROM dash WHERE NOT out_of_stock AND mrp > 0 GROUP BY 1"
+    ),
     "s06_json_mart": _dash(f"SELECT category, {_money('SUM(rev)')} AS revenue FROM dash GROUP BY category"),
     "s06_partitioned_mart": _dash(
         f"SELECT {MRP}, discount_percent, category, name FROM dash WHERE NOT out_of_stock AND mrp > 0"

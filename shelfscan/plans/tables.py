@@ -1,8 +1,8 @@
 """The listing tables behind the queries, written once per session and read by all of them.
 
 Loading and cleaning are done once and every analysis reads the stored result, as Parquet with
-column pruning and filter pushdown. The tables live in the session's shared folder; to see
-changed input, start a new session.
+column pruning and filter pushdown. The tables live in the session's shared folder. They belong
+to the names, sizes and times of the input files, so that changed input is loaded and cleaned anew.
 """
 
 from __future__ import annotations
@@ -14,15 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfscan import schema
 from shelfscan.operators import cleaning
-from shelfscan.sources.driver_tables import raw_listings
+from shelfscan.sources import files
+from shelfscan.sources.driver_tables import input_paths, raw_listings
 from shelfscan.sources.workspace import fresh_path
 
-_paths: dict[tuple[str, str, str], str] = {}
+_paths: dict[tuple, str] = {}  # by application, name of the table, and files it is made from
 _lock = threading.RLock()
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], layout) -> DataFrame:
-    key = (spark.conf.get("spark.app.id"), sf_dir, name)
+    key = (spark.conf.get("spark.app.id"), name, files.fingerprint(spark, *input_paths(sf_dir)))
     with _lock:
         if key not in _paths:
             path = fresh_path(spark, name)

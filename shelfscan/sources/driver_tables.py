@@ -8,18 +8,23 @@ from pyspark.sql import functions as F
 from shelfscan import schema
 
 
+def input_paths(sf_dir: str) -> list[str]:
+    return [f"{sf_dir}/{name}.parquet" for name in ("lineitem", "part")]
+
+
 def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One listing per (part, supplier) pair.
 
     The line items are combined before anything is shuffled, and the join to ``part`` carries
     no hint: Catalyst knows both file sizes, and adaptive execution splits skewed part keys.
     """
+    lineitem, parts = (spark.read.parquet(path) for path in input_paths(sf_dir))
     offers = (
-        spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+        lineitem
         .groupBy(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
         .agg(F.min("l_extendedprice").alias("ext"), F.sum("l_quantity").cast("bigint").alias("q"))
     )
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(
+    part = parts.select(
         F.col("p_partkey").alias("p"), "p_name", "p_type", "p_size"
     )
     p, s = F.col("p"), F.col("s")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfscan import schema
+from shelfscan.sources.sinks import write_table
 from shelfscan.sources.workspace import materialize
 
 CORRUPT = "_corrupt_record"
@@ -150,6 +151,8 @@ def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> str:
 
 
 def save_table(df: DataFrame, path: str) -> str:
-    """Replace the columnar copy of the listings at ``path``."""
-    df.write.mode("overwrite").parquet(path)
-    return path
+    """Replace the columnar copy of the listings at ``path``; if that fails, the old one is still there.
+
+    ``versions.replace`` does the same in one step for readers, and keeps what it replaces.
+    """
+    return write_table(df, path)
