@@ -17,6 +17,7 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -33,6 +34,8 @@ _PIECE, _SCORE, _TYPE = 1, 2, 3
 _MODEL_TYPE, _VOCAB_SIZE = 3, 4
 _NAME, _DUMMY_PREFIX, _EXTRA_SPACES, _ESCAPE_SPACES = 1, 3, 4, 5
 _BPE, _UNKNOWN = 2, 2
+_NEVER = b"\xff"  # a byte that UTF-8 never has
+_WHITE = regex.compile(r"\s")
 
 
 def byte_characters() -> dict[int, str]:
@@ -104,16 +107,41 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(tokens))
 
-    def encode_chunks(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text. A match that is a token as a whole is that token, as the ranks' own library has it."""
-        matches = [[mapped(m.encode()) for m in self.pattern.findall(text)] for text in texts]
-        new = [m for m in dict.fromkeys(m for found in matches for m in found) if m not in self.whole]
+        self.pieces = [unmapped(self.model.id_to_piece(i)) for i in range(len(tokens))]
+
+    def _encode_matches(self, matches: list[str]) -> list[list[int]]:
+        """Ids of each match. One that is a token as a whole is that token, as the ranks' own library has it."""
+        text = mapped(_NEVER.join([m.encode() for m in matches])).split(TO_CHARACTERS[_NEVER[0]]) if matches else []
+        new = [m for m in dict.fromkeys(text) if m not in self.whole]
         merged = dict(zip(new, self.model.encode(new, num_threads=1), strict=True)) if new else {}
         whole = self.whole
-        return [[i for m in found for i in ((whole[m],) if m in whole else merged[m])] for found in matches]
+        return [[whole[m]] if m in whole else merged[m] for m in text]
+
+    def encode_chunks(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text."""
+        matches = [self.pattern.findall(text) for text in texts]
+        ids = iter(self._encode_matches([m for found in matches for m in found]))
+        return [[i for _ in found for i in next(ids)] for found in matches]
+
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of chunks that are a space and a word each.
+
+        The pattern always splits before a single space, so it runs over all words at once but for
+        those that hold white space themselves.
+        """
+        plain = [len(w) > 1 and not _WHITE.search(w, 1) for w in words]
+        matches = self.pattern.findall("".join([w for w, is_plain in zip(words, plain, strict=True) if is_plain]))
+        found: list[list[int]] = []
+        for match, ids in zip(matches, self._encode_matches(matches), strict=True):
+            if match[0] == " ":
+                found.append([*ids])
+            else:
+                found[-1] += ids
+        joined, others = iter(found), iter(self.encode_chunks([w for w, is_plain in zip(words, plain, strict=True) if not is_plain]))
+        return [next(joined) if is_plain else next(others) for is_plain in plain]
 
     def decode(self, ids: list[int]) -> bytes:
-        return unmapped("".join([self.model.id_to_piece(i) for i in ids]))
+        return b"".join([self.pieces[i] for i in ids])
 
 
 @lru_cache(maxsize=2)
@@ -121,15 +149,38 @@ def codec(path: str) -> Codec:
     return Codec(read_ranks(path))
 
 
-@lru_cache(maxsize=2)
-def _cache(path: str) -> chunks.ChunkCache:
-    """Per chunk: number of ids, the ids as decimal numbers, and the bytes they decode to."""
-    own = codec(path)
+class _Digester:
+    """Number of ids, ids as decimal numbers with a space behind each, and decoded bytes, of words and of texts."""
 
-    def encode(texts: list[str]) -> list[tuple[int, bytes, bytes]]:
-        return [(len(ids), " ".join(map(str, ids)).encode(), own.decode(ids)) for ids in own.encode_chunks(texts)]
+    def __init__(self, path: str):
+        self.codec = codec(path)
+        self.decimals = [b"%d " % i for i in range(len(self.codec.tokens))]
+        self.cache = chunks.BlobCache(lambda words: self._blobs(self.codec.encode_words(words)), blobs=2)
 
-    return chunks.ChunkCache(encode)
+    def _blobs(self, every: list[list[int]]) -> list[tuple[int, bytes, bytes]]:
+        return [(len(ids), b"".join([self.decimals[i] for i in ids]), self.codec.decode(ids)) for ids in every]
+
+    def digests(self, texts: pa.Array) -> tuple[np.ndarray, list[str], list[str]]:
+        words, heads, codes, cuts = chunks.split_texts(texts)
+        at = self.cache.look_up(words)
+        head_counts, *head_blobs = zip(*self._blobs(self.codec.encode_chunks(heads)), strict=True)
+        counts = np.r_[self.cache.counts[at], head_counts][codes]
+        shas = []
+        for b, own in enumerate(head_blobs):
+            flat = self.cache.bytes[b]
+            lengths = np.fromiter(map(len, own), np.int64, len(own))
+            starts = np.r_[self.cache.starts[b][at], len(flat) + np.cumsum(lengths) - lengths][codes]
+            flat = np.concatenate([flat, np.frombuffer(b"".join(own), np.uint8)])
+            lengths = np.r_[self.cache.lengths[b][at], lengths][codes]
+            data = memoryview(chunks.gathered(flat, starts, lengths))
+            edges = np.r_[0, np.cumsum(lengths)][cuts].tolist()
+            shas.append([hashlib.sha256(data[x : max(x, y - (b == 0))]).hexdigest() for x, y in zip(edges[:-1], edges[1:], strict=True)])
+        return np.diff(np.r_[0, np.cumsum(counts)][cuts]), *shas
+
+
+@lru_cache(maxsize=2)
+def _digester(path: str) -> _Digester:
+    return _Digester(path)
 
 
 def encode(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -160,22 +211,15 @@ def digests(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """Per document: doc_id, n_tokens, and the SHA-256 of its ids in decimal and of the bytes decoded from them."""
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _cache(vocabulary)
+        own = _digester(vocabulary)
         for batch in batches:
-            counts, ids_sha, bytes_sha = [], [], []
-            for part in chunks.text_slices(batch.column("text")):
-                names, codes, cuts = chunks.chunk_texts(part)
-                found = cache.look_up(names)
-                places = codes.tolist()
-                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    own = [found[i] for i in places[a:b]]
-                    counts.append(sum([x[0] for x in own]))
-                    ids_sha.append(hashlib.sha256(b" ".join([x[1] for x in own if x[0]])).hexdigest())
-                    bytes_sha.append(hashlib.sha256(b"".join([x[2] for x in own])).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(bytes_sha, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            done = 0
+            for texts in chunks.text_slices(batch.column("text")):
+                counts, ids_sha, bytes_sha = own.digests(texts)
+                ids = batch.column("doc_id").slice(done, len(texts))
+                columns = [ids, pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(bytes_sha)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                done += len(texts)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return documents.select("doc_id", "text").mapInArrow(digested, schema)

@@ -17,9 +17,8 @@ import pyarrow.compute as pc
 from shelfscan.llm import arrays
 
 SLICE_BYTES = 4 << 20
-CACHED_CHUNKS = 200_000
+CACHED_CHUNKS = 1_000_000  # some 80 MB
 CACHED_IDS = 1_500_000  # some 60 MB
-CACHED_CHARS = 64  # longer chunks are not kept
 
 
 _SPACE = arrays.byte_table(bytes(b for b in range(128) if chr(b).isspace()))
@@ -119,21 +118,65 @@ class IdCache:
         return self.starts[at], self.counts[at]
 
 
-class ChunkCache:
-    """What ``encode`` gives for each chunk, kept between batches up to a fixed number of chunks."""
+class BlobCache:
+    """What ``encode`` gives for chunks of a space and a word: a number and some strings of bytes, in flat arrays.
+
+    Chunks are known by a 64-bit hash of their bytes. When ``size`` of them are known, the half
+    that was not met for longest goes.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], Sequence[tuple]], blobs: int, size: int = CACHED_CHUNKS):
+        self.encode, self.size, self.turn = encode, size, 0
+        self.keys, self.met = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.counts = np.zeros(0, np.int64)
+        self.starts = [np.zeros(0, np.int64) for _ in range(blobs)]
+        self.lengths = [np.zeros(0, np.int64) for _ in range(blobs)]
+        self.bytes = [np.zeros(0, np.uint8) for _ in range(blobs)]
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        return at, self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+
+    def _keep(self, kept: np.ndarray) -> None:
+        self.keys, self.met, self.counts = self.keys[kept], self.met[kept], self.counts[kept]
+        for b, flat in enumerate(self.bytes):
+            lengths = self.lengths[b][kept]
+            self.bytes[b], self.lengths[b] = gathered(flat, self.starts[b][kept], lengths), lengths
+            self.starts[b] = np.cumsum(lengths) - lengths
+
+    def look_up(self, words: pa.Array) -> np.ndarray:
+        """The index of each of the distinct words, behind a space, in ``counts``, ``starts`` and ``lengths``."""
+        self.turn += 1
+        data, bounds = arrays.text_bytes(words)
+        filled = np.flatnonzero(np.diff(bounds))
+        keys = np.zeros(len(words), np.uint64)  # the empty word
+        keys[filled] = arrays.span_hash(data, bounds[:-1][filled], bounds[1:][filled], seed=43)
+        at, known = self._find(keys)
+        self.met[at[known]] = self.turn
+        if not known.all():
+            if len(self.keys) + len(keys) > self.size and len(self.keys):
+                self._keep(np.sort(np.argsort(self.met, kind="stable")[len(self.met) // 2 :]))
+                known = self._find(keys)[1]
+            fresh = np.flatnonzero(~known)
+            fresh = fresh[np.argsort(keys[fresh])]
+            counts, *blobs = zip(*self.encode([" " + w for w in words.take(pa.array(fresh)).to_pylist()]), strict=True)
+            place = np.searchsorted(self.keys, keys[fresh])
+            for b, own in enumerate(blobs):
+                lengths = np.fromiter(map(len, own), np.int64, len(own))
+                starts = len(self.bytes[b]) + np.cumsum(lengths) - lengths
+                self.bytes[b] = np.concatenate([self.bytes[b], np.frombuffer(b"".join(own), np.uint8)])
+                self.starts[b], self.lengths[b] = np.insert(self.starts[b], place, starts), np.insert(self.lengths[b], place, lengths)
+            self.counts = np.insert(self.counts, place, counts)
+            self.met = np.insert(self.met, place, self.turn)
+            self.keys = np.insert(self.keys, place, keys[fresh])
+            at, _ = self._find(keys)
+        return at
 
-    def __init__(self, encode: Callable[[list[str]], Sequence]):
-        self.encode = encode
-        self.known: dict[str, object] = {}
 
-    def look_up(self, chunks: list[str]) -> list:
-        missing = list(dict.fromkeys(c for c in chunks if c not in self.known))
-        fresh = dict(zip(missing, self.encode(missing), strict=True)) if missing else {}
-        found = [fresh[c] if c in fresh else self.known[c] for c in chunks]
-        if len(self.known) + len(fresh) > CACHED_CHUNKS:
-            self.known.clear()
-        self.known.update((c, v) for c, v in fresh.items() if len(c) <= CACHED_CHARS)
-        return found
+def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The spans of ``flat`` one behind the other."""
+    first = np.cumsum(lengths) - lengths
+    return flat[np.arange(int(lengths.sum())) + np.repeat(starts - first, lengths)]
 
 
 def text_slices(column: pa.Array | pa.ChunkedArray) -> Iterator[pa.Array]:

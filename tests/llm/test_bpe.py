@@ -86,10 +86,23 @@ def test_flat_cache_gives_the_ids_of_each_word(lots):
             assert got == [b" " + w.encode() for w in words]
 
 
-def test_cache_stays_bounded(monkeypatch):
-    monkeypatch.setattr(chunks, "CACHED_CHUNKS", 10)
-    cache = chunks.ChunkCache(lambda texts: [t.upper() for t in texts])
+def test_cache_stays_bounded():
+    cache = chunks.BlobCache(lambda words: [(len(w), w.upper().encode(), w.encode() * 2) for w in words], 2, size=10)
     for at in range(0, 60, 6):
         names = [f"x{i}" for i in range(at, at + 8)]
-        assert cache.look_up(names) == [n.upper() for n in names]
-        assert len(cache.known) <= 10
+        found = cache.look_up(pa.array(names, pa.large_string()))
+        for b, want in enumerate(([f" {n}".upper().encode() for n in names], [f" {n} {n}".encode() for n in names])):
+            spans = zip(cache.starts[b][found], cache.lengths[b][found], strict=True)
+            assert [cache.bytes[b][s : s + n].tobytes() for s, n in spans] == want
+        assert cache.counts[found].tolist() == [len(n) + 1 for n in names]
+        assert len(cache.keys) <= 18 and sum(map(len, cache.bytes)) == sum(x.sum() for x in cache.lengths)
+
+
+WORDS = st.lists(st.text(st.one_of(st.characters(codec="utf-8", exclude_characters=" "), st.sampled_from("\n\t'sabc1.,\u00a0")), max_size=9), max_size=9)
+
+
+@settings(max_examples=300, deadline=None)
+@given(WORDS)
+def test_words_encoded_at_once(words):
+    chunked = [" " + w for w in words]
+    assert OWN.encode_words(chunked) == [EXPECTED.encode_ordinary(w) for w in chunked]
