@@ -18,6 +18,8 @@ from shelfscan.operators.lookup import BROADCAST_BYTES, is_small
 from shelfscan.sources.workspace import materialize
 
 SLICE_BITS = 12
+FILTER_BITS_PER_SLICE = 16
+MIN_FILTER_WORDS, MAX_FILTER_WORDS = 1 << 10, 1 << 18  # of 64 bits; at most some 4 MB to broadcast
 
 
 def _middle_slices(coded: DataFrame, keys: list[str]) -> DataFrame:
@@ -77,8 +79,9 @@ def summarise(df: DataFrame, keys: list[str], code: Column, broadcast_bytes: int
     position floor(n/2). ``squares`` is the sum of squared distances to the mean.
 
     The middle slices are written and measured. Within ``broadcast_bytes`` they are broadcast,
-    and only rows inside them are counted by value; with too many groups for that, all rows
-    are counted by value and both sides are sorted, whatever their sizes.
+    and only rows inside them are counted by value. With too many groups for that, a bitmap of
+    their hashes is broadcast, of a size that is bounded: rows outside the slices stay where they
+    are but for those whose hash falls on a bit by chance, which the join then drops.
 
     Calling this runs jobs: the slices are stored and measured before the result is built.
     """
@@ -89,6 +92,8 @@ def summarise(df: DataFrame, keys: list[str], code: Column, broadcast_bytes: int
     if small:
         wanted = F.broadcast(slices.select(*keys, "slice").alias("s"))
         coded = coded.alias("c").join(wanted, _same([*keys, "slice"]), "left_semi")
+    else:
+        coded = _maybe_inside(coded, slices, keys)
     counts = coded.groupBy(*keys, "slice", "code").agg(F.count("*").alias("code_n"))
 
     inside = Window.partitionBy(*keys, "slice").orderBy("code").rowsBetween(Window.unboundedPreceding, 0)
@@ -109,6 +114,28 @@ def summarise(df: DataFrame, keys: list[str], code: Column, broadcast_bytes: int
     return found.unionByName(without_values, allowMissingColumns=True)
 
 
+def _maybe_inside(coded: DataFrame, slices: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose (keys, slice) may be among the stored ``slices``: all that are, and few others.
+
+    The filter is a bitmap of FILTER_BITS_PER_SLICE bits for each slice, up to MAX_FILTER_WORDS
+    words; beyond that more rows pass, and the result is the same.
+    """
+    words, wanted = MIN_FILTER_WORDS, slices.count() * FILTER_BITS_PER_SLICE
+    while words * 64 < wanted and words < MAX_FILTER_WORDS:
+        words *= 2
+    hashed = F.xxhash64(*keys, "slice")
+    word = F.pmod(hashed, F.lit(words)).alias("word")
+    bit = F.pmod(F.shiftright(hashed, 32), F.lit(64)).cast("int").alias("bit")
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit"))
+    bitmap = slices.select(word, bit).groupBy("word").agg(F.bit_or(one).alias("bits"))
+    return (
+        coded.select("*", word, bit)
+        .join(F.broadcast(bitmap), "word")  # at most MAX_FILTER_WORDS rows of two numbers
+        .where(F.call_function("bit_get", F.col("bits"), F.col("bit")) == 1)
+        .drop("word", "bit", "bits")
+    )
+
+
 def _same(columns: list[str]) -> Column:
     """Rows ``c`` and ``s`` agree in ``columns``; NULL agrees with NULL."""
     return reduce(lambda a, b: a & b, [F.col(f"c.{name}").eqNullSafe(F.col(f"s.{name}")) for name in columns])

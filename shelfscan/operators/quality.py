@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import TypeVar
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +14,8 @@ from shelfscan import schema
 from shelfscan.functions.exact import mean, money
 from shelfscan.sources.workspace import materialize
 
+Written = TypeVar("Written")
+
 # Output names of the two null audits.
 RAW_NULL_COUNTS = {
     "sku_id": "null_sku_id",
@@ -48,17 +51,41 @@ class Summary:
         return self.shape(df.agg(*[figure.alias(name) for name, figure in self.figures().items()]))
 
 
-def summarise_together(df: DataFrame, summaries: dict[str, Summary]) -> dict[str, DataFrame]:
-    """Several summaries of ``df`` from one scan; the row of all their figures is stored."""
-    figures = {report: summary.figures() for report, summary in summaries.items()}
-    columns = [column.alias(f"{report}_{name}") for report, own in figures.items() for name, column in own.items()]
-    row = materialize(df.agg(*columns), "figures")
+def _named_figures(summaries: dict[str, Summary]) -> list[Column]:
+    return [column.alias(f"{report}_{name}") for report, s in summaries.items() for name, column in s.figures().items()]
+
+
+def _shaped(row: DataFrame, summaries: dict[str, Summary]) -> dict[str, DataFrame]:
+    """The reports of the one row that has all their figures."""
     return {
-        report: summary.shape(row.select(*[F.col(f"{report}_{name}").alias(name) for name in figures[report]]))
+        report: summary.shape(row.select(*[F.col(f"{report}_{name}").alias(name) for name in summary.figures()]))
         for report, summary in summaries.items()
     }
 
 
+def summarise_together(df: DataFrame, summaries: dict[str, Summary]) -> dict[str, DataFrame]:
+    """Several summaries of ``df`` from one scan; the row of all their figures is stored."""
+    return _shaped(materialize(df.agg(*_named_figures(summaries)), "figures"), summaries)
+
+
+def summarise_while(
+    df: DataFrame, summaries: dict[str, Summary], write: Callable[[DataFrame], Written]
+) -> tuple[Written, dict[str, DataFrame]]:
+    """What ``write`` returns, and several summaries of ``df``, gathered while it is written.
+
+    The table is not read again for them. ``write`` has to run one write of the frame that it is
+    given. The figures are taken in the tasks that write, where a task that is repeated counts
+    once.
+    """
+    spark, columns = df.sparkSession, _named_figures(summaries)
+    observation = Observation()
+    written = write(df.observe(observation, *columns))
+    found = observation.get
+    layout = df.agg(*columns).schema
+    row = spark.createDataFrame([tuple(found[name] for name in layout.names)], layout).coalesce(1)
+    return written, _shaped(row, summaries)
+
+
 def row_count(name: str = "total_records") -> Summary:
     return Summary(lambda: {name: F.count("*")})
 
@@ -153,8 +180,24 @@ def require_valid_keys(nulls: DataFrame, duplicates: DataFrame, declared: T.Stru
         raise ValueError("some sku_id occur more than once")
 
 
+def category_counts(raw: DataFrame) -> DataFrame:
+    """Per category what ``skus_by_category`` and ``cleaning_report`` count; both read it in place of the listings."""
+    if "no_discount" in raw.columns:
+        return raw
+    zero = F.coalesce(F.col("mrp") == 0, F.lit(False))
+    return raw.groupBy("category").agg(
+        F.count("*").alias("listings"),
+        F.count_if(F.col("discount_percent").isNull()).alias("no_discount"),
+        F.count_if(F.col("weight_in_gms").isNull()).alias("no_weight"),
+        F.count("weight_in_gms").alias("weights"),
+        F.count_if(zero).alias("unpriced"),
+        F.count_if((F.col("discount_percent") < 0) & ~zero).alias("negative"),
+    )
+
+
 def skus_by_category(df: DataFrame) -> DataFrame:
-    return df.groupBy("category").agg(F.count("*").alias("sku_count")).orderBy(F.desc("sku_count"), "category")
+    counts = df if "listings" in df.columns else df.groupBy("category").agg(F.count("*").alias("listings"))
+    return counts.select("category", F.col("listings").alias("sku_count")).orderBy(F.desc("sku_count"), "category")
 
 
 def preview(df: DataFrame, n: int = 20) -> DataFrame:
@@ -193,15 +236,7 @@ def cleaning_report(raw: DataFrame) -> DataFrame:
     Counts are taken per category first: a missing weight can only be filled where the
     category has a known one.
     """
-    zero = F.coalesce(F.col("mrp") == 0, F.lit(False))
-    per_category = raw.groupBy("category").agg(
-        F.count("*").alias("listings"),
-        F.count_if(F.col("discount_percent").isNull()).alias("no_discount"),
-        F.count_if(F.col("weight_in_gms").isNull()).alias("no_weight"),
-        F.count("weight_in_gms").alias("weights"),
-        F.count_if(zero).alias("unpriced"),
-        F.count_if((F.col("discount_percent") < 0) & ~zero).alias("negative"),
-    )
+    per_category = category_counts(raw)
     fillable = F.when(F.col("category").isNotNull() & (F.col("weights") > 0), F.col("no_weight")).otherwise(0)
     kept = F.col("listings") - F.col("unpriced")
     totals = per_category.agg(

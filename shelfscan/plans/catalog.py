@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfscan.operators import cleaning, marts, measures, quality
+from shelfscan.operators import cleaning, cube, marts, measures, quality
 from shelfscan.plans import reports, tables
 from shelfscan.plans.reports import Operator
 from shelfscan.sources import listings, sinks, versions
-from shelfscan.sources.workspace import fresh_path
+from shelfscan.sources.workspace import fresh_path, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -186,6 +186,29 @@ def _partitioned_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _doubles(sinks.read_partitioned(spark, path, points.schema, "category"))
 
 
+def _observed(table: Query, summaries: list[quality.Summary]) -> Query:
+    """The figures of several reports in one row, gathered while the table is written."""
+    together = quality.Summary(lambda: {name: figure for s in summaries for name, figure in s.figures().items()})
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = fresh_path(spark, "observed")
+        _, found = quality.summarise_while(table(spark, sf_dir), {"all": together}, lambda seen: sinks.write_table(seen, path))
+        return _doubles(found["all"])
+
+    return query
+
+
+def _sketched_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct names by stock flag and category: exact, and whether the cube's estimate is within 5 % or one of it."""
+    by = ["category", "out_of_stock"]
+    clean = tables.clean(spark, sf_dir)
+    sketched = materialize(cube.stock_cube(clean, sketch_names=True), "cube")
+    estimated = cube.distinct_names(cube.stock_cube(sketched), by).withColumnRenamed("unique_products", "estimate")
+    off = F.abs(F.col("estimate") - F.col("unique_products"))
+    near = (off <= F.greatest(F.lit(1), F.col("unique_products") * 0.05)).alias("estimate_near")
+    return cube.distinct_names(clean, by).join(estimated, by).select(*by, "unique_products", near)
+
+
 def _mart(build: Operator) -> Query:
     return _over(tables.dashboard, build)
 
@@ -214,6 +237,14 @@ CATALOG: dict[str, Query] = {
     # audit, cleaning steps and analysis
     **_each(tables.raw, reports.AUDIT),
     **_each(tables.clean, reports.VALIDATION),
+    "c01_c15_observed_audit": _observed(
+        tables.raw,
+        [quality.unpriced_count(), quality.scale_in_paise(), quality.row_count()],
+    ),
+    "c17_c24_observed_validation": _observed(
+        lambda spark, sf_dir: cleaning.clean(tables.raw(spark, sf_dir)),
+        [r for r in reports.VALIDATION.values() if isinstance(r, quality.Summary)],
+    ),
     "c11_filled_discounts": _over(tables.raw, _then(cleaning.fill_discounts, _columns("discount_percent"))),
     "c12_filled_weights": _over(tables.raw, _then(cleaning.fill_weights, _columns("weight_in_gms"))),
     "c12_category_weights": _over(tables.raw, cleaning.category_weights),
@@ -228,6 +259,7 @@ CATALOG: dict[str, Query] = {
     "c20_clean_table": _over(tables.clean, lambda df: df),
     **_each(tables.clean, reports.EXPLORATION),
     **_each(tables.clean, reports.BUSINESS),
+    "b21_sketched_products": _sketched_products,
     **_each(tables.clean, reports.FINDINGS),
     # dashboard cleaning
     "j1_priced": _over(

@@ -30,24 +30,28 @@ def _run(spark: SparkSession, csv: str, out: str, encoding: str, fmt: str) -> di
     def stored(df: DataFrame, name: str) -> versions.Table:
         return versions.table(lambda: df)(f"{out}/{name}")
 
+    def observed(df: DataFrame, name: str, summaries: dict[str, quality.Summary]):
+        return quality.summarise_while(df, summaries, lambda seen: stored(seen, name))
+
     with scratch(spark):
-        raw_table = stored(listings.read_strict(spark, csv, encoding), "raw")
-        raw = spark.read.schema(schema.RAW).parquet(raw_table.folder)
         audits, other_audits = _split(reports.AUDIT)
-        audited = quality.summarise_together(raw, audits)
+        raw_table, audited = observed(listings.read_strict(spark, csv, encoding), "raw", audits)
+        raw = spark.read.schema(schema.RAW).parquet(raw_table.folder)
         repeated = materialize(other_audits.pop("c10_duplicate_keys")(raw), "repeated_keys")
         quality.require_valid_keys(audited["c05_null_audit"], repeated)
 
-        clean_table = stored(cleaning.clean(raw), "clean")
+        validations, other_validations = _split(reports.VALIDATION)
+        clean_table, validated = observed(cleaning.clean(raw), "clean", validations)
         clean = spark.read.schema(schema.CLEAN).parquet(clean_table.folder)
         dashboard_table = stored(cleaning.clean_for_dashboard(raw), "dashboard_listings")
         dashboard = spark.read.schema(schema.CLEAN).parquet(dashboard_table.folder)
 
         cube = materialize(stock_cube(clean), "cube")
-        validations, other_validations = _split(reports.VALIDATION)
-        ready = {**audited, "c10_duplicate_keys": repeated, **quality.summarise_together(clean, validations)}
+        counts = materialize(quality.category_counts(raw), "category_counts")
+        ready = {**audited, "c10_duplicate_keys": repeated, **validated}
         tables = {name: partial(lambda df: df, df) for name, df in ready.items()}
-        tables |= {name: partial(operator, raw) for name, operator in other_audits.items()}
+        for name, operator in other_audits.items():
+            tables[name] = partial(operator, counts if name in reports.FROM_CATEGORY_COUNTS else raw)
         for group in (other_validations, reports.EXPLORATION, reports.BUSINESS, reports.FINDINGS):
             for name, operator in group.items():
                 tables[name] = partial(operator, clean if name in reports.FROM_LISTINGS else cube)
@@ -62,8 +66,8 @@ def run(spark: SparkSession, csv: str, out: str, encoding: str = "UTF-8", fmt: s
 
     The raw, clean and dashboard tables are stored before anything reads them, so each is made
     once, and a rerun replaces what an earlier one left, table by table. Reports of plain
-    aggregates share one scan of their table, and those that a cube of the clean listings can
-    answer read that. The keys are checked by the report of repeated keys itself: a raw table that
+    aggregates are gathered while their table is written, without a scan of their own, and those
+    that a cube of the clean listings can answer read that. The keys are checked by the report of repeated keys itself: a raw table that
     breaks its key is refused. Intermediate tables are removed at the end. With ``fmt`` "json",
     amounts have no decimal type in the files.
     """

@@ -439,6 +439,19 @@ ORACLE: dict[str, str] = {
     "c23_negative_remaining": _clean(
         "SELECT COUNT(*) AS negative_discount_remaining FROM clean WHERE discount_percent < 0"
     ),
+    "c01_c15_observed_audit": _raw(
+        "SELECT COUNT(*) FILTER (WHERE mrp = 0) AS rows_to_delete, MIN(NULLIF(mrp, 0)) AS min_mrp_paise,"
+        " MAX(NULLIF(mrp, 0)) AS max_mrp_paise, CAST(floor((2 * SUM(mrp) + COUNT(NULLIF(mrp, 0))) /"
+        " (2 * COUNT(NULLIF(mrp, 0)))) AS INTEGER) AS avg_mrp_paise, COUNT(*) AS total_records FROM raw"
+    ),
+    "c17_c24_observed_validation": _clean(
+        f"SELECT {_money('MIN(mrp)')} AS min_mrp_rupees, {_money('MAX(mrp)')} AS max_mrp_rupees,"
+        f" {_avg('mrp', 2, 100)} AS avg_mrp_rupees, COUNT(*) FILTER (WHERE mrp IS NULL) AS null_mrp,"
+        " COUNT(*) FILTER (WHERE discount_percent IS NULL) AS null_discount,"
+        " COUNT(*) FILTER (WHERE weight_in_gms IS NULL) AS null_weight, COUNT(*) FILTER (WHERE out_of_stock IS NULL) AS null_oos,"
+        " COUNT(*) FILTER (WHERE mrp = 0) AS zero_mrp_remaining,"
+        " COUNT(*) FILTER (WHERE discount_percent < 0) AS negative_discount_remaining, COUNT(*) AS cleaned_total_records FROM clean"
+    ),
     "c24_clean_row_count": _clean("SELECT COUNT(*) AS cleaned_total_records FROM clean"),
     "c25_clean_preview": _clean(f"SELECT {CLEAN_ROW} FROM clean ORDER BY sku_id LIMIT 10"),
     "c26_cleaning_report": _report(),
@@ -585,6 +598,10 @@ ORACLE: dict[str, str] = {
         f" {_avg('CASE WHEN NOT out_of_stock THEN qty END', 0)} AS avg_stock_level,"
         f" {_avg('ppg', 4, 10000)} AS avg_price_per_gram FROM clean"
     ),
+    "b21_sketched_products": _clean(
+        "SELECT category, out_of_stock, COUNT(DISTINCT name) AS unique_products, TRUE AS estimate_near"
+        " FROM clean GROUP BY category, out_of_stock"
+    ),
     "f1_discount_stockout_ratio": f"WITH {RAW}, {CLEAN}"
     """, counts AS (
     SELECT COUNT(*) FILTER (WHERE discount_percent > 40) AS deep,

@@ -27,6 +27,9 @@ AUDIT: dict[str, Operator] = {
     "c26_cleaning_report": quality.cleaning_report,
 }
 
+#: Those that ``quality.category_counts`` can answer.
+FROM_CATEGORY_COUNTS = {"c02_skus_by_category", "c26_cleaning_report"}
+
 # over the clean listings
 VALIDATION: dict[str, Operator] = {
     "c17_scale_in_rupees": quality.scale_in_rupees(),

@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfscan.operators.lookup import BROADCAST_BYTES
+from shelfscan.operators import median
 from shelfscan.operators.median import summarise
+from shelfscan.sources.workspace import materialize
 
 
 def _brute_force(rows):
@@ -67,3 +69,28 @@ def test_deviation_is_the_same_for_any_partitions(spark):
     n, total = len(values), sum(values)
     exact = (n * sum(v * v for v in values) - total * total) / n
     assert found[0] == pytest.approx(exact, rel=1e-12)
+
+
+def test_a_bitmap_keeps_most_values_in_place(spark):
+    """With too many groups for a broadcast, values outside the middle slices don't reach the exchange either."""
+    df = spark.range(400_000).select((F.col("id") % 40).alias("k"), F.xxhash64("id").alias("v"))
+    df = df.withColumn("v", F.pmod("v", F.lit(10**9)))
+    coded = df.select("k", F.col("v").alias("code")).withColumn("slice", F.shiftright("code", median.SLICE_BITS))
+    slices = materialize(median._middle_slices(coded, ["k"]), "slices")
+    inside = coded.join(slices, ["k", "slice"], "left_semi").count()
+    passed = median._maybe_inside(coded, slices, ["k"])
+    assert inside <= passed.count() <= inside + 400_000 // 100
+    assert passed.columns == coded.columns
+    assert passed.join(slices, ["k", "slice"], "left_semi").count() == inside
+    key = lambda r: r["k"]
+    small, large = summarise(df, ["k"], F.col("v")), summarise(df, ["k"], F.col("v"), 0)
+    assert sorted(small.collect(), key=key) == sorted(large.collect(), key=key)
+
+
+def test_a_full_bitmap_changes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(median, "MIN_FILTER_WORDS", 1)
+    monkeypatch.setattr(median, "MAX_FILTER_WORDS", 1)
+    rows = [(f"k{i % 97}", i * i % 10_007 * 4096) for i in range(5000)] + [(None, 5), (None, None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v bigint")
+    got = {r["k"]: (r["n"], r["min_code"], r["max_code"], r["sum_code"], r["lower"], r["upper"]) for r in summarise(df, ["k"], F.col("v"), 0).collect()}
+    assert got == _brute_force(rows)
