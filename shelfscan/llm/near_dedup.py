@@ -7,18 +7,19 @@ Runs of entries form bands, and documents that share a band are candidates.
 
 Documents with equal sets form a class and go on as one node, so exact copies cost nothing. In
 each bucket of a band the members are compared with one leader, not with each other; links are
-confirmed on the full sets, read again from the texts. Then every pair that shares a bucket but
-not yet a component is compared too, so no candidate pair is left out: buckets whose members
-are in one component need nothing more, in the others only those outside of the bucket's largest
-component meet the rest. Long buckets first get more leaders, as each merges most of the rest.
+confirmed on the full sets, read again from the texts. Pairs that share a bucket but not yet a
+component are then looked for by their differences, so no candidate pair is left out; buckets
+whose members are in one component need nothing more.
 
 Bands are as wide as MISSED allows: a pair at the threshold shares none of them with at most that
 probability, one above it with less, and equal sets share all.
 
-Groups of copies often have many members just below the threshold, and comparing each of those
-with all others is what such a group costs. Most are ruled out without looking at pairs: shingles
-that no other candidate holds can't be shared with anyone, so from a set's size and the number
-of its shared shingles follows how alike it can be to another at most, exactly.
+Groups of copies often have many members just below the threshold, which share most shingles with
+all others; comparing each with each is what such a group would cost. So its members are reduced
+to what sets them apart: the shingles in which they differ from what most of the group has. How
+many of these two members must have in common to be alike enough follows exactly from sizes. Most
+members have too few that anyone shares; the rest are joined on the rarest of them only, as many
+as it takes not to miss a pair.
 
 Nulls and ties: a null or empty text, or one without words, has no shingles and no links. Null
 ids are kept as one id after all others. Rows that share an id are documents of their own with
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfscan.llm import arrays
@@ -42,7 +43,7 @@ LAST_ID = (1 << 63) - 1  # stands for a null id
 PERMUTATIONS = 160
 MISSED = 1e-5
 SALTS = 1024
-MAX_LEADER_ROUNDS = 4
+CENTRE_MEMBERS = 64
 
 _FACTORS = arrays.weights(PERMUTATIONS, 11)
 _SHIFTS = arrays.weights(PERMUTATIONS, 12)
@@ -141,7 +142,7 @@ def signatures(documents: DataFrame, words: int, band: int) -> DataFrame:
 
 
 def full_sets(documents: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """Per wanted node (doc_id, node): its shingle hashes, from the text of the document named."""
+    """Per wanted node (doc_id, text_code, node): its shingle hashes, from the text of the document named."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,8 +160,8 @@ def full_sets(documents: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 yield found.filter(same)
 
     return (
-        documents.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"), "text")
-        .join(measured(wanted), "doc_id")
+        documents.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("text_code"))
+        .join(measured(wanted), ["doc_id", "text_code"])
         .select("node", "text")
         .mapInArrow(read, "node long, shingles array<long>")
         .dropDuplicates(["node"])
@@ -222,12 +223,12 @@ def _open_buckets(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return labelled.join(several.select("bucket"), "bucket")
 
 
-def _leader_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
+def _leader_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Each member with the leader of its bucket, if their components differ and they may be alike.
 
-    The leader is the member whose shingles the others share most; in later turns another one.
+    The leader is the member whose shingles the others share most.
     """
-    rank = F.xxhash64("node", F.lit(turn)) if turn else F.struct(F.col("n") - F.col("held"), "node")
+    rank = F.struct(F.col("n") - F.col("held"), "node")
     leaders = members.groupBy("bucket").agg(F.min_by(F.struct("node", "label", "n", "held"), rank).alias("leader"))
     return (
         members.alias("m")
@@ -238,33 +239,119 @@ def _leader_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
     )
 
 
-def _remaining_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a bucket from different components that may be alike."""
-    home = members.groupBy("bucket", "label").agg(F.count("*").alias("size")).groupBy("bucket").agg(
-        F.max_by("label", F.struct("size", "label")).alias("home")
+def _groups(members: DataFrame) -> DataFrame:
+    """(pivot, node, label) of open buckets: members that share a bucket share its pivot.
+
+    A bucket's pivot is its member that is in most open buckets, so a few pivots stand for all
+    buckets of a group of copies.
+    """
+    busy = members.groupBy("node").agg(F.count("*").alias("buckets"))
+    pivots = members.join(busy, "node").groupBy("bucket").agg(F.max_by("node", F.struct("buckets", "node")).alias("pivot"))
+    return members.join(pivots, "bucket").select("pivot", "node", "label").distinct()
+
+
+def _centres(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Per pivot the shingles that at least half of up to CENTRE_MEMBERS of its members have.
+
+    What they are decides only how much work follows, not what is found.
+    """
+    order = Window.partitionBy("pivot").orderBy(F.xxhash64("node"), "node")
+    sample = groups.withColumn("at", F.row_number().over(order)).where(F.col("at") <= CENTRE_MEMBERS).select("pivot", "node")
+    sizes = sample.groupBy("pivot").agg(F.count("*").alias("members"))
+    counts = (
+        sample.join(sets, "node")
+        .select("pivot", F.explode("shingles").alias("shingle"))
+        .groupBy("pivot", "shingle")
+        .agg(F.count("*").alias("holders"))
+        .join(sizes, "pivot")
+        .where("2 * holders >= members")
     )
-    placed = members.join(home, "bucket")
-    once = (F.col("m.label") == F.col("m.home")) | (F.col("o.node") < F.col("m.node"))
+    return counts.groupBy("pivot").agg(F.collect_list("shingle").alias("centre"))
+
+
+def differences(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Per (pivot, node): label, far, and the shingles in which it differs from the centre (array ``other``).
+
+    For sets A and B that differ from the centre in Da and Db, A and B differ in |Da| + |Db| -
+    2 |Da & Db| shingles, and they are alike enough if that is at most (100 - percent) (|A| + |B|)
+    / (100 + percent). With ``far`` = (100 + percent) |D| - (100 - percent) |A| this says that Da
+    and Db must have (far + far) / (2 (100 + percent)) shingles in common or more.
+    """
+    salted = groups.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    centres = salted.select("pivot", "salt").distinct().join(store(_centres(groups, sets), "centres"), "pivot", "left")
+    centre = F.coalesce("centre", F.array().cast("array<bigint>"))
+    other = F.concat(F.array_except("shingles", centre), F.array_except(centre, "shingles"))
+    far = F.lit(100 + percent) * F.size("other").cast("long") - F.lit(100 - percent) * F.size("shingles").cast("long")
     return (
-        placed.where("label <> home").alias("o")
-        .join(placed.alias("m"), F.col("o.bucket") == F.col("m.bucket"))
-        .where((F.col("o.label") != F.col("m.label")) & once & _can_link("o", "m", percent))
-        .select(F.col("o.node").alias("a"), F.col("m.node").alias("b"))
-        .distinct()
+        salted.join(sets, "node")
+        .join(centres, ["pivot", "salt"])
+        .withColumn("other", other)
+        .select("pivot", "node", "label", far.cast("long").alias("far"), "other")
     )
 
 
-def _missing_pairs(members: DataFrame) -> int:
-    """How many pairs the last step would have to look at, at most."""
-    per_bucket = members.groupBy("bucket", "label").agg(F.count("*").alias("own")).groupBy("bucket").agg(
-        F.sum("own").alias("size"), F.max("own").alias("home")
+def _certain_pairs(differing: DataFrame) -> DataFrame:
+    """Each node that needs nothing in common with the nearest of its group, with that one.
+
+    Two nodes that need nothing in common with each other both need nothing in common with the
+    nearest one, so these pairs join all that such pairs would.
+    """
+    nearest = differing.groupBy("pivot").agg(F.min_by(F.struct("node", "label", "far"), F.struct("far", "node")).alias("x"))
+    return (
+        differing.drop("other")
+        .join(nearest.select("pivot", "x.*").withColumnsRenamed({"node": "a", "label": "x_label", "far": "x_far"}), "pivot")
+        .where((F.col("far") + F.col("x_far") <= 0) & (F.col("label") != F.col("x_label")))
+        .select("a", F.col("node").alias("b"))
     )
-    return per_bucket.agg(F.coalesce(F.sum(F.expr("(size - home) * size")), F.lit(0)).alias("pairs")).first()["pairs"]
+
+
+def _meeting_pairs(differing: DataFrame, percent: int) -> DataFrame:
+    """Pairs that have one of the rarest shingles of their differences in common.
+
+    Only shingles that two members or more differ in can be in common, so only those count. If two
+    lists, rarest first, have k elements in common, then one of these is among the first
+    (length - k + 1) of either list. How many a pair needs follows from ``far`` of both, and the
+    place of the shingle in both lists is checked in the join, so that almost no other pair comes
+    out of it.
+    """
+    step = 2 * (100 + percent)
+    shingles = differing.select("pivot", "node", "label", "far", F.explode("other").alias("shingle"))
+    shared = shingles.groupBy("pivot", "shingle").agg(F.count("*").alias("holders")).where("holders > 1")
+    nearest = differing.groupBy("pivot").agg(F.min("far").alias("least_far"))
+    lists = (
+        shingles.join(shared, ["pivot", "shingle"])
+        .groupBy("pivot", "node", "label", "far")
+        .agg(F.sort_array(F.collect_list(F.struct("holders", "shingle"))).alias("list"))
+        .join(nearest, "pivot")
+        .withColumn("n", F.size("list").cast("long"))
+        .withColumn("least", F.greatest(F.lit(1), F.ceil((F.col("far") + F.col("least_far")) / step)))
+        .where("n >= least")
+        .withColumn("head", F.slice("list", 1, F.greatest(F.col("n") - F.col("least") + 1, F.lit(0)).cast("int")))
+        .select("pivot", "node", "label", "far", "n", F.posexplode("head").alias("place", "x"))
+        .select("pivot", "node", "label", "far", "n", "place", "x.shingle")
+    )
+    lists = store(lists, "difference_heads")
+    common = F.ceil((F.col("a.far") + F.col("b.far")) / step)
+    same = (F.col("a.pivot") == F.col("b.pivot")) & (F.col("a.shingle") == F.col("b.shingle"))
+    reached = (F.col("a.place") + common <= F.col("a.n")) & (F.col("b.place") + common <= F.col("b.n"))
+    other = (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label"))
+    return (
+        lists.alias("a")
+        .join(lists.alias("b"), same & other & (common >= 1) & reached)
+        .select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    )
+
+
+def _difference_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs of a bucket and different components that may be alike enough, and enough of those that surely are."""
+    differing = store(differences(store(_groups(members), "groups"), sets, percent), "differences")
+    return _certain_pairs(differing).union(_meeting_pairs(differing, percent)).distinct()
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept, and the text_code that tells rows of one id apart.
+    """Per document: doc_id, n_shingles, component_id, kept, the text_code that tells rows of one id apart, and first.
 
+    ``first`` marks one text of each component, that of the smallest id and then text_code.
     Documents whose sets have ``percent`` of their union in common are linked; component_id is the
     smallest id reachable, and the document that has it is kept.
     """
@@ -274,15 +361,17 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     classes = store(
         signed.where("n_shingles > 0")
         .groupBy("node")
-        .agg(F.min(own_id).alias("rep"), F.first("bands").alias("bands")),
+        .agg(F.min(F.struct(own_id.alias("rep"), "text_code")).alias("rep"), F.first("bands").alias("bands"))
+        .select("node", "rep.rep", "rep.text_code", "bands"),
         "classes",
     )
     buckets = classes.select("node", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     candidates = store(buckets.join(shared.select("bucket"), "bucket"), "candidates")
-    wanted = store(classes.select(F.col("rep").alias("doc_id"), "node").join(candidates.select("node").distinct(), "node"), "wanted")
+    reps = classes.select(F.col("rep").alias("doc_id"), "text_code", "node")
+    wanted = store(reps.join(candidates.select("node").distinct(), "node"), "wanted")
     release(spark)
-    sets = store(full_sets(documents, wanted.select("doc_id", "node"), words), "sets")
+    sets = store(full_sets(documents, wanted.select("doc_id", "text_code", "node"), words), "sets")
     release(spark)
     members = store(candidates.join(store(linkable(sets, percent), "linkable"), "node"), "members")
     release(spark)
@@ -303,24 +392,20 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
             labels = components(links)
         release(spark)
 
-    settle(_leader_pairs(_open_buckets(members, None), 0, percent))
-    open_buckets, before = store(_open_buckets(members, labels), "open"), None
-    for turn in range(1, MAX_LEADER_ROUNDS):
-        missing = _missing_pairs(open_buckets)
-        if missing <= 4 * open_buckets.count() or before is not None and 2 * missing > before:
-            break
-        settle(_leader_pairs(open_buckets, turn, percent))
-        open_buckets, before = store(_open_buckets(members, labels), "open"), missing
+    settle(_leader_pairs(_open_buckets(members, None), percent))
+    open_buckets = store(_open_buckets(members, labels), "open")
     if not open_buckets.isEmpty():
-        settle(_remaining_pairs(open_buckets, percent))
+        settle(_difference_pairs(open_buckets, sets, percent))
 
     if labels is None:
-        named = classes.select("node", F.col("rep").alias("component"))
+        named = classes.select("node", F.col("rep").alias("component"), F.col("text_code").alias("first_code"))
     else:
-        labelled = classes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        least = labelled.groupBy("label").agg(F.min("rep").alias("component"))
-        named = labelled.join(least, "label").select("node", "component")
+        labelled = classes.select("node", "rep", "text_code").join(labels, "node", "left")
+        labelled = labelled.withColumn("label", F.coalesce("label", "node"))
+        least = labelled.groupBy("label").agg(F.min(F.struct("rep", "text_code")).alias("x"))
+        named = labelled.join(least, "label").select("node", F.col("x.rep").alias("component"), F.col("x.text_code").alias("first_code"))
     component = F.coalesce("component", own_id)
+    first = (own_id == F.col("component")) & ((F.col("n_shingles") == 0) | (F.col("text_code") == F.col("first_code")))
     return (
         signed.select("doc_id", "n_shingles", "node", "text_code")
         .join(store(named, "named"), ["node"], "left")
@@ -331,6 +416,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
             F.nullif("component", F.lit(LAST_ID)).alias("component_id"),
             (own_id == F.col("component")).alias("kept"),
             "text_code",
+            first.alias("first"),
         )
     )
 
@@ -338,10 +424,16 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
 def drop_near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those that are near copies of one with a smaller id; all columns as they were.
 
-    Rows that repeat one id and text are one document and stay or go together. A document without
-    shingles always stays.
+    Rows that repeat one id and text are one document and stay or go together. Of near copies, or
+    copies, that all lack an id one row stays. A document without shingles always stays.
     """
-    marked = near_duplicates(documents, words, percent)
-    gone = store(marked.where("NOT kept").select("doc_id", "text_code").distinct(), "gone")
+    marked = store(near_duplicates(documents, words, percent), "marked")
+    gone = store(marked.where("NOT first").select("doc_id", "text_code").distinct(), "gone")
     same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.text_code"))
-    return documents.alias("d").join(measured(gone).alias("g"), same, "left_anti")
+    kept = documents.alias("d").join(measured(gone).alias("g"), same, "left_anti")
+    if marked.where("doc_id IS NULL AND n_shingles > 0").isEmpty():
+        return kept
+    kept = store(kept, "kept")
+    nameless = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    single = kept.where(nameless).withColumn("_code", F.xxhash64("text")).dropDuplicates(["_code"]).drop("_code")
+    return kept.where(~nameless).unionByName(single)

@@ -27,7 +27,7 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_min_max_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
-    return found.drop("text_code")
+    return found.drop("text_code", "first")
 
 
 def op4_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

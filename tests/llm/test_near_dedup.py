@@ -71,10 +71,68 @@ def test_groups_of_near_copies(spark, monkeypatch):
     expected = brute(rows, 3, 85)
     assert len({r[2] for r in expected}) < len(rows) / 2
     assert found(documents(spark, *rows), 3, 85) == expected
-    monkeypatch.setattr(near_dedup, "MAX_LEADER_ROUNDS", 1)
+    monkeypatch.setattr(near_dedup, "CENTRE_MEMBERS", 1)
     assert found(documents(spark, *rows), 3, 85) == expected
 
 
+@pytest.fixture
+def compared(monkeypatch):
+    """How many pairs were compared."""
+    counts, plain = [], near_dedup.store
+
+    def counted(df, label):
+        out = plain(df, label)
+        if label == "pairs":
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "store", counted)
+    return counts
+
+
+def test_pairs_below_the_threshold_grow_with_members(spark, compared):
+    """Copies that each changed other words are alike below the threshold; few of their pairs are looked at."""
+    per_member = []
+    for members in (60, 240):
+        source = random.Random(members)
+        base = [f"w{source.randrange(10**6)}" for _ in range(400)]
+        rows = [(i, edited(base, 14, source)) for i in range(members)]
+        expected = brute(rows, 3, 85)
+        assert len({r[2] for r in expected}) > members * 0.9
+        compared.clear()
+        assert found(documents(spark, *rows), 3, 85) == expected
+        per_member.append(sum(compared) / members)
+    assert per_member[1] <= max(3, 2 * per_member[0])  # all pairs: 30 and 120 a member
+
+
+@pytest.mark.parametrize("changes", [(9, 14), (10, 11), (2, 30)])
+def test_groups_around_the_threshold(spark, changes):
+    """Also several groups that meet in some buckets, and members far from what most have."""
+    source = random.Random(sum(changes))
+    base = [f"w{source.randrange(10**6)}" for _ in range(300)]
+    other = [*base[:200], *[f"v{source.randrange(10**6)}" for _ in range(100)]]
+    rows = []
+    for text in (base, other):
+        rows += [(len(rows) + i, edited(text, source.choice(changes), source)) for i in range(70)]
+    rows += [(len(rows) + i, " ".join(base[i : 250 + i])) for i in range(0, 50, 5)]
+    expected = brute(rows, 3, 85)
+    assert found(documents(spark, *rows), 3, 85) == expected
+
+
+def test_near_copies_without_ids(spark):
+    """Rows are told apart by their texts, so none of them meets all others, and one of a group stays."""
+    source = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(None, edited(base, source.randrange(0, 3), source)) for _ in range(60)] + [(None, " ".join(base))] * 30
+    rows += [(None, f"other text number {i} of its own words{i}") for i in range(40)] + [(None, None), (None, ""), (None, " ")]
+    df = documents(spark, *rows)
+    assert found(df, 3, 85) == brute(rows, 3, 85)
+    kept = [r["text"] for r in near_dedup.drop_near_duplicates(df, 3, 85).collect()]
+    assert sum(t is not None and "w50" in t for t in kept) == 1
+    assert sum(t is not None and "other text" in t for t in kept) == 40
+    assert sorted(t for t in kept if not (t or "").strip() and t is not None) == ["", " "] and None in kept
+
+
 def test_chain_of_copies(spark):
     words = [f"w{i}" for i in range(60)]
     rows = [(30 - k, " ".join([*[f"n{i}" for i in range(k)], *words[k:]])) for k in range(30)]
