@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from shelfscan.operators import cleaning, cube, marts, measures, quality
 from shelfscan.plans import reports, tables
 from shelfscan.plans.reports import Operator
-from shelfscan.sources import listings, sinks, versions
+from shelfscan.sources import clustered, listings, sinks, versions
 from shelfscan.sources.workspace import fresh_path, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -209,6 +209,14 @@ def _sketched_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube.distinct_names(clean, by).join(estimated, by).select(*by, "unique_products", near)
 
 
+def _top_products_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list of the first category, from a table laid out so that it reads few files."""
+    dashboard = tables.dashboard(spark, sf_dir)
+    path = clustered.write(dashboard, fresh_path(spark, "clustered"), "category", "estimated_revenue")
+    first = dashboard.agg(F.min("category")).first()[0]
+    return _doubles(marts.top_products(clustered.candidates(spark, path, "category", 10, first)))
+
+
 def _mart(build: Operator) -> Query:
     return _over(tables.dashboard, build)
 
@@ -287,6 +295,7 @@ CATALOG: dict[str, Query] = {
     "d11_all_rows": _over(tables.dashboard, lambda df: df),
     "d12_kpis_by_category": _mart(marts.kpis_by_category),
     "d13_top_products_by_category": _over(tables.dashboard, marts.top_products_by_category),
+    "d13_top_products_of_one_category": _top_products_of_one,
     # BI measures
     "m1_total_skus": _over(tables.light, measures.total_skus),
     "m2_revenue": _over(tables.light, measures.revenue),

@@ -655,6 +655,9 @@ ORACLE: dict[str, str] = {
         f"SELECT {PRODUCT}, position FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY category"
         " ORDER BY rev DESC, sku_id) AS INTEGER) AS position FROM dash) WHERE position <= 10"
     ),
+    "d13_top_products_of_one_category": _dash(
+        f"SELECT {PRODUCT} FROM dash WHERE category = (SELECT MIN(category) FROM dash) ORDER BY rev DESC, sku_id LIMIT 10"
+    ),
     "m1_total_skus": _light("SELECT COUNT(sku_id) AS total_skus FROM light"),
     "m2_revenue": _light(f"SELECT {_money(f'SUM({SALE})')} AS est_revenue FROM light"),
     "m3_stockout_rate": _light(f"SELECT {FRACTION} AS out_of_stock_rate FROM light"),
