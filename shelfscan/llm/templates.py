@@ -1,7 +1,7 @@
 """Main text of web pages by removal of site templates.
 
-Each page is parsed to its elements once. Blocks of text are kept with the hashes of the block
-elements around them. Spark counts per host on how many pages each such subtree recurs, and
+Each page is parsed to its elements once. Blocks of text are kept with the tree of the block
+elements around them, as the place of each element's parent and a hash of its subtree. Spark counts per host on how many pages each such subtree recurs, and
 every subtree that recurs on many pages of its host is deleted: menus, notices and teasers that
 a site repeats. Pages with the same article count once, so an article that a host serves under
 many addresses is not taken for its template.
@@ -16,7 +16,8 @@ If a page has an article or main element, only text inside of it counts.
 
 "Many" is MIN_PAGES articles, whatever the size of the host. A host's templates may be as many as
 its pages, so they are never gathered: the subtrees of each page meet those that recur one by
-one, in a join that is salted by page, with a row only for salts that occur.
+one, in a join that is salted by page, with a row only for salts that occur. Only hashes take part
+in it. What it finds is dealt back to the stored pages, whose texts are never shuffled.
 
 Nulls: a null html is empty and its text too; a null url belongs to a host of its own. An empty
 table has no rows. Unclosed elements end with their parents; a tag cut off by the end is dropped.
@@ -26,14 +27,19 @@ from __future__ import annotations
 
 import html
 import re
+import uuid
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscan.llm.storage import store
+from shelfscan.llm.storage import partitions
+from shelfscan.sources.workspace import fresh_path
 
 MIN_PAGES = 10
 SALTS = 64
@@ -169,11 +175,13 @@ def _tree(page: str) -> _Element:
     root = _Element("#page", None, False, KEEP)
     elements = [root]
     block, stack = root, []  # stack: (name, block before it), for open elements
+    opened: Counter[str] = Counter()  # how many of each name are on it
     place = 0
 
     def close(depth: int) -> None:
         nonlocal block
         block = stack[depth][1]
+        opened.subtract(name for name, _ in stack[depth:])
         del stack[depth:]
 
     raw_until = None
@@ -188,7 +196,7 @@ def _tree(page: str) -> _Element:
         name = token[2].lower()
         if token[1]:
             raw_until = None
-            for depth in range(len(stack) - 1, -1, -1):
+            for depth in range(len(stack) - 1, -1, -1) if opened[name] else ():
                 if stack[depth][0] == name:
                     close(depth)
                     break
@@ -201,7 +209,7 @@ def _tree(page: str) -> _Element:
                 block.parts.append(elements[-1])
             continue
         enders = CLOSED_BY_SAME.get(name) or (("p",) if name in CLOSES_P else ())
-        if enders:
+        if any(opened[x] for x in enders):
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] in enders:
                     close(depth)
@@ -211,6 +219,7 @@ def _tree(page: str) -> _Element:
         article = block.article or name in ("article", "main")
         unwanted = _unwanted(name, token[3], block.article)
         stack.append((name, block))
+        opened[name] += 1
         if name in BLOCKS or unwanted != KEEP:
             inner = _Element(name, block, article, unwanted)
             elements.append(inner)
@@ -239,8 +248,18 @@ def _pieces(element: _Element) -> list:
     return out
 
 
-def blocks(page: str) -> tuple[list[str], list[list[int]], int]:
-    """Blocks of text in order, the hashes of the subtrees around each, and a hash of the article."""
+class Blocks(NamedTuple):
+    """Blocks of text in order and the element around each; of elements with a block inside, in an order that puts
+    parents first, the place of the parent (-1: none) and a hash of the subtree; a hash of the article."""
+
+    texts: list[str]
+    inside: list[int]
+    parents: list[int]
+    codes: list[int]
+    article: int
+
+
+def blocks(page: str) -> Blocks:
     root = _tree(page)
     order, pieces = [root], {}
     for element in order:  # parents before children, without recursion
@@ -254,51 +273,93 @@ def blocks(page: str) -> tuple[list[str], list[list[int]], int]:
         element.code = digest.intdigest()
     some_article = any(e.article and pieces[id(e)] for e in order)
 
-    texts, chains, article = [], [], xxhash.xxh64()
-    waiting = [(root, iter(pieces[id(root)]), [])]
+    texts, owners, article = [], [], xxhash.xxh64()
+    waiting = [(root, iter(pieces[id(root)]))]
     while waiting:
-        element, rest, chain = waiting[-1]
+        element, rest = waiting[-1]
         x = next(rest, None)
         if x is None:
             waiting.pop()
         elif isinstance(x, str):
             if element.article or not some_article:
                 texts.append(x)
-                chains.append(chain)
+                owners.append(element)
                 article.update(x.encode() + b"\0")
         else:
-            waiting.append((x, iter(pieces[id(x)]), [*chain, x.code - (1 << 64) if x.code >> 63 else x.code]))
-    code = article.intdigest()
-    return texts, chains, code - (1 << 64) if code >> 63 else code
+            waiting.append((x, iter(pieces[id(x)])))
 
+    place: dict[int, int] = {}
+    parents, codes = [], []
+    for owner in owners:
+        above = []
+        while owner is not root and id(owner) not in place:
+            above.append(owner)
+            owner = owner.parent
+        for element in reversed(above):
+            parents.append(place.get(id(element.parent), -1))
+            codes.append(_signed(element.code))
+            place[id(element)] = len(place)
+    return Blocks(texts, [place.get(id(e), -1) for e in owners], parents, codes, _signed(article.intdigest()))
 
-_PARSED = "page_id long, url string, host string, article long, texts array<string>, chains array<array<long>>"
+
+def _signed(code: int) -> int:
+    return code - (1 << 64) if code >> 63 else code
+
+
+_PARSED = (
+    "part long, row long, page_id long, url string, host string, article long, texts array<string>, inside array<int>,"
+    " parents array<int>, codes array<long>"
+)
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """Per page: its host, a hash of its article, and its blocks with the subtrees around them."""
+    """Per page: part (the task that parsed it), row (its place there), its host, and its ``Blocks``."""
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 found = [blocks(page or "") for page in part.column("html").to_pylist()]
+                n = len(found)
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array([number] * n, pa.int64()),
+                        pa.array(range(row, row + n), pa.int64()),
                         part.column("page_id"),
                         part.column("url"),
                         part.column("host"),
-                        pa.array([x[2] for x in found], pa.int64()),
-                        pa.array([x[0] for x in found], pa.list_(pa.string())),
-                        pa.array([x[1] for x in found], pa.list_(pa.list_(pa.int64()))),
+                        pa.array([x.article for x in found], pa.int64()),
+                        pa.array([x.texts for x in found], pa.list_(pa.string())),
+                        pa.array([x.inside for x in found], pa.list_(pa.int32())),
+                        pa.array([x.parents for x in found], pa.list_(pa.int32())),
+                        pa.array([x.codes for x in found], pa.list_(pa.int64())),
                     ],
-                    ["page_id", "url", "host", "article", "texts", "chains"],
+                    "part row page_id url host article texts inside parents codes".split(),
                 )
+                row += n
 
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     return pages.select("page_id", "url", host.alias("host"), "html").mapInArrow(parsed, _PARSED)
 
 
+def by_part(parsed: DataFrame) -> DataFrame:
+    """``parsed``, stored in buckets by part, so that it can meet other rows by part without moving.
+
+    A task's rows are of one part and so of one bucket: it writes one file. The catalog's entry
+    serves to read the files as buckets and goes at once; the files are in the shared folder.
+    """
+    spark, name = parsed.sparkSession, f"blocks_{uuid.uuid4().hex}"
+    writer = parsed.write.format("parquet").option("compression", "zstd").option("path", fresh_path(spark, "blocks"))
+    writer.bucketBy(partitions(spark), "part").saveAsTable(name)
+    try:
+        stored = spark.table(name)
+        stored.schema  # noqa: B018  resolves the table
+        return stored
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
 def recurring(subtrees: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """The subtrees that recur in enough articles of their host: key and salt, for the salts that occur."""
     salts = F.bit_or(F.expr("shiftleft(1L, salt)"))
@@ -311,26 +372,49 @@ def recurring(subtrees: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     )
 
 
+def _kept_text(texts: list[str], inside: list[int], parents: list[int], gone: set[int]) -> str:
+    """The texts of blocks around which no element is ``gone``."""
+    if not gone:
+        return " ".join(texts)
+    dropped = []
+    for place, parent in enumerate(parents):
+        dropped.append(place in gone or parent >= 0 and dropped[parent])
+    return " ".join([text for text, e in zip(texts, inside, strict=True) if e < 0 or not dropped[e]])
+
+
+def without_templates(stored: DataFrame, hits: DataFrame) -> DataFrame:
+    """Per page of ``by_part``: page_id, url, text, n_chars, without what ``hits`` (of_part, of_row, element) names.
+
+    Pages stay where they are stored and hits are dealt to them by part. What a task gathers for one
+    part are the pages that one task has parsed, which the size of input splits bounds.
+    """
+
+    def cut(pages: pa.Table, found: pa.Table) -> pa.Table:
+        gone: dict[int, set[int]] = {}
+        for row, element in zip(found.column("of_row").to_pylist(), found.column("element").to_pylist(), strict=True):
+            gone.setdefault(row, set()).add(element)
+        texts = []
+        for chunk in pages.select(["row", "texts", "inside", "parents"]).to_batches(max_chunksize=512):
+            columns = [chunk.column(i).to_pylist() for i in range(4)]
+            texts += [_kept_text(t, i, p, gone.get(row, set())) for row, t, i, p in zip(*columns, strict=True)]
+        lengths = pa.array([len(t) for t in texts], pa.int64())
+        return pa.Table.from_arrays(
+            [pages.column("page_id"), pages.column("url"), pa.array(texts, pa.string()), lengths], ["page_id", "url", "text", "n_chars"]
+        )
+
+    pages = stored.select("part", "row", "page_id", "url", "texts", "inside", "parents")
+    schema = "page_id long, url string, text string, n_chars long"
+    return pages.groupBy("part").cogroup(hits.groupBy("of_part")).applyInArrow(cut, schema)
+
+
 def main_text(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
-    parsed = store(parse(pages).withColumn("row", F.monotonically_increasing_id()), "blocks")
+    stored = by_part(parse(pages))
     subtrees = (
-        parsed.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
-        .select("row", "host", "article", "salt", F.explode(F.array_distinct(F.flatten("chains"))).alias("subtree"))
-        .select("row", "article", "salt", "subtree", F.xxhash64("host", "subtree").alias("key"))
-    )
-    templates = (
-        subtrees.join(recurring(subtrees, min_pages), ["key", "salt"])
-        .groupBy("row")
-        .agg(F.collect_list("subtree").alias("template"))
-    )
-    kept = F.filter(
-        F.col("texts"),
-        lambda _, i: ~F.coalesce(F.arrays_overlap(F.get(F.col("chains"), i), F.col("template")), F.lit(False)),
-    )
-    text = F.array_join(F.when(F.col("template").isNull(), F.col("texts")).otherwise(kept), " ")
-    return (
-        parsed.join(templates, "row", "left")
-        .select("page_id", "url", text.alias("text"))
-        .withColumn("n_chars", F.length("text").cast("long"))
+        stored.withColumn("salt", F.pmod(F.xxhash64("part", "row"), F.lit(SALTS)).cast("int"))
+        .select("part", "row", "host", "article", "salt", F.posexplode("codes").alias("element", "subtree"))
+        .select("part", "row", "article", "salt", "element", F.xxhash64("host", "subtree").alias("key"))
     )
+    found = subtrees.join(recurring(subtrees, min_pages), ["key", "salt"])
+    hits = found.select(F.col("part").alias("of_part"), F.col("row").alias("of_row"), "element")
+    return without_templates(stored, hits)

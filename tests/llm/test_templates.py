@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
+
+import pytest
 
 from shelfscan.llm import templates
 from tests.conftest import DATA
@@ -109,3 +112,70 @@ def test_odd_rows(spark):
         key=str,
     )
     assert templates.main_text(pages(spark)).collect() == []
+
+
+def plain_main_text(rows: list[tuple], min_pages: int) -> list[tuple]:
+    """Parse, count and delete without Spark; an element is known by its way to the root."""
+    parsed, articles = [], defaultdict(set)
+    for page_id, url, page in rows:
+        found = templates.blocks(page or "")
+        host = (re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", url or "") or ["", ""])[1].lower()
+        for code in found.codes:
+            articles[host, code].add(found.article)
+        parsed.append((page_id, url, host, found))
+    out = []
+    for page_id, url, host, found in parsed:
+        kept = []
+        for text, at in zip(found.texts, found.inside, strict=True):
+            around = []
+            while at >= 0:
+                around.append(found.codes[at])
+                at = found.parents[at]
+            if all(len(articles[host, code]) < min_pages for code in around):
+                kept.append(text)
+        text = " ".join(kept)
+        out.append((page_id, url, text, len(text)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("min_pages", [2, 10])
+def test_equals_a_plain_count(spark, min_pages):
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = [(r["page_id"], r["url"], r["html"]) for r in df.collect()]
+    # site boxes that no class gives away, nested ones too, on hosts of different sizes, in several parts
+    box = "<div><p>Read our {0} rules</p><div><p>Call {0}</p></div></div>"
+    rows += [
+        (10_000 + i, f"http://h{i % 5}.x/{i}", f"<div><p>own text {i}</p>{box.format(i % 5)}<p>more {i // 9}</p></div>") for i in range(90)
+    ]
+    rows += [(None, None, None), (1, "http://h1.x/1", ""), (20_000, "http://h1.x/2", "<p>text")]
+    want = plain_main_text(rows, min_pages)
+    assert any("own text" in t and "rules" not in t for _, _, t, _ in want)
+    for parts in (1, 7):
+        got = templates.main_text(pages(spark, *rows).repartition(parts), min_pages).collect()
+        assert sorted(map(tuple, got), key=str) == want
+
+
+def test_texts_are_not_shuffled(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    found = templates.main_text(df)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("Initial Plan")]
+    texts = [line for line in final.splitlines() if "FileScan" in line and "texts" in line]
+    assert len(texts) == 1 and "Bucketed: true" in texts[0]
+    above = final[: final.index(texts[0])].rpartition("FlatMapCoGroupsInArrow")[2]
+    assert "Exchange" not in above
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("blocks_")]
+
+
+@pytest.mark.parametrize("page", ["<div>x " * 100_000, "<b>" * 100_000 + "</i>" * 100_000 + "<p>a</p>" * 50_000, "<ul><li>" * 60_000 + "x"])
+def test_deep_pages(spark, page):
+    """Time and memory in proportion to the page."""
+    found = templates.blocks(page)
+    assert len(found.codes) <= 120_000 and len(found.parents) == len(found.codes)
+    (row,) = templates.main_text(pages(spark, (1, "http://a/", page))).collect()
+    assert row["n_chars"] == len(" ".join(found.texts)) > 0
+
+
+def test_empty_table(spark):
+    assert templates.main_text(pages(spark).limit(0)).collect() == []
