@@ -68,10 +68,6 @@ ODD = [
 ]
 
 
-def test_odd_rows(spark):
-    assert got(fair_mix.mix(frame(spark, ODD))) == sorted(str(x) for x in plain_mix(ODD))
-
-
 def test_bins_and_lots(spark, monkeypatch):
     monkeypatch.setattr(fair_mix, "BIN_ROWS", 4)
     monkeypatch.setattr(fair_mix, "BINS_IN_LOT", 4)
@@ -79,19 +75,15 @@ def test_bins_and_lots(spark, monkeypatch):
     assert got(fair_mix.mix(frame(spark, ODD))) == sorted(str(x) for x in plain_mix(ODD))
 
 
-@pytest.mark.parametrize("weights,share,passes", [((1,), 100, 1), ((1, 9), 250, 3), ((5, 2, 1), 20, 2)])
-def test_other_shares(spark, corpus, weights, share, passes):
+@pytest.mark.parametrize("weights,share,passes,parts", [((1, 9), 250, 3, 13), ((5, 2, 1), 20, 2, 1)])
+def test_other_shares_and_partitions(spark, corpus, weights, share, passes, parts):
     rows = [(r["doc_id"], r["text"], r["source"]) for r in corpus.collect()]
-    df = fair_mix.mix(corpus, weights, share, passes)
+    df = fair_mix.mix(corpus.repartition(parts), weights, share, passes).cache()
     assert got(df) == sorted(str(x) for x in plain_mix(rows, weights, share, passes))
     sums = df.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
     assert all(0 <= r["target"] - r["taken"] < 1 for r in sums)
 
 
-def test_same_for_any_partitioning(spark, corpus):
-    assert got(fair_mix.mix(corpus.repartition(13))) == got(fair_mix.mix(corpus.coalesce(1)))
-
-
 def test_budget_ends_the_mix(spark, corpus):
     """With a budget below the targets the mix is the beginning of the full one."""
     queued, budget = fair_mix._queues(corpus, (5, 2, 1), 150, 2, "mix")

@@ -94,18 +94,23 @@ ODD = [
 ]
 
 
-@pytest.mark.parametrize("sizes", [{}, {"segment": 2, "tile_turns": 9, "piece_ids": 3}, {"segment": 64, "tile_turns": 150}])
+@pytest.mark.parametrize("sizes", [{}, {"segment": 2, "tile_turns": 9, "piece_ids": 3}])
 def test_odd_rows(spark, sizes):
     assert got(prefix_trie.trie(frame(spark, ODD), **sizes)) == sorted(map(str, plain(ODD)))
 
 
-@pytest.mark.parametrize("seed,convs,longest,kinds", [(1, 300, 6, 2), (2, 200, 12, 3), (3, 40, 30, 1)])
-def test_shared_prefixes(spark, seed, convs, longest, kinds):
+@pytest.mark.parametrize(
+    "kind,sizes",
+    [
+        ((1, 300, 6, 2), {"segment": 3, "tile_turns": 20, "piece_ids": 2}),
+        ((2, 200, 12, 3), {"segment": 1, "tile_turns": 1}),
+        ((3, 40, 30, 1), {"segment": 7, "tile_turns": 60}),
+    ],
+)
+def test_shared_prefixes(spark, kind, sizes):
     """Nodes that cross segments and tiles of any size."""
-    rows = made(seed, convs, longest, kinds)
-    want = sorted(map(str, plain(rows)))
-    for sizes in ({"segment": 3, "tile_turns": 20, "piece_ids": 2}, {"segment": 1, "tile_turns": 1}):
-        assert got(prefix_trie.trie(frame(spark, rows).repartition(5), **sizes)) == want
+    rows = made(*kind)
+    assert got(prefix_trie.trie(frame(spark, rows).repartition(5), **sizes)) == sorted(map(str, plain(rows)))
 
 
 def test_table(spark, monkeypatch):
