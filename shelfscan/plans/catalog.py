@@ -206,7 +206,9 @@ def _sketched_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     estimated = cube.distinct_names(cube.stock_cube(sketched), by).withColumnRenamed("unique_products", "estimate")
     off = F.abs(F.col("estimate") - F.col("unique_products"))
     near = (off <= F.greatest(F.lit(1), F.col("unique_products") * 0.05)).alias("estimate_near")
-    return cube.distinct_names(clean, by).join(estimated, by).select(*by, "unique_products", near)
+    same = F.col("c.category").eqNullSafe(F.col("e.category")) & (F.col("c.out_of_stock") == F.col("e.out_of_stock"))
+    exact = cube.distinct_names(clean, by).alias("c")
+    return exact.join(estimated.alias("e"), same).select(*[f"c.{name}" for name in by], "unique_products", near)
 
 
 def _top_products_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:

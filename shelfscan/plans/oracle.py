@@ -726,6 +726,7 @@ ORDER: dict[str, str] = {
     "d09_top_products": IN_SQL,
     "d12_kpis_by_category": "category NULLS FIRST",
     "d13_top_products_by_category": "category NULLS FIRST, position",
+    "d13_top_products_of_one_category": IN_SQL,
 }
 # columns that leave ties open: the sort decides them by a key that the report doesn't show
 SORTED_BY = {"b19_deep_discounts": ["discount_percent", "margin_lost"]}

@@ -72,9 +72,15 @@ def removed_on_failure(spark: SparkSession, path: str):
 
 
 def fingerprint(spark: SparkSession, *paths: str) -> tuple:
-    """Name, size and time of every file in ``paths``: another value once one of them was written anew."""
+    """Name, size and time of every file in ``paths``: another value once one of them was written anew.
+
+    A path where there is nothing counts as that.
+    """
     found = []
     for path in paths:
+        if not exists(spark, path):
+            found.append((path, -1, -1))
+            continue
         entries = _system(spark, path).listFiles(_path(spark, path), True)
         while entries.hasNext():
             status = entries.next()
