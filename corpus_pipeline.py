@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfscan.llm import near_dedup, packing, pseudonyms, repeats, toxicity
-from shelfscan.llm.queries import PSEUDONYM_KEY, table
+from shelfscan.llm.queries import TEST_KEY, table
 from shelfscan.llm.storage import store
 
 
@@ -35,8 +35,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with pseudonyms in place of personal data."""
-    return _with_n_chars(pseudonyms.masked(docs, PSEUDONYM_KEY))
+    """Texts with pseudonyms in place of personal data, made with the key of the session."""
+    return _with_n_chars(pseudonyms.masked(docs, pseudonyms.session_key(spark, TEST_KEY)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
