@@ -6,8 +6,10 @@ number or date is permuted within its own format by a keyed Feistel network over
 so it stays valid, equal values get equal pseudonyms in every document, and different values
 different ones. Mail addresses and secrets, which have no number format, get keyed digests.
 
-Secrets are found behind a name and a sign (also quoted, as in JSON), at any length of 8 and
-more; a secret ends at the first character that is not a letter, a digit or one of ``+/_.-``.
+Secrets are found behind a name and a sign (the name may be quoted, as in JSON), at any length of 8
+and more, of any characters: one in quotes runs to the closing quote of its line, over quotes
+behind a backslash; one without, or without a closing quote, to the next white space, less closing
+punctuation.
 Dates are found as year-month-day with dashes, and with two-digit days and months before the year
 behind ``.``, ``/`` or ``-``: day first where that is a date, otherwise month first. Dates that
 can only be read month first are permuted among themselves, so they keep apart from all others
@@ -22,11 +24,14 @@ rows get equal results.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfscan.llm.order_minhash import let
 
+KEY_SETTING = "spark.shelfscan.pseudonymKey"
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = "1900-01-01", "2099-12-31"
 DAYS = 73_049
@@ -35,11 +40,16 @@ LATE_DAYS = 44_249  # days after the 12th of their month
 LATE_DAY_PARTS = (211, 210)
 MONTHS = 2400
 
+_BARE = r"[^\s\"']\S{6,}[^\s.,;:!?)\]}\"'>]"  # eight characters or more, without closing punctuation
+_SECRET = (
+    r"(?:\"(?:[^\"\\\r\n]|\\.){8,}+\"|'(?:[^'\\\r\n]|\\.){8,}+'|[\"'](?![^\r\n]*[\"'])" + _BARE + "|" + _BARE + ")"
+)
+
 #: Candidates by kind, in the order in which they are tried at a place. Group 1 is the mark in a
 #: date and group 2 that in a card number, counted over all patterns together.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}",
-    "secret": r"(?<![A-Za-z0-9])(?i:password|passwd|token|secret|api[_-]?key)[\"']?\s*+[=:]\s*+[\"']?[A-Za-z0-9+/_.-]{8,}+[\"']?",
+    "secret": r"(?<![A-Za-z0-9])(?i:password|passwd|token|secret|api[_-]?key)[\"']?\s*+[=:]\s*+" + _SECRET,
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "phone": r"(?<![A-Za-z0-9+])\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})){2,6}(?![A-Za-z0-9])"
     r"|(?<![A-Za-z0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![A-Za-z0-9])",
@@ -326,12 +336,12 @@ def _digest(key: str, kind: str, value: Column) -> Column:
 
 
 def _email(value: Column, key: str) -> Column:
-    return F.concat(F.lit("user-"), F.substring(_digest(key, "email", F.lower(value)), 1, 12), F.lit("@example.com"))
+    return F.concat(F.lit("user-"), F.substring(_digest(key, "email", F.lower(value)), 1, 24), F.lit("@example.com"))
 
 
 def _secret(value: Column, key: str) -> Column:
     """The part behind the sign is replaced by as many digits of a keyed digest."""
-    parts = r"^([A-Za-z_-]+[\"']?\s*[=:]\s*[\"']?)([A-Za-z0-9+/_.-]+)([\"']?)$"
+    parts = r"(?s)^([A-Za-z_-]+[\"']?\s*[=:]\s*[\"']?)(.*?)([\"']?)\z"
     secret = F.regexp_extract(value, parts, 2)
     digest = F.repeat(_digest(key, "secret", secret), F.ceil(F.length(secret) / 64).cast("int"))
     return F.concat(
@@ -391,6 +401,16 @@ def rewritten(text: Column, values: Column) -> Column:
     return F.when(F.size(values) > 0, F.array_join(pieces, "")).otherwise(text)
 
 
+def session_key(spark: SparkSession, default: str | None = None) -> str:
+    """The key that the session is set to use; ``default``, with a warning, or an error if there is none."""
+    key = spark.conf.get(KEY_SETTING, default)
+    if key is None:
+        raise ValueError(f"set {KEY_SETTING} to a key of your own: with a known key pseudonyms can be led back")
+    if key == default:
+        warnings.warn(f"{KEY_SETTING} is not set; pseudonyms are made with a key that everyone knows", stacklevel=2)
+    return key
+
+
 def masked(documents: DataFrame, key: str) -> DataFrame:
     """The documents with their texts rewritten; all other columns as they were."""
     text = let(found(F.col("text"), key), lambda values: rewritten(F.col("text"), values))

@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfscan.llm import bpe, fair_mix, importance, near_dedup, order_minhash, packing, prefix_trie, pseudonyms, quality, repeats, templates, toxicity, warc
 from shelfscan.llm.oracle import ORACLES
 
-__all__ = ["ORACLES", "QUERIES", "table"]
+__all__ = ["ORACLES", "QUERIES", "TEST_KEY", "table"]
 
-#: The key that pseudonyms are made with when no other is given; a real run has its own.
-PSEUDONYM_KEY = "shelfscan"
+#: The key of the queries and of tests in sessions that set no other; a real run sets pseudonyms.KEY_SETTING.
+TEST_KEY = "shelfscan"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +40,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonyms.pseudonymise(documents, PSEUDONYM_KEY)
+    return pseudonyms.pseudonymise(documents, pseudonyms.session_key(spark, TEST_KEY))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,3 +173,86 @@ def test_odd_rows(spark, odd, nothing):
 def test_main_path_is_native(corpus):
     plan = pseudonyms.pseudonymise(corpus, KEY)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+NAME = re.compile(r"(?<![A-Za-z0-9])(?i:password|passwd|token|secret|api[_-]?key)[\"']?\s*[=:]\s*")
+
+
+def plain_secrets(text: str) -> list[tuple[int, str]]:
+    """Secrets of a text and where they begin, character by character."""
+    out, at = [], 0
+    while (sign := NAME.search(text, at)) is not None:
+        start = at = sign.end()
+        quote = text[start : start + 1]
+        line = re.split(r"[\r\n]", text[start + 1 :], maxsplit=1)[0] if quote in ("'", '"') else ""
+        if line or quote in ("'", '"'):
+            end, closed = 0, False
+            while end < len(line):
+                if line[end] == quote:
+                    closed = True
+                    break
+                end += 2 if line[end] == "\\" else 1
+            if closed:
+                if end >= 8:
+                    out.append((start + 1, line[:end]))
+                    at = start + 1 + end
+                continue
+            if "'" in line or '"' in line:
+                continue
+            start += 1
+        bare = re.match(r"\S*", text[start:])[0].rstrip(".,;:!?)]}\"'>")
+        if len(bare) >= 8 and bare[0] not in "'\"":
+            out.append((start, bare))
+            at = start + len(bare)
+    return out
+
+
+SECRETS = [
+    'password="p@ssword1234" end',
+    'token = "abcd1234$efgh", "x"',
+    '{"api_key": "ab\\"cd\\\\efgh ij", "user": "someone"}',
+    '{"token":"short","user":"somebody-else"}',
+    "secret: pa$$w0rd!!word, then more.",
+    "(token=abcdefgh12)",
+    "url?token=abc&x=12345678 rest",
+    'password="no closing quote here1',
+    "password='it''s open12345",
+    'passwd="tab\there 123456"',
+    "token: short password = \u00fcml\u00e4ut-\u65e5\u672c\u8a9e",
+    'secret="' + "\\\\" * 30_000 + 'x" y',
+    'secret="' + '\\"' * 30_000 + 'x" y',
+    'token="' * 3000,
+    "token=" * 20_000,
+]
+
+
+def test_secrets_of_any_characters(spark):
+    for text, new in zip(SECRETS, masked(spark, SECRETS), strict=True):
+        want, at = "", 0
+        for place, secret in plain_secrets(text):
+            want += text[at:place] + "#" * len(secret)
+            at = place + len(secret)
+        want += text[at:]
+        assert len(new) == len(want), text[:60]
+        assert all(b in "0123456789abcdef" if b2 == "#" else b == b2 for b, b2 in zip(new, want, strict=True)), (text[:60], new[:80])
+    assert "p@ss" not in masked(spark, SECRETS[:1])[0] and "$efgh" not in masked(spark, SECRETS[1:2])[0]
+
+
+def test_no_secret_of_the_corpus_stays(spark):
+    corpus = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    new = {r["doc_id"]: r["text"] for r in pseudonyms.masked(corpus, KEY).collect()}
+    found = [(r["doc_id"], x) for r in corpus.collect() for _, x in plain_secrets(r["text"] or "")]
+    assert len(found) >= 3
+    assert [x for i, x in found if x in new[i]] == []
+
+
+def test_key_of_the_session(spark):
+    with pytest.raises(ValueError, match="pseudonymKey"):
+        pseudonyms.session_key(spark)
+    with pytest.warns(UserWarning, match="everyone knows"):
+        assert pseudonyms.session_key(spark, "x") == "x"
+    spark.conf.set(pseudonyms.KEY_SETTING, "own")
+    try:
+        assert pseudonyms.session_key(spark, "x") == pseudonyms.session_key(spark) == "own"
+    finally:
+        spark.conf.unset(pseudonyms.KEY_SETTING)
