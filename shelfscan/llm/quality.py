@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfscan.llm import arrays
-from shelfscan.llm.sample import labelled_sample
+from shelfscan.llm.sample import labelled_sample, one_text_each
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -226,16 +226,17 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = statistics(batch.column("text"))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("label"), *(pa.array(found[f], pa.float64()) for f in FEATURES)],
-            ["doc_id", "label", *FEATURES],
+            [*(batch.column(c) for c in ("doc_id", "code", "label")), *(pa.array(found[f], pa.float64()) for f in FEATURES)],
+            ["doc_id", "code", "label", *FEATURES],
         )
 
 
 def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Forest | None:
-    """Fit on up to ``sample_rows`` labelled documents; None without labels of both kinds."""
+    """Fit on up to ``sample_rows`` labelled documents, one text for each id; None without labels of both kinds."""
     sample = labelled_sample(labels, "quality", sample_rows)
-    schema = "doc_id long, label int, " + ", ".join(f"{f} double" for f in FEATURES)
-    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInArrow(_measured, schema).collect()
+    schema = "doc_id long, code long, label int, " + ", ".join(f"{f} double" for f in FEATURES)
+    texts = documents.select("doc_id", "text", F.xxhash64("text").alias("code")).join(F.broadcast(sample), "doc_id")
+    rows = one_text_each(texts.mapInArrow(_measured, schema)).collect()
     rows.sort()
     y = np.array([r["label"] for r in rows], dtype=float)
     if len(np.unique(y)) < 2:

@@ -29,3 +29,13 @@ def labelled_sample(labels: DataFrame, label: str, rows: int) -> DataFrame:
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
+
+
+def one_text_each(examples: DataFrame) -> DataFrame:
+    """``examples`` (doc_id, code, and more) with one row for each doc_id, that of the smallest code.
+
+    Rows are reduced in each task first, so an id that holds much of the table sends few rows.
+    """
+    rest = [c for c in examples.columns if c not in ("doc_id", "code")]
+    least = examples.groupBy("doc_id").agg(F.min_by(F.struct(*rest), "code").alias("x"))
+    return least.select("doc_id", *[F.col(f"x.{c}").alias(c) for c in rest])

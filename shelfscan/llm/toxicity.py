@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfscan.llm import arrays
-from shelfscan.llm.sample import fold, labelled_sample
+from shelfscan.llm.sample import fold, labelled_sample, one_text_each
 
 SAMPLE_ROWS = 10_000
 MAX_TERMS = 16_384
@@ -82,7 +82,8 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cuts = np.searchsorted(text, np.arange(n + 1))
             blobs += [term[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("label"), pa.array(blobs, pa.binary())], ["doc_id", "label", "terms"]
+            [batch.column("doc_id"), batch.column("code"), batch.column("label"), pa.array(blobs, pa.binary())],
+            ["doc_id", "code", "label", "terms"],
         )
 
 
@@ -147,14 +148,14 @@ def fit(blobs: list[bytes], labels: list[int], max_terms: int = MAX_TERMS, seed:
 
 
 def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_terms: int = MAX_TERMS) -> Machine:
-    """Fit on up to ``sample_rows`` labelled documents, whole texts, none of them in fold 0."""
+    """Fit on up to ``sample_rows`` labelled documents, whole texts, none of them in fold 0; of an id's texts one counts."""
     sample = labelled_sample(labels, "toxic", sample_rows)
-    examples = (
-        documents.select("doc_id", "text")
+    found = (
+        documents.select("doc_id", "text", F.xxhash64("text").alias("code"))
         .join(F.broadcast(sample), "doc_id")
-        .mapInArrow(_examples, "doc_id long, label int, terms binary")
-        .collect()
+        .mapInArrow(_examples, "doc_id long, code long, label int, terms binary")
     )
+    examples = one_text_each(found).collect()
     examples.sort(key=lambda r: (r["doc_id"], bytes(r["terms"])))
     return fit([bytes(r["terms"]) for r in examples], [r["label"] for r in examples], max_terms)
 

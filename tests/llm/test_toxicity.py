@@ -6,8 +6,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
-from shelfscan.llm import toxicity
+from shelfscan.llm import quality, toxicity
 from tests.conftest import DATA
+from tests.llm.conftest import documents
 
 
 def terms(texts):
@@ -83,3 +84,20 @@ def test_odd_rows(spark, odd, nothing):
     assert {r["score"] for r in toxicity.toxicity(odd, none).collect()} == {0.25}
     assert toxicity.drop_toxic(odd, none).columns == odd.columns
     assert toxicity.drop_toxic(odd.withColumnRenamed("kept", "Toxicity"), none).count() == odd.count()
+
+
+def test_one_text_of_an_id_is_learnt_from(spark, monkeypatch):
+    """An id that holds much of the table, with many texts, gives one example."""
+    learnt = []
+    monkeypatch.setattr(toxicity, "fit", lambda blobs, labels, most: learnt.append(labels) or None)
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5][:40]
+    rows = [(i, f"text of {i}") for i in ids] + [(ids[0], f"another text {k}") for k in range(500)]
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in ids], "doc_id long, quality int, toxic int")
+    toxicity.train(documents(spark, *rows), labels)
+    toxicity.train(documents(spark, *rows[::-1]).repartition(5), labels)
+    assert learnt[0] == learnt[1] == [i % 2 for i in ids]
+    grown = []
+    monkeypatch.setattr(quality, "grow", lambda features, y, monotone: grown.append(features.tolist()))
+    quality.train(documents(spark, *rows), labels)
+    quality.train(documents(spark, *rows[::-1]).repartition(5), labels)
+    assert len(grown[0]) == len(ids) and grown[0] == grown[1]
