@@ -5,7 +5,8 @@ between any white space, and instead of a word of more than LONG_WORD characters
 without spaces) its overlapping pieces of PIECE characters; functions here take the parts between
 single spaces unless they are given ``words_or_pieces``. Equal k-mers are told apart by the number of their occurrence. One 64-bit hash of k-mer
 and occurrence stands for all random orders: its leading bits deal the k-mers out to BINS bins,
-and in each bin the PICKED smallest are selected, put back in text order and hashed together.
+and in each bin the PICKED smallest are selected (in a bin with fewer, the next ones of the
+following bins too), put back in text order and hashed together.
 So an entry changes both when other k-mers occur and when the selected ones change places, as
 the edit distance does. The likeness of two fingerprints is the share of bins, among those
 filled in either, whose entries agree.
@@ -79,17 +80,23 @@ def _occurrence(codes: Column, item: Column, place: Column) -> Column:
     return F.when(F.get(codes, place - 1)["h"] == item["h"], found).otherwise(F.lit(0))
 
 
-def _entries(picked: Column) -> Column:
-    """One entry per filled bin from the selected (bin, place, code), sorted by bin and place."""
+def _entries(ranked: Column) -> Column:
+    """One entry per filled bin from all (code, place) sorted by code, in the order of the bins.
 
-    def entry(item: Column, at: Column) -> Column:
-        following = [F.get(picked, at + F.lit(d)) for d in range(1, PICKED)]
-        codes = [item["code"], *(F.when(x["bin"] == item["bin"], x["code"]) for x in following)]
-        coded = F.shiftleft(F.xxhash64(*codes).bitwiseAND(F.lit((1 << (ENTRY_BITS - BIN_BITS)) - 1)), BIN_BITS)
-        first = F.coalesce(F.get(picked, at - 1)["bin"] != item["bin"], F.lit(True))
-        return F.when(first, coded + item["bin"])
+    A bin's entry holds its PICKED smallest k-mers. Where it has fewer, those of the following bins
+    (after the last: of the first) fill it up, so that every entry has an order.
+    """
+    first = lambda x, j: F.coalesce(_bin(F.get(ranked, j - 1)["code"]) != _bin(x["code"]), F.lit(True))
+
+    def entry(x: Column, j: Column) -> Column:
+        taken = [F.get(ranked, (j + F.lit(d)) % F.size(ranked)) for d in range(PICKED)]
+        in_place = F.sort_array(F.array(*[F.struct(t["i"].alias("i"), t["code"].alias("code")) for t in taken]))
+        hashed = let(in_place, lambda p: F.xxhash64(*[p[d]["code"] for d in range(PICKED)]))
+        coded = F.shiftleft(hashed.bitwiseAND(F.lit((1 << (ENTRY_BITS - BIN_BITS)) - 1)), BIN_BITS)
+        return F.when(first(x, j), F.struct(_bin(x["code"]).alias("bin"), coded.alias("coded")))
 
-    return F.filter(F.transform(picked, entry), lambda x: x.isNotNull())
+    found = F.sort_array(F.filter(F.transform(ranked, entry), lambda x: x.isNotNull()))
+    return F.transform(found, lambda x: x["coded"] + x["bin"])
 
 
 def signature(text: Column, units: Callable[[Column], Column] = between_spaces) -> Column:
@@ -109,17 +116,8 @@ def signature(text: Column, units: Callable[[Column], Column] = between_spaces)
 
         return F.sort_array(F.transform(codes, number))
 
-    def selected(ranked: Column) -> Column:
-        smallest = F.filter(
-            ranked,
-            lambda x, j: F.coalesce(_bin(F.get(ranked, j - PICKED)["code"]) != _bin(x["code"]), F.lit(True)),
-        )
-        return F.sort_array(
-            F.transform(smallest, lambda x: F.struct(_bin(x["code"]).alias("bin"), x["i"].alias("i"), x["code"].alias("code")))
-        )
-
     words = F.when(F.length(text) > 0, units(text)).otherwise(F.array().cast("array<string>"))
-    return let(words, lambda w: let(coded(w), lambda c: let(numbered(c), lambda r: let(selected(r), _entries))))
+    return let(words, lambda w: let(coded(w), lambda c: let(numbered(c), _entries)))
 
 
 def as_text(entries: Column) -> Column:
