@@ -3,6 +3,7 @@
 Loading and cleaning are done once and every analysis reads the stored result, as Parquet with
 column pruning and filter pushdown. The tables live in the session's shared folder. They belong
 to the names, sizes and times of the input files, so that changed input is loaded and cleaned anew.
+So is a table whose files have gone meanwhile, by ``workspace.clean_up`` or with the shared folder.
 """
 
 from __future__ import annotations
@@ -18,18 +19,20 @@ from shelfscan.sources import files
 from shelfscan.sources.driver_tables import input_paths, raw_listings
 from shelfscan.sources.workspace import fresh_path
 
-_paths: dict[tuple, str] = {}  # by application, name of the table, and files it is made from
+#: By application, name of the table, and files it is made from: its path, and what was written there.
+_stored: dict[tuple, tuple[str, tuple[int, int]]] = {}
 _lock = threading.RLock()
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], layout) -> DataFrame:
     key = (spark.conf.get("spark.app.id"), name, files.fingerprint(spark, *input_paths(sf_dir)))
     with _lock:
-        if key not in _paths:
+        path, written = _stored.get(key, (None, None))
+        if path is None or files.extent(spark, path) != written:
             path = fresh_path(spark, name)
             build().write.parquet(path)
-            _paths[key] = path
-    return spark.read.schema(layout).parquet(_paths[key])
+            _stored[key] = path, files.extent(spark, path)
+    return spark.read.schema(layout).parquet(path)
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:

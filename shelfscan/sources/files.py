@@ -35,6 +35,14 @@ def names(spark: SparkSession, folder: str) -> dict[str, int]:
     return {status.getPath().getName(): status.getModificationTime() for status in found}
 
 
+def extent(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Number of files in ``path`` and their bytes; (0, 0) if there is nothing."""
+    if not exists(spark, path):
+        return 0, 0
+    summary = _system(spark, path).getContentSummary(_path(spark, path))
+    return summary.getFileCount(), summary.getLength()
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     stream = _system(spark, path).open(_path(spark, path))
     try:
